@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.checks import binary, column, require
 from ..functions.numeric import ratio
 from ..functions.pvalues import normal_two_sided_tail
+from ..sources.shared import write_shared
 from .encoding import SEPARATOR
 from .ordering import SINGLE_TASK_ROWS, running_totals
 
@@ -26,6 +27,8 @@ LOG_GUARD = 1e-15
 MAX_ITERATIONS = 1000
 TOLERANCE = 1e-10
 
+ROWS_PER_TASK = 50_000
+
 COUNTS = ["train_0", "train_1", "test_0", "test_1"]
 METRICS = ["aic", "bic", "gini_train", "brier_train", "gini_test", "auc_pr", "rp", "brier_test"]
 
@@ -96,12 +99,15 @@ def fit_patterns(
     vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(numbered)
     data = vectors.select("features", *COUNTS).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = _fit(data)
-        scored = model.transform(data)
+        rows = data.count()
+        # few rows, few tasks: every solver iteration is a job over these partitions
+        packed = data.coalesce(max(1, math.ceil(rows / ROWS_PER_TASK)))
+        model = _fit(packed)
+        scored = model.transform(packed)
         probability = F.element_at(vector_to_array("probability"), 2)
         scores = scored.select(probability.alias("p"), *COUNTS)
         errors = _wald_errors(scored, probability, len(features)) if wald else []
-        metrics = model_metrics(scores, len(features), prevalence, single_task_rows)
+        metrics = model_metrics(scores, len(features), prevalence, single_task_rows, rows)
     finally:
         data.unpersist()
     iterations = model.summary.totalIterations if model.hasSummary else 0
@@ -138,62 +144,55 @@ def model_metrics(
     n_features: int,
     prevalence: float | None = None,
     single_task_rows: int = SINGLE_TASK_ROWS,
+    at_most: int | None = None,
 ) -> dict[str, float | None]:
-    """Train and test metrics of scored counts (p, train_0, train_1, test_0, test_1)."""
+    """Train and test metrics of scored counts (p, train_0, train_1, test_0, test_1): one ordering
+    of the distinct scores and one aggregate over it."""
+    by_score = scores.groupBy("p").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    if at_most is None or at_most > single_task_rows:
+        by_score = write_shared(by_score)
+    ranked = running_totals(by_score, [F.col("p").asc()], COUNTS, single_task_rows, at_most)
+
+    def number(name: str) -> Column:
+        return F.col(name).cast("double")
+
+    def auc(role: str) -> Column:
+        # defaults meet every earlier non-default, and half of those with the same score
+        wins = number(f"{role}_1") * (number(f"{role}_0_before") + number(f"{role}_0") / 2)
+        pairs = F.max(number(f"{role}_0_all")) * F.max(number(f"{role}_1_all"))
+        return F.try_divide(F.sum(wins), pairs)
+
+    def squares(role: str) -> Column:
+        return F.sum(number(f"{role}_1") * (1 - p) * (1 - p) + number(f"{role}_0") * p * p)
+
     p = F.col("p")
-    t0, t1, s0, s1 = (F.col(c).cast("double") for c in COUNTS)
-    loglik = t1 * F.ln(p + LOG_GUARD) + t0 * F.ln(1 - p + LOG_GUARD)
-    sums = scores.agg(
-        F.sum("train_0").alias("a0"),
-        F.sum("train_1").alias("a1"),
-        F.sum("test_0").alias("b0"),
-        F.sum("test_1").alias("b1"),
+    above1 = number("test_1_all") - number("test_1_before")
+    above0 = number("test_0_all") - number("test_0_before")
+    loglik = number("train_1") * F.ln(p + LOG_GUARD) + number("train_0") * F.ln(1 - p + LOG_GUARD)
+    row = ranked.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS],
         F.sum(loglik).alias("loglik"),
-        F.sum(t1 * (p - 1) * (p - 1) + t0 * p * p).alias("sq_train"),
-        F.sum(s1 * (p - 1) * (p - 1) + s0 * p * p).alias("sq_test"),
+        squares("train").alias("sq_train"),
+        squares("test").alias("sq_test"),
+        auc("train").alias("auc_train"),
+        auc("test").alias("auc_test"),
+        F.sum(ratio(F.col("test_1"), F.col("test_1_all")) * ratio(above1, above1 + above0)).alias("ap"),
     ).first()
-    ranks = _rank_row(scores, single_task_rows)
-    n = (sums["a0"] or 0) + (sums["a1"] or 0)
-    m = (sums["b0"] or 0) + (sums["b1"] or 0)
-    k = n_features + 1
+    n, m, k = row["train_0"] + row["train_1"], row["test_0"] + row["test_1"], n_features + 1
     if prevalence is None:
-        prevalence = sums["b1"] / m if m else None
-    auc_pr = ranks["ap"]
+        prevalence = row["test_1"] / m if m else None
     return {
-        "aic": -2 * sums["loglik"] + 2 * k,
-        "bic": -2 * sums["loglik"] + k * math.log(n),
-        "gini_train": None if ranks["auc_train"] is None else 2 * ranks["auc_train"] - 1,
-        "brier_train": sums["sq_train"] / n if n else None,
-        "gini_test": None if ranks["auc_test"] is None else 2 * ranks["auc_test"] - 1,
-        "auc_pr": auc_pr,
-        "rp": auc_pr / prevalence if auc_pr is not None and prevalence else None,
-        "brier_test": sums["sq_test"] / m if m else None,
+        "aic": -2 * row["loglik"] + 2 * k,
+        "bic": -2 * row["loglik"] + k * math.log(n),
+        "gini_train": None if row["auc_train"] is None else 2 * row["auc_train"] - 1,
+        "brier_train": row["sq_train"] / n,
+        "gini_test": None if row["auc_test"] is None else 2 * row["auc_test"] - 1,
+        "auc_pr": row["ap"],
+        "rp": row["ap"] / prevalence if row["ap"] is not None and prevalence else None,
+        "brier_test": row["sq_test"] / m if m else None,
     }
 
 
-def _rank_row(scores: DataFrame, single_task_rows: int):
-    """AUC on both sides and test average precision, from one ordering of the distinct scores."""
-    by_score = scores.groupBy("p").agg(*[F.sum(c).alias(c) for c in COUNTS]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        ranked = running_totals(by_score, [F.col("p").asc()], COUNTS, single_task_rows)
-
-        def number(name: str) -> Column:
-            return F.col(name).cast("double")
-
-        def auc(role: str) -> Column:
-            # defaults meet every earlier non-default, and half of those with the same score
-            wins = number(f"{role}_1") * (number(f"{role}_0_before") + number(f"{role}_0") / 2)
-            pairs = F.max(number(f"{role}_0_all")) * F.max(number(f"{role}_1_all"))
-            return F.try_divide(F.sum(wins), pairs)
-
-        above1 = number("test_1_all") - number("test_1_before")
-        above0 = number("test_0_all") - number("test_0_before")
-        ap = F.sum(ratio(F.col("test_1"), F.col("test_1_all")) * ratio(above1, above1 + above0))
-        return ranked.agg(auc("train").alias("auc_train"), auc("test").alias("auc_test"), ap.alias("ap")).first()
-    finally:
-        by_score.unpersist()
-
-
 def _wald_errors(scored: DataFrame, probability: Column, n_features: int) -> list[float | None]:
     """Standard errors from the information matrix.
 
