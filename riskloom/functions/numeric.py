@@ -32,6 +32,12 @@ def round_even(value: Column, digits: int) -> Column:
     return F.rint(value * scale) / scale + 0.0
 
 
+def rint_number(value: float | None, digits: int) -> float | None:
+    """`round_even` for a single number."""
+    scale = float(10**digits)
+    return None if value is None else round(value * scale) / scale + 0.0
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Double quotient; NULL for a zero denominator (plain `/` raises in ANSI mode)."""
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
@@ -50,10 +56,6 @@ def log_ratio(a: Column, b: Column) -> Column:
     return F.ln(floor_share(a) / floor_share(b))
 
 
-def lerp(low: Column, high: Column, fraction: Column) -> Column:
-    return low + (high - low) * fraction
-
-
 def _classify(value: Column, classes: list[tuple[float, str]], above: str) -> Column:
     (bound, label), *rest = classes
     chain = F.when(value < bound, F.lit(label))
@@ -80,7 +82,7 @@ def cuts_passed(value: Column, cuts: list[float], inclusive: bool) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        cut = F.lit(float(cuts[middle]))
+        cut = F.lit(cuts[middle])
         passed = value >= cut if inclusive else value > cut
         return F.when(passed, node(middle + 1, high)).otherwise(node(low, middle))
 

@@ -1,7 +1,7 @@
 """Survival functions for p-values.
 
-Spark has neither erfc nor an incomplete gamma function. These run as pandas UDFs over
-result rows only (one per test or per coefficient), never over the input rows.
+Spark has neither erfc nor an incomplete gamma function. These run over result rows only (one
+per test or per coefficient), never over the input rows.
 """
 
 from __future__ import annotations
@@ -56,8 +56,13 @@ def chi2_tail(statistic: float, dof: int) -> float:
     return 1.0 if dof <= 0 else gamma_survival(dof / 2.0, statistic / 2.0)
 
 
+def erfc_tail(z: float) -> float:
+    """Two-sided p-value of a rank z, which the continuity correction may push below zero."""
+    return min(1.0, math.erfc(z / math.sqrt(2.0)))
+
+
 def normal_two_sided_tail(z: float) -> float:
-    return min(1.0, math.erfc(abs(z) / math.sqrt(2.0)))
+    return math.erfc(abs(z) / math.sqrt(2.0))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -66,16 +71,3 @@ def chi2_survival(statistic: pd.Series, dof: pd.Series) -> pd.Series:
         [None if pd.isna(s) or pd.isna(k) else chi2_tail(s, int(k)) for s, k in zip(statistic, dof)],
         dtype="float64",
     )
-
-
-@F.pandas_udf(T.DoubleType())
-def mann_whitney_tail(z: pd.Series) -> pd.Series:
-    """Two-sided p of a non-negative rank z whose continuity correction may push it below 0."""
-    return pd.Series(
-        [None if pd.isna(v) else min(1.0, math.erfc(v / math.sqrt(2.0))) for v in z], dtype="float64"
-    )
-
-
-@F.pandas_udf(T.DoubleType())
-def normal_two_sided(z: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(v) else normal_two_sided_tail(v) for v in z], dtype="float64")

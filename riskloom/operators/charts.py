@@ -15,7 +15,7 @@ from ..functions.numeric import ratio
 from ..sources.shared import write_shared
 from .levels import global_rate_of
 from .ordering import SINGLE_TASK_ROWS, running_totals
-from .ranks import quantile_columns, quantiles_of, ranked_values, value_histogram
+from .ranks import QUARTILES, histogram_quantiles, value_histogram
 
 HISTOGRAM_BINS = 50
 CURVE_POINTS = 1000
@@ -25,7 +25,7 @@ KERNEL_REACH = 38.7
 
 def _winsorised(histogram: DataFrame, limits: tuple[float, float]) -> tuple[DataFrame, float | None, float | None]:
     """(v, n) clipped to two exact quantiles, and the two limits."""
-    low, high = quantiles_of(histogram, list(limits)).first()
+    low, high = histogram_quantiles(histogram, {"n": limits})["n"]
     clipped = F.least(F.greatest(F.col("v"), F.lit(low)), F.lit(high))
     known = histogram.where(F.col("v").isNotNull())
     return known.select(clipped.alias("v"), "n").groupBy("v").agg(F.sum("n").alias("n")), low, high
@@ -107,18 +107,11 @@ def density_curve(
 def box_statistics(df: DataFrame, variable: str, target: str) -> DataFrame:
     """One row per class: quartiles, whiskers (furthest points within 1.5 IQR), outlier count."""
     histogram = value_histogram(df, variable, target)
-    picks, finals = [], {}
-    for count in ("n0", "n1"):
-        some_picks, some_finals = quantile_columns(count, [0.25, 0.5, 0.75], f"{count}_")
-        picks += some_picks
-        finals |= some_finals
-    quartiles = ranked_values(histogram, ["n0", "n1"]).agg(*picks).select(
-        F.struct(*[value.alias(name) for name, value in finals.items()])
-    ).scalar()
+    quartiles = histogram_quantiles(histogram, {"n0": QUARTILES, "n1": QUARTILES})
     v = F.col("v")
     sides = []
     for label, count in ((0, "n0"), (1, "n1")):
-        q1, q2, q3 = (quartiles.getField(f"{count}_{i}") for i in range(3))
+        q1, q2, q3 = (F.lit(q).cast("double") for q in quartiles[count])
         fence = 1.5 * (q3 - q1)
         held = F.col(count) > 0
         inside = held & (v >= q1 - fence) & (v <= q3 + fence)
@@ -126,12 +119,12 @@ def box_statistics(df: DataFrame, variable: str, target: str) -> DataFrame:
             F.struct(
                 F.lit(label).alias("classe"),
                 F.coalesce(F.sum(F.when(v.isNotNull(), F.col(count))), F.lit(0)).alias("effectif"),
-                F.max(q1).alias("q1"),
-                F.max(q2).alias("mediane"),
-                F.max(q3).alias("q3"),
+                q1.alias("q1"),
+                q2.alias("mediane"),
+                q3.alias("q3"),
                 # a whisker never crosses into its box
-                F.least(F.min(F.when(inside, v)), F.max(q1)).alias("moustache_basse"),
-                F.greatest(F.max(F.when(inside, v)), F.max(q3)).alias("moustache_haute"),
+                F.least(F.min(F.when(inside, v)), q1).alias("moustache_basse"),
+                F.greatest(F.max(F.when(inside, v)), q3).alias("moustache_haute"),
                 F.coalesce(F.sum(F.when(held & v.isNotNull() & ~inside, F.col(count))), F.lit(0)).alias("nb_extremes"),
             )
         )

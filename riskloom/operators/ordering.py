@@ -20,8 +20,10 @@ def running_totals(
     sums: Sequence[str],
     single_task_rows: int = SINGLE_TASK_ROWS,
     at_most: int | None = None,
+    totals: bool = False,
 ) -> DataFrame:
-    """Add `<s>_before` (sum of `s` over all earlier rows) and `<s>_all` (over all rows).
+    """Add `<s>_before`, the sum of `s` over all earlier rows, and with `totals` also `<s>_all`,
+    the sum over all rows.
 
     `table` should be cheap to read again (written or persisted) and unique on `order`; it is
     counted unless the caller knows a bound on its rows (`at_most`).
@@ -29,7 +31,6 @@ def running_totals(
     the rows, so the per-range offsets and the per-range windows always see the same cut. The
     only unpartitioned window runs over one row per range.
     """
-    whole = table.agg(F.struct(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in sums])).scalar()
     if (table.count() if at_most is None else at_most) <= single_task_rows:
         upto = W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
         ranged = table.withColumns({f"{s}_before": F.sum(s).over(upto) - F.col(s) for s in sums})
@@ -57,4 +58,7 @@ def running_totals(
             )
             .drop("_slice", *[f"_base_{s}" for s in sums])
         )
+    if not totals:
+        return ranged
+    whole = table.agg(F.struct(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in sums])).scalar()
     return ranged.withColumns({f"{s}_all": whole.getField(s) for s in sums})

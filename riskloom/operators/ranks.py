@@ -1,239 +1,299 @@
 """Exact order statistics and rank tests from one value histogram.
 
 The histogram (distinct value -> counts) is combined on the map side, so a value held by a
-third of the rows is one row. Everything below is one pass over its running totals.
+third of the rows is one row of it. Sizes and means come from one aggregate over the histogram,
+rank sums and central moments from one aggregate over its running totals, and quantiles from the
+few histogram rows that hold the wanted ranks; only such single rows reach the driver.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import binary, nan_to_null, present, require, require_numeric
-from ..functions.numeric import lerp, percent, ratio, round_even
-from ..functions.pvalues import mann_whitney_tail
+from ..functions.numeric import cuts_passed, ratio, rint_number
+from ..functions.pvalues import erfc_tail
 from ..sources.shared import write_shared
 from .ordering import SINGLE_TASK_ROWS, running_totals
 
 # Quantiles of the numeric summary.
 SUMMARY_QUANTILES = [0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99]
+QUARTILES = [0.25, 0.5, 0.75]
+
+CLASSES = {"n": "all", "n0": "non_defaut", "n1": "defaut"}
 
 
 def value_histogram(
     df: DataFrame, variable: str, target: str | None = None, month: str | None = None
 ) -> DataFrame:
     """Written table of distinct values v (missing as one NULL row) with row counts:
-    n all rows, m with a target, mm with a target and a month, n0/n1 by class."""
+    n all rows and, with a target, m rows with one, mm rows with one and a month, n0/n1 by class."""
     require_numeric(df, variable)
     require(df, target, month)
-    y = binary(df, target) if target else F.lit(None).cast("int")
+    v = nan_to_null(df, variable).cast("double").alias("v")
+    if target is None:
+        return write_shared(df.select(v).groupBy("v").agg(F.count(F.lit(1)).alias("n")))
     dated = present(df, month) if month else F.lit(True)
+    y = F.col("y")
     counts = (
-        df.select(nan_to_null(df, variable).cast("double").alias("v"), y.alias("y"), dated.alias("dated"))
+        df.select(v, binary(df, target).alias("y"), dated.alias("dated"))
         .groupBy("v")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.count("y").alias("m"),
-            F.count(F.when(F.col("dated"), F.col("y"))).alias("mm"),
-            F.count_if(F.col("y") == 0).alias("n0"),
-            F.count_if(F.col("y") == 1).alias("n1"),
+            F.count(y).alias("m"),
+            F.count(F.when(F.col("dated"), y)).alias("mm"),
+            F.count_if(y == 0).alias("n0"),
+            F.count_if(y == 1).alias("n1"),
         )
     )
     return write_shared(counts)
 
 
-def ranked_values(
-    histogram: DataFrame, counts: list[str], single_task_rows: int = SINGLE_TASK_ROWS
-) -> DataFrame:
-    known = histogram.where(F.col("v").isNotNull())
-    return running_totals(known, [F.col("v").asc()], counts, single_task_rows)
-
-
-def quantile_columns(count: str, probs: list[float], prefix: str) -> tuple[list[Column], dict[str, Column]]:
-    """Aggregates that pick the two ranks around each quantile, and the linear interpolation
-    to select over them. NULL when the population is empty."""
-    picks, finals = [], {}
-    size = F.col(f"{count}_all")
-    start, end = F.col(f"{count}_before"), F.col(f"{count}_before") + F.col(count)
-    for i, q in enumerate(probs):
-        low = F.floor((size - 1) * F.lit(float(q)))
-        high = F.ceil((size - 1) * F.lit(float(q)))
-        for side, rank in (("lo", low), ("hi", high)):
-            held = (start <= rank) & (rank < end)
-            picks.append(F.max(F.when(held, F.col("v"))).alias(f"_{prefix}{i}_{side}"))
-        position = (F.col(f"_{prefix}_size") - 1) * F.lit(float(q))
-        finals[f"{prefix}{i}"] = lerp(
-            F.col(f"_{prefix}{i}_lo"), F.col(f"_{prefix}{i}_hi"), position - F.floor(position)
-        )
-    picks.append(F.max(size).alias(f"_{prefix}_size"))
-    return picks, finals
+def histogram_sizes(histogram: DataFrame) -> dict[str, int]:
+    """Rows of each population that have a value, and the number of distinct values."""
+    known = F.col("v").isNotNull()
+    counts = [c for c in histogram.columns if c != "v"]
+    sums = [F.coalesce(F.sum(F.when(known, F.col(c))), F.lit(0)).alias(c) for c in counts]
+    return histogram.agg(F.count("v").alias("values"), *sums).first().asDict()
 
 
-def quantiles_of(
-    histogram: DataFrame, probs: list[float], count: str = "n", single_task_rows: int = SINGLE_TASK_ROWS
+def ranked_values(
+    histogram: DataFrame, counts: Sequence[str], values: int, single_task_rows: int = SINGLE_TASK_ROWS
 ) -> DataFrame:
-    """One row (q0, q1, ...) of exact linear quantiles of one population of the histogram."""
-    picks, finals = quantile_columns(count, probs, "q")
-    ranked = ranked_values(histogram, [count], single_task_rows)
-    return ranked.agg(*picks).select(*[value.alias(name) for name, value in finals.items()])
-
-
-def exact_quantiles(df: DataFrame, variable: str, probs: list[float]) -> list[float | None]:
-    """Exact linear quantiles as numbers (one row reaches the driver)."""
-    return list(quantiles_of(value_histogram(df, variable), probs).first())
+    """Running totals of the counts over the ascending known values."""
+    known = histogram.where(F.col("v").isNotNull()).select("v", *counts)
+    return running_totals(known, [F.col("v").asc()], counts, single_task_rows, at_most=values)
 
 
-def _moments(histogram: DataFrame, count: str) -> list[Column]:
-    """n, mean, std, skew and excess kurtosis sums of one population, centred on its mean."""
-    v, w = F.col("v"), F.col(count)
-    mean = histogram.agg(ratio(F.sum(v * w), F.sum(F.when(v.isNotNull(), w)))).scalar()
-    gap = v - mean
-    held = F.when(v.isNotNull(), w)
-    return [
-        F.coalesce(F.sum(held), F.lit(0)).alias(f"_{count}_n"),
-        F.max(mean).alias(f"_{count}_mean"),
-        F.sum(held * gap * gap).alias(f"_{count}_s2"),
-        F.sum(held * gap * gap * gap).alias(f"_{count}_s3"),
-        F.sum(held * gap * gap * gap * gap).alias(f"_{count}_s4"),
-        F.min(F.when(w > 0, v)).alias(f"_{count}_min"),
-        F.max(F.when(w > 0, v)).alias(f"_{count}_max"),
-    ]
-
-
-def _std(count: str) -> Column:
-    n = F.col(f"_{count}_n").cast("double")
-    return F.when(n > 1, F.sqrt(F.col(f"_{count}_s2") / (n - 1)))
+def histogram_quantiles(
+    histogram: DataFrame,
+    wanted: Mapping[str, Sequence[float]],
+    single_task_rows: int = SINGLE_TASK_ROWS,
+    sizes: dict[str, int] | None = None,
+    ranked: DataFrame | None = None,
+) -> dict[str, list[float | None]]:
+    """Linear quantiles of several populations (count column -> probabilities) in one pass.
+
+    The ranks around each quantile are known once the population sizes are; only the histogram
+    rows that hold one of them, at most two per quantile, are fetched. `sizes` and `ranked` save
+    work when the caller has them already.
+    """
+    wanted = {count: list(probs) for count, probs in wanted.items() if probs}
+    if not wanted:
+        return {}
+    sizes = sizes or histogram_sizes(histogram)
+    ranks = {
+        c: sorted({r for q in probs for r in _around(q, sizes[c])}) for c, probs in wanted.items() if sizes[c]
+    }
+    if not ranks:
+        return {c: [None] * len(probs) for c, probs in wanted.items()}
+    holds = F.lit(False)
+    for c, numbers in ranks.items():
+        start = F.col(f"{c}_before")
+        passed = cuts_passed(start + F.col(c), numbers, inclusive=False)
+        holds = holds | (passed > cuts_passed(start, numbers, inclusive=False))
+    columns = ["v", *[name for c in ranks for name in (c, f"{c}_before")]]
+    if ranked is None:
+        ranked = ranked_values(histogram, list(ranks), sizes["values"], single_task_rows)
+    rows = ranked.where(holds).select(*columns).collect()
+
+    def at(count: str, rank: int) -> float:
+        return next(r["v"] for r in rows if r[f"{count}_before"] <= rank < r[f"{count}_before"] + r[count])
+
+    result: dict[str, list[float | None]] = {}
+    for c, probs in wanted.items():
+        values: list[float | None] = []
+        for q in probs:
+            if c not in ranks:
+                values.append(None)
+                continue
+            low, high = _around(q, sizes[c])
+            a, b = at(c, low), at(c, high)
+            values.append(a + (b - a) * (q * (sizes[c] - 1) - low) if a != b else a)
+        result[c] = values
+    return result
+
+
+def _around(q: float, size: int) -> tuple[int, int]:
+    position = q * (size - 1)
+    return math.floor(position), math.ceil(position)
+
+
+def exact_quantiles(df: DataFrame, variable: str, probs: Sequence[float]) -> list[float | None]:
+    """Exact linear quantiles of a column, as numbers."""
+    return histogram_quantiles(value_histogram(df, variable), {"n": probs})["n"]
+
+
+@dataclass(frozen=True)
+class NumericReport:
+    """Order statistics and moments of a numeric column, and of its two classes if a target
+    was given. Numbers only: every table below is one row made of them."""
+
+    rows: int
+    missing: int
+    sizes: dict[str, int]
+    means: dict[str, float | None]
+    stds: dict[str, float | None]
+    low: float | None
+    high: float | None
+    skewness: float | None
+    kurtosis: float | None
+    quantiles: dict[str, list[float | None]]
+    tests: dict[str, float | None] = field(default_factory=dict)
+
+
+def numeric_report(
+    histogram: DataFrame,
+    probs: Mapping[str, Sequence[float]],
+    single_task_rows: int = SINGLE_TASK_ROWS,
+) -> NumericReport:
+    """`probs` lists the quantiles wanted per count column of the histogram."""
+    counts = [c for c in CLASSES if c in histogram.columns]
+    populations = [c for c in histogram.columns if c != "v"]
+    v = F.col("v")
+    first = histogram.agg(
+        F.count("v").alias("values"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.min("v").alias("low"),
+        F.max("v").alias("high"),
+        *[F.coalesce(F.sum(F.when(v.isNotNull(), F.col(c))), F.lit(0)).alias(c) for c in populations],
+        *[F.sum(v * F.col(c)).alias(f"sum_{c}") for c in counts],
+    ).first()
+    sizes = {c: first[c] for c in ("values", *populations)}
+    means = {c: first[f"sum_{c}"] / sizes[c] if sizes[c] else None for c in counts}
+
+    sums: list[Column] = []
+    for c in counts:
+        gap = v - F.lit(means[c])
+        sums.append(F.sum(F.col(c) * gap * gap).alias(f"s2_{c}"))
+    gap = v - F.lit(means["n"])
+    sums += [F.sum(F.col("n") * F.pow(gap, F.lit(float(k)))).alias(f"s{k}_n") for k in (3, 4)]
+    ranked = ranked_values(histogram, populations, sizes["values"], single_task_rows)
+    if len(counts) > 1:
+        second = ranked.agg(*sums, *_rank_sums(sizes["n0"], sizes["n1"])).first()
+        tests = _rank_tests(sizes["n0"], sizes["n1"], second["u0"], second["ties"], second["ap"])
+    else:
+        second, tests = histogram.agg(*sums).first(), {}
+    return NumericReport(
+        first["rows"],
+        first["rows"] - sizes["n"],
+        sizes,
+        means,
+        {c: math.sqrt(second[f"s2_{c}"] / (sizes[c] - 1)) if sizes[c] > 1 else None for c in counts},
+        first["low"],
+        first["high"],
+        _skewness(sizes["n"], second["s2_n"], second["s3_n"]),
+        _kurtosis(sizes["n"], second["s2_n"], second["s4_n"]),
+        histogram_quantiles(histogram, probs, single_task_rows, sizes, ranked),
+        tests,
+    )
 
 
-def _skew(count: str) -> Column:
+def _skewness(n: int, s2: float | None, s3: float | None) -> float | None:
     """Bias-corrected sample skewness; 0 for a constant column, NULL below three values."""
-    n, s2, s3 = F.col(f"_{count}_n").cast("double"), F.col(f"_{count}_s2"), F.col(f"_{count}_s3")
-    g1 = (s3 / n) / F.pow(s2 / n, F.lit(1.5))
-    return F.when(n < 3, F.lit(None)).when(s2 < 1e-14, 0.0).otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2))
+    if n < 3:
+        return None
+    if s2 < 1e-14:
+        return 0.0
+    return (s3 / n) / (s2 / n) ** 1.5 * math.sqrt(n * (n - 1)) / (n - 2)
 
 
-def _kurtosis(count: str) -> Column:
+def _kurtosis(n: int, s2: float | None, s4: float | None) -> float | None:
     """Bias-corrected excess kurtosis; 0 for a constant column, NULL below four values."""
-    n, s2, s4 = F.col(f"_{count}_n").cast("double"), F.col(f"_{count}_s2"), F.col(f"_{count}_s4")
-    g2 = (s4 / n) / ((s2 / n) * (s2 / n)) - 3
-    corrected = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
-    return F.when(n < 4, F.lit(None)).when(s2 < 1e-14, 0.0).otherwise(corrected)
+    if n < 4:
+        return None
+    if s2 < 1e-14:
+        return 0.0
+    excess = (s4 / n) / (s2 / n) ** 2 - 3
+    return (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * excess + 6)
 
 
-def rank_report(
-    histogram: DataFrame,
-    edge_probs: list[float] | None = None,
-    winsor_limits: tuple[float, float] = (0.01, 0.99),
-    single_task_rows: int = SINGLE_TASK_ROWS,
-) -> DataFrame:
-    """One wide row with every order statistic of a numeric profile, from one pass over the
-    ranked histogram. Names: see `summary_of`, `class_tests_of` and the edge lists."""
-    edge_probs = edge_probs or []
-    quartiles = [0.25, 0.5, 0.75]
-    picks, finals = [], {}
-    for count, probs, prefix in (
-        ("n", SUMMARY_QUANTILES, "q"),
-        ("n", list(winsor_limits), "w"),
-        ("n0", quartiles, "c0_"),
-        ("n1", quartiles, "c1_"),
-        ("m", edge_probs, "e"),
-        ("mm", edge_probs, "t"),
-    ):
-        some_picks, some_finals = quantile_columns(count, probs, prefix)
-        picks += some_picks
-        finals |= some_finals
-    ranked = ranked_values(histogram, ["n", "m", "mm", "n0", "n1"], single_task_rows)
+def _rank_sums(size0: int, size1: int) -> list[Column]:
     n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
-    below1 = F.col("n1_before").cast("double")
-    ties = n0 + n1
-    above1 = F.col("n1_all") - below1
-    above0 = F.col("n0_all") - F.col("n0_before").cast("double")
-    picks += [
-        F.sum(n0 * (below1 + n1 / 2)).alias("_u0"),
-        F.sum(ties * ties * ties - ties).alias("_ties"),
+    tied = n0 + n1
+    above0 = (F.lit(size0) - F.col("n0_before")).cast("double")
+    above1 = (F.lit(size1) - F.col("n1_before")).cast("double")
+    return [
+        # pairs a non-default wins: lower defaults, and half of those with the same value
+        F.sum(n0 * (F.col("n1_before") + n1 / 2)).alias("u0"),
+        F.sum(tied * tied * tied - tied).alias("ties"),
         # precision when every value from this one up is called a default
-        F.sum(ratio(n1, F.col("n1_all")) * ratio(above1, above1 + above0)).alias("_ap"),
+        F.sum(ratio(n1, F.lit(size1)) * ratio(above1, above1 + above0)).alias("ap"),
     ]
-    for count in ("n", "n0", "n1"):
-        picks += _moments(histogram, count)
-    rows = histogram.agg(F.struct(F.sum("n").alias("n"), F.sum(F.when(F.col("v").isNull(), F.col("n"))).alias("gone"))).scalar()
-    report = ranked.agg(*picks)
-    tests = _rank_tests(F.col("_n0_n").cast("double"), F.col("_n1_n").cast("double"), F.col("_u0"), F.col("_ties"))
-    named = report.select(
-        F.coalesce(rows.getField("n"), F.lit(0)).alias("count"),
-        F.coalesce(rows.getField("gone"), F.lit(0)).alias("missing"),
-        *[value.alias(name) for name, value in finals.items()],
-        *[F.col(f"_{c}_n").alias(f"size_{c}") for c in ("n", "n0", "n1")],
-        *[F.col(f"_{c}_mean").alias(f"mean_{c}") for c in ("n", "n0", "n1")],
-        *[_std(c).alias(f"std_{c}") for c in ("n", "n0", "n1")],
-        F.col("_n_min").alias("min"),
-        F.col("_n_max").alias("max"),
-        _skew("n").alias("skewness"),
-        _kurtosis("n").alias("kurtosis"),
-        F.col("_ap").alias("average_precision"),
-        *[value.alias(name) for name, value in tests.items()],
-    )
-    return named.withColumn("mann_whitney_pvalue", mann_whitney_tail("z"))
 
 
-def _rank_tests(n0: Column, n1: Column, u0: Column, ties: Column) -> dict[str, Column]:
-    both = (n0 > 0) & (n1 > 0)
-    n = n0 + n1
-    variance = n0 * n1 / 12.0 * ((n + 1) - F.try_divide(ties, n * (n - 1)))
-    larger = F.greatest(u0, n0 * n1 - u0)
-    z = F.try_divide(larger - n0 * n1 / 2.0 - 0.5, F.sqrt(variance))
-    auc = F.when(both, F.try_divide(n0 * n1 - u0, n0 * n1))
+def _rank_tests(n0: int, n1: int, u0: float | None, ties: float | None, ap: float | None) -> dict[str, float | None]:
+    """U of class 0, its two-sided normal-approximation p-value with tie and continuity
+    corrections, AUC, adjusted AUC and average precision; NULL without both classes."""
+    if not n0 or not n1:
+        return dict.fromkeys(("mann_whitney_U", "mann_whitney_pvalue", "auc", "auc_ajuste")) | {"auc_pr": ap}
+    n, pairs = n0 + n1, float(n0) * n1
+    deviation = math.sqrt(max(0.0, pairs / 12 * ((n + 1) - ties / (float(n) * (n - 1)))))
+    z = (max(u0, pairs - u0) - pairs / 2 - 0.5) / deviation if deviation else None
+    auc = (pairs - u0) / pairs
     return {
-        "mann_whitney_U": F.when(both, u0),
-        "z": F.when(both, z),
+        "mann_whitney_U": u0,
+        "mann_whitney_pvalue": None if z is None else erfc_tail(z),
         "auc": auc,
-        "auc_ajuste": F.greatest(auc, 1 - auc),
+        "auc_ajuste": max(auc, 1 - auc),
+        "auc_pr": ap,
     }
 
 
-def summary_of(report: DataFrame) -> DataFrame:
+# --- one-row tables -----------------------------------------------------------------------------
+
+
+def _one_row(like: DataFrame, values: dict[str, float | int | None]) -> DataFrame:
+    kinds = {name: "long" if isinstance(v, int) else "double" for name, v in values.items()}
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in kinds.items())
+    return like.sparkSession.createDataFrame([tuple(values.values())], schema)
+
+
+def summary_of(report: NumericReport, like: DataFrame) -> DataFrame:
     """Univariate summary: sizes, moments and quantiles, rounded to 4 decimals."""
+    quantiles = dict(zip(SUMMARY_QUANTILES, report.quantiles["n"]))  # further ones are left out
     rounded = {
-        "mean": F.col("mean_n"),
-        "median": F.col("q4"),
-        "std": F.col("std_n"),
-        "min": F.col("min"),
-        "max": F.col("max"),
-        "skewness": F.col("skewness"),
-        "kurtosis": F.col("kurtosis"),
-    } | {f"Q{int(q * 100)}": F.col(f"q{i}") for i, q in enumerate(SUMMARY_QUANTILES)}
-    return report.select(
-        "count",
-        "missing",
-        percent(F.col("missing"), F.col("count")).alias("missing_%"),
-        *[round_even(value, 4).alias(name) for name, value in rounded.items()],
+        "mean": report.means["n"],
+        "median": quantiles[0.5],
+        "std": report.stds["n"],
+        "min": report.low,
+        "max": report.high,
+        "skewness": report.skewness,
+        "kurtosis": report.kurtosis,
+    } | {f"Q{int(q * 100)}": value for q, value in quantiles.items()}
+    share = report.missing / report.rows * 100 if report.rows else None
+    return _one_row(
+        like,
+        {"count": report.rows, "missing": report.missing, "missing_%": rint_number(share, 2)}
+        | {name: rint_number(value, 4) for name, value in rounded.items()},
     )
 
 
-def class_tests_of(report: DataFrame) -> DataFrame:
+def class_tests_of(report: NumericReport, like: DataFrame) -> DataFrame:
     """Rank tests and class statistics of a numeric variable against the target."""
-    return report.select(
-        "mann_whitney_U",
-        "mann_whitney_pvalue",
-        "auc",
-        "auc_ajuste",
-        F.col("mean_n0").alias("moyenne_non_defaut"),
-        F.col("mean_n1").alias("moyenne_defaut"),
-        F.col("c0_1").alias("mediane_non_defaut"),
-        F.col("c1_1").alias("mediane_defaut"),
-        F.col("std_n0").alias("ecart_type_non_defaut"),
-        F.col("std_n1").alias("ecart_type_defaut"),
-        F.col("size_n0").alias("effectif_non_defaut"),
-        F.col("size_n1").alias("effectif_defaut"),
-    )
+    row = {k: report.tests[k] for k in ("mann_whitney_U", "mann_whitney_pvalue", "auc", "auc_ajuste")}
+    for label, values in (
+        ("moyenne", report.means),
+        ("mediane", {c: report.quantiles[c][1] for c in ("n0", "n1")}),
+        ("ecart_type", report.stds),
+        ("effectif", report.sizes),
+    ):
+        row |= {f"{label}_{CLASSES[c]}": values[c] for c in ("n0", "n1")}
+    return _one_row(like, row)
 
 
 def numeric_summary(df: DataFrame, variable: str) -> DataFrame:
-    return summary_of(rank_report(value_histogram(df, variable)))
+    return summary_of(numeric_report(value_histogram(df, variable), {"n": SUMMARY_QUANTILES}), df)
 
 
 def class_tests(df: DataFrame, variable: str, target: str) -> DataFrame:
-    return class_tests_of(rank_report(value_histogram(df, variable, target)))
+    probs = {"n0": QUARTILES, "n1": QUARTILES}
+    return class_tests_of(numeric_report(value_histogram(df, variable, target), probs), df)
 
 
 def score_metrics(
@@ -241,12 +301,20 @@ def score_metrics(
 ) -> DataFrame:
     """One row: AUC, Gini, average precision, prevalence and their ratio for a score column."""
     histogram = value_histogram(df, score, target)
-    report = rank_report(histogram, single_task_rows=single_task_rows)
-    prevalence = ratio(F.col("size_n1"), F.col("size_n0") + F.col("size_n1"))
-    return report.select(
-        "auc",
-        (2 * F.col("auc") - 1).alias("gini"),
-        F.col("average_precision").alias("auc_pr"),
-        prevalence.alias("prevalence"),
-        F.try_divide(F.col("average_precision"), prevalence).alias("rp"),
+    sizes = histogram_sizes(histogram)
+    n0, n1 = sizes["n0"], sizes["n1"]
+    ranked = ranked_values(histogram, ["n0", "n1"], sizes["values"], single_task_rows)
+    row = ranked.agg(*_rank_sums(n0, n1)).first()
+    tests = _rank_tests(n0, n1, row["u0"], row["ties"], row["ap"])
+    auc, ap = tests["auc"], tests["auc_pr"]
+    prevalence = n1 / (n0 + n1) if n0 + n1 else None
+    return _one_row(
+        df,
+        {
+            "auc": auc,
+            "gini": None if auc is None else 2 * auc - 1,
+            "auc_pr": ap,
+            "prevalence": prevalence,
+            "rp": ap / prevalence if ap is not None and prevalence else None,
+        },
     )

@@ -151,7 +151,7 @@ def model_metrics(
     by_score = scores.groupBy("p").agg(*[F.sum(c).alias(c) for c in COUNTS])
     if at_most is None or at_most > single_task_rows:
         by_score = write_shared(by_score)
-    ranked = running_totals(by_score, [F.col("p").asc()], COUNTS, single_task_rows, at_most)
+    ranked = running_totals(by_score, [F.col("p").asc()], COUNTS, single_task_rows, at_most, totals=True)
 
     def number(name: str) -> Column:
         return F.col(name).cast("double")

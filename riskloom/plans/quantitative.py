@@ -19,7 +19,15 @@ from ..operators.binning import (
 )
 from ..operators.drift import psi_of
 from ..operators.levels import with_rates
-from ..operators.ranks import class_tests_of, rank_report, summary_of, value_histogram
+from ..operators.ranks import (
+    QUARTILES,
+    SUMMARY_QUANTILES,
+    class_tests_of,
+    histogram_quantiles,
+    numeric_report,
+    summary_of,
+    value_histogram,
+)
 from ..operators.woe import iv_of, woe_of
 from ..sources.shared import write_shared
 
@@ -40,15 +48,25 @@ def analyse_quantitative(
     """
     require_numeric(df, var_quanti)
     require(df, var_cible, var_mois)
-    probs = [] if seuils is not None else edge_probs(n_tranches)
+    edges = [] if seuils is not None else edge_probs(n_tranches)
     histogram = value_histogram(df, var_quanti, var_cible, var_mois)
-    report = _one_row(rank_report(histogram, probs, winsor_limits))
+    report = numeric_report(
+        histogram,
+        {
+            "n": [*SUMMARY_QUANTILES, *winsor_limits],
+            "n0": QUARTILES,
+            "n1": QUARTILES,
+            "m": edges,
+            "mm": edges if var_mois else [],
+        },
+    )
+    summary_part = len(SUMMARY_QUANTILES)
+    low, high = report.quantiles["n"][summary_part:]
     if seuils is not None:
         bins = dated_bins = threshold_bins(seuils)
     else:
-        row = report.first()
-        bins = quantile_bins([row[f"e{i}"] for i in range(len(probs))])
-        dated_bins = quantile_bins([row[f"t{i}"] for i in range(len(probs))])
+        bins = quantile_bins(report.quantiles["m"])
+        dated_bins = quantile_bins(report.quantiles["mm"]) if var_mois else bins
 
     keep_empty = seuils is not None
     cells = write_shared(_bin_cells(df, var_quanti, var_cible, var_mois, bins, dated_bins))
@@ -56,9 +74,9 @@ def analyse_quantitative(
     by_bin = fill_bins(cells.groupBy("bin_id").agg(*sums), bins, keep_empty)
     woe = woe_of(with_rates(by_bin), "IV_tranche")
     tables = {
-        "univarie": summary_of(report),
-        "winsorisation": report.select(F.col("w0").alias("bas"), F.col("w1").alias("haut")),
-        "tests": class_tests_of(report),
+        "univarie": summary_of(report, df),
+        "winsorisation": df.sparkSession.createDataFrame([(low, high)], "bas double, haut double"),
+        "tests": class_tests_of(report, df),
         "bivarie": woe,
         "iv": iv_of(woe, "IV_tranche").withColumnRenamed("iv_interpretation", "interpretation"),
     }
@@ -71,11 +89,6 @@ def analyse_quantitative(
     return tables
 
 
-def _one_row(report: DataFrame) -> DataFrame:
-    """Keep the single result row on the driver so its readers do not recompute it."""
-    return report.sparkSession.createDataFrame(report.collect(), report.schema)
-
-
 def _bin_cells(
     df: DataFrame, variable: str, target: str, month: str | None, bins: list[Bin], dated_bins: list[Bin]
 ) -> DataFrame:
@@ -106,8 +119,7 @@ def bin_woe_table(
         bins = threshold_bins(seuils)
     else:
         histogram = value_histogram(df, variable, target)
-        row = rank_report(histogram, edge_probs(n_tranches)).first()
-        bins = quantile_bins([row[f"e{i}"] for i in range(n_tranches + 1)])
+        bins = quantile_bins(histogram_quantiles(histogram, {"m": edge_probs(n_tranches)})["m"])
     cells = _bin_cells(df, variable, target, None, bins, bins)
     by_bin = cells.groupBy("bin_id").agg(F.sum("effectif").alias("effectif"), F.sum("nb_defaut").alias("nb_defaut"))
     return woe_of(with_rates(fill_bins(by_bin, bins, seuils is not None)), "IV_tranche")
