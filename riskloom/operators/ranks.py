@@ -2,8 +2,8 @@
 
 The histogram (distinct value -> counts) is combined on the map side, so a value held by a
 third of the rows is one row of it. Sizes and means come from one aggregate over the histogram,
-rank sums and central moments from one aggregate over its running totals, and quantiles from the
-few histogram rows that hold the wanted ranks; only such single rows reach the driver.
+rank sums, central moments and quantiles from one aggregate over its running totals; only those
+two rows reach the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import binary, nan_to_null, present, require, require_numeric
-from ..functions.numeric import cuts_passed, ratio, rint_number
+from ..functions.numeric import ratio, rint_number
 from ..functions.pvalues import erfc_tail
 from ..sources.shared import write_shared
 from .ordering import SINGLE_TASK_ROWS, running_totals
@@ -70,53 +70,49 @@ def ranked_values(
     return running_totals(known, [F.col("v").asc()], counts, single_task_rows, at_most=values)
 
 
-def histogram_quantiles(
-    histogram: DataFrame,
-    wanted: Mapping[str, Sequence[float]],
-    single_task_rows: int = SINGLE_TASK_ROWS,
-    sizes: dict[str, int] | None = None,
-    ranked: DataFrame | None = None,
-) -> dict[str, list[float | None]]:
-    """Linear quantiles of several populations (count column -> probabilities) in one pass.
+class _Picks:
+    """Aggregates over the ranked histogram that find the values around each quantile.
 
-    The ranks around each quantile are known once the population sizes are; only the histogram
-    rows that hold one of them, at most two per quantile, are fetched. `sizes` and `ranked` save
-    work when the caller has them already.
+    Values ascend with the rows before them, so the value at a rank is the largest one with no
+    more than that many rows before it. Populations of equal size are the same rows (each is a
+    subset of the one before) and share their picks.
     """
-    wanted = {count: list(probs) for count, probs in wanted.items() if probs}
-    if not wanted:
-        return {}
-    sizes = sizes or histogram_sizes(histogram)
-    ranks = {
-        c: sorted({r for q in probs for r in _around(q, sizes[c])}) for c, probs in wanted.items() if sizes[c]
-    }
-    if not ranks:
-        return {c: [None] * len(probs) for c, probs in wanted.items()}
-    holds = F.lit(False)
-    for c, numbers in ranks.items():
-        start = F.col(f"{c}_before")
-        passed = cuts_passed(start + F.col(c), numbers, inclusive=False)
-        holds = holds | (passed > cuts_passed(start, numbers, inclusive=False))
-    columns = ["v", *[name for c in ranks for name in (c, f"{c}_before")]]
-    if ranked is None:
-        ranked = ranked_values(histogram, list(ranks), sizes["values"], single_task_rows)
-    rows = ranked.where(holds).select(*columns).collect()
-
-    def at(count: str, rank: int) -> float:
-        return next(r["v"] for r in rows if r[f"{count}_before"] <= rank < r[f"{count}_before"] + r[count])
-
-    result: dict[str, list[float | None]] = {}
-    for c, probs in wanted.items():
-        values: list[float | None] = []
-        for q in probs:
-            if c not in ranks:
-                values.append(None)
-                continue
-            low, high = _around(q, sizes[c])
-            a, b = at(c, low), at(c, high)
-            values.append(a + (b - a) * (q * (sizes[c] - 1) - low) if a != b else a)
-        result[c] = values
-    return result
+
+    def __init__(self, wanted: Mapping[str, Sequence[float]], sizes: Mapping[str, int]):
+        self.wanted = {count: list(probs) for count, probs in wanted.items()}
+        self.sizes = sizes
+        nested = [c for c in ("n", "m", "mm") if c in sizes]
+        self.same = {c: next((d for d in nested if sizes[d] == sizes[c]), c) if c in nested else c for c in self.wanted}
+        self.ranks = sorted(
+            {
+                (self.same[c], rank)
+                for c, probs in self.wanted.items()
+                if sizes[c]
+                for q in probs
+                for rank in _around(q, sizes[c])
+            }
+        )
+
+    @property
+    def counts(self) -> list[str]:
+        return sorted({c for c, _ in self.ranks})
+
+    def columns(self) -> list[Column]:
+        return [
+            F.max(F.when(F.col(f"{c}_before") <= F.lit(rank), F.col("v"))).alias(f"{c}_at_{rank}")
+            for c, rank in self.ranks
+        ]
+
+    def quantiles(self, row) -> dict[str, list[float | None]]:
+        return {c: [self._quantile(row, c, q) for q in probs] for c, probs in self.wanted.items()}
+
+    def _quantile(self, row, count: str, q: float) -> float | None:
+        size = self.sizes[count]
+        if not size:
+            return None
+        low, high = _around(q, size)
+        a, b = (row[f"{self.same[count]}_at_{rank}"] for rank in (low, high))
+        return a if a == b else a + (b - a) * (q * (size - 1) - low)
 
 
 def _around(q: float, size: int) -> tuple[int, int]:
@@ -124,6 +120,18 @@ def _around(q: float, size: int) -> tuple[int, int]:
     return math.floor(position), math.ceil(position)
 
 
+def histogram_quantiles(
+    histogram: DataFrame, wanted: Mapping[str, Sequence[float]], single_task_rows: int = SINGLE_TASK_ROWS
+) -> dict[str, list[float | None]]:
+    """Linear quantiles of several populations (count column -> probabilities) in one pass."""
+    sizes = histogram_sizes(histogram)
+    picks = _Picks(wanted, sizes)
+    if not picks.ranks:
+        return picks.quantiles({})
+    ranked = ranked_values(histogram, picks.counts, sizes["values"], single_task_rows)
+    return picks.quantiles(ranked.agg(*picks.columns()).first())
+
+
 def exact_quantiles(df: DataFrame, variable: str, probs: Sequence[float]) -> list[float | None]:
     """Exact linear quantiles of a column, as numbers."""
     return histogram_quantiles(value_histogram(df, variable), {"n": probs})["n"]
@@ -173,12 +181,14 @@ def numeric_report(
         sums.append(F.sum(F.col(c) * gap * gap).alias(f"s2_{c}"))
     gap = v - F.lit(means["n"])
     sums += [F.sum(F.col("n") * F.pow(gap, F.lit(float(k)))).alias(f"s{k}_n") for k in (3, 4)]
-    ranked = ranked_values(histogram, populations, sizes["values"], single_task_rows)
-    if len(counts) > 1:
-        second = ranked.agg(*sums, *_rank_sums(sizes["n0"], sizes["n1"])).first()
-        tests = _rank_tests(sizes["n0"], sizes["n1"], second["u0"], second["ties"], second["ap"])
-    else:
-        second, tests = histogram.agg(*sums).first(), {}
+    picks = _Picks(probs, sizes)
+    tested = len(counts) > 1
+    if tested:
+        sums += _rank_sums(sizes["n0"], sizes["n1"])
+    needed = sorted({*picks.counts, *counts})
+    ranked = ranked_values(histogram, needed, sizes["values"], single_task_rows)
+    second = ranked.agg(*sums, *picks.columns()).first()
+    tests = _rank_tests(sizes["n0"], sizes["n1"], second["u0"], second["ties"], second["ap"]) if tested else {}
     return NumericReport(
         first["rows"],
         first["rows"] - sizes["n"],
@@ -189,7 +199,7 @@ def numeric_report(
         first["high"],
         _skewness(sizes["n"], second["s2_n"], second["s3_n"]),
         _kurtosis(sizes["n"], second["s2_n"], second["s4_n"]),
-        histogram_quantiles(histogram, probs, single_task_rows, sizes, ranked),
+        picks.quantiles(second),
         tests,
     )
 
