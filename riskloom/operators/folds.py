@@ -18,7 +18,7 @@ from ..functions.checks import binary, column, require
 from ..sources.shared import write_shared
 
 # Hash slices of the shuffled order; each is an independent window, whatever the class balance.
-FOLD_SLICES = 512
+FOLD_SLICES = 4096
 
 # Ranges of the search (kind, low, high).
 SEARCH_SPACE = {

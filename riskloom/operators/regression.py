@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -91,13 +91,7 @@ def fit_patterns(
     """
     if not features:
         raise ValueError("no feature columns to fit")
-    # positional names keep arbitrary level text out of the assembler
-    inputs = [f"f{i}" for i in range(len(features))]
-    numbered = patterns.select(
-        *[column(name).cast("double").alias(f) for name, f in zip(features, inputs)], *COUNTS
-    )
-    vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(numbered)
-    data = vectors.select("features", *COUNTS).persist(StorageLevel.MEMORY_AND_DISK)
+    data = _vectors(patterns, features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = data.count()
         # few rows, few tasks: every solver iteration is a job over these partitions
@@ -106,7 +100,7 @@ def fit_patterns(
         scored = model.transform(packed)
         probability = F.element_at(vector_to_array("probability"), 2)
         scores = scored.select(probability.alias("p"), *COUNTS)
-        errors = _wald_errors(scored, probability, len(features)) if wald else []
+        errors = _wald_errors(scored, len(features)) if wald else []
         metrics = model_metrics(scores, len(features), prevalence, single_task_rows, rows)
     finally:
         data.unpersist()
@@ -123,6 +117,21 @@ def fit_patterns(
     )
 
 
+def with_wald_errors(fit: LogitFit, patterns: DataFrame) -> LogitFit:
+    """The same fit with standard errors, for one more pass over the patterns."""
+    scored = fit.model.transform(_vectors(patterns, fit.features))
+    return replace(fit, std_errors=_wald_errors(scored, len(fit.features)))
+
+
+def _vectors(patterns: DataFrame, features: Sequence[str]) -> DataFrame:
+    # positional names keep arbitrary level text out of the assembler
+    inputs = [f"f{i}" for i in range(len(features))]
+    numbered = patterns.select(
+        *[column(name).cast("double").alias(f) for name, f in zip(features, inputs)], *COUNTS
+    )
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(numbered).select("features", *COUNTS)
+
+
 def _fit(data: DataFrame) -> LogisticRegressionModel:
     labelled = data.select(
         "features",
@@ -193,13 +202,14 @@ def model_metrics(
     }
 
 
-def _wald_errors(scored: DataFrame, probability: Column, n_features: int) -> list[float | None]:
+def _wald_errors(scored: DataFrame, n_features: int) -> list[float | None]:
     """Standard errors from the information matrix.
 
     Each batch adds w·p(1-p)·xxᵀ into one (k+1)² matrix and only those matrices are shuffled;
     the summed matrix is inverted on the driver. NULL where it is singular.
     """
     size = n_features + 1
+    probability = F.element_at(vector_to_array("probability"), 2)
     weight = (F.col("train_0") + F.col("train_1")) * probability * (1 - probability)
     rows = scored.select(vector_to_array("features").alias("x"), weight.cast("double").alias("w"))
 

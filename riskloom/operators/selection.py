@@ -15,7 +15,7 @@ from ..functions.checks import column
 from ..functions.numeric import ratio
 from ..sources.shared import write_shared
 from .encoding import dummy_columns
-from .regression import COUNTS, METRICS, LogitFit, feature_patterns, fit_patterns
+from .regression import COUNTS, METRICS, LogitFit, feature_patterns, fit_patterns, with_wald_errors
 
 # Criteria where lower is better as is; the others are scores, negated to be minimised.
 MINIMISED = ("bic", "aic")
@@ -58,7 +58,7 @@ class _Candidates:
             code = F.when(column(name) == 1, F.lit(j)).otherwise(code)
         return code
 
-    def fit(self, variables: Sequence[str], wald: bool = False) -> LogitFit:
+    def _design(self, variables: Sequence[str]) -> tuple[DataFrame, list[str]]:
         grouped = self.patterns.groupBy(*[column(v) for v in variables]).agg(*[F.sum(c).alias(c) for c in COUNTS])
         dummies = [
             (column(v) == j).cast("double").alias(name)
@@ -66,7 +66,13 @@ class _Candidates:
             for j, name in enumerate(self.features[v], start=1)
         ]
         names = [name for v in variables for name in self.features[v]]
-        return fit_patterns(grouped.select(*dummies, *COUNTS), names, self.prevalence, wald)
+        return grouped.select(*dummies, *COUNTS), names
+
+    def fit(self, variables: Sequence[str]) -> LogitFit:
+        return fit_patterns(*self._design(variables), self.prevalence)
+
+    def finish(self, fit: LogitFit, variables: Sequence[str]) -> LogitFit:
+        return with_wald_errors(fit, self._design(variables)[0])
 
     def fit_all(self, trials: Sequence[tuple[str, ...]]) -> list[LogitFit]:
         """Independent fits, submitted together so the cluster runs them side by side."""
@@ -113,6 +119,7 @@ def stepwise_selection_categorical(
     history: list[tuple] = []
     best_score: float | None = None
     best_vars: tuple[str, ...] = ()
+    best_fit: LogitFit | None = None
 
     def best_of(options: list[tuple[str, tuple[str, ...]]]):
         fits = candidates.fit_all([trial for _, trial in options])
@@ -124,8 +131,8 @@ def stepwise_selection_categorical(
         return min(scored, key=lambda c: c[:2]) if scored else None
 
     def record(action: str, variable: str, score: float, fit: LogitFit) -> None:
-        nonlocal best_score, best_vars
-        best_score, best_vars = score, tuple(selected)
+        nonlocal best_score, best_vars, best_fit
+        best_score, best_vars, best_fit = score, tuple(selected), fit
         history.append(
             (len(history) + 1, action, variable, list(selected), score, *[fit.metrics[m] for m in METRICS])
         )
@@ -172,7 +179,8 @@ def stepwise_selection_categorical(
                 break
             if max_vars is not None and len(selected) >= max_vars:
                 break
-        final = candidates.fit(best_vars, wald=True) if best_vars else None
+        # fitting the chosen set again would give the same model; it only lacks its errors
+        final = candidates.finish(best_fit, best_vars) if best_fit else None
     finally:
         candidates.pool.close()
     frame = candidates.spark.createDataFrame(history, HISTORY_SCHEMA)

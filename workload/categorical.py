@@ -121,6 +121,30 @@ def information_value_separating(spark, folder):
     return woe.information_value(orders, "o_orderstatus", "y")
 
 
+_BY_VARIABLE = f"""u AS (SELECT 'ligne' AS variable, CAST(ligne AS VARCHAR) AS level, y FROM loans UNION ALL
+  SELECT 'l_linestatus', l_linestatus, y FROM loans UNION ALL SELECT 'annee', CAST(annee AS VARCHAR), y FROM loans),
+lv AS (SELECT variable, level, count(y) AS effectif, CAST(sum(y) AS BIGINT) AS nb_defaut,
+         count(y) - CAST(sum(y) AS BIGINT) AS nb_non_defaut, {pct('sum(y)', 'count(y)')} AS "taux_defaut_%"
+       FROM u WHERE level IS NOT NULL GROUP BY ALL),
+sh AS (SELECT *, nb_defaut / CAST(sum(nb_defaut) OVER (PARTITION BY variable) AS DOUBLE) AS dd,
+              nb_non_defaut / CAST(sum(nb_non_defaut) OVER (PARTITION BY variable) AS DOUBLE) AS dn FROM lv),
+ww AS (SELECT *, {r('ln(greatest(dn, 1e-10) / greatest(dd, 1e-10))', 4)} AS "WoE" FROM sh),
+woe AS (SELECT *, {r('(dn - dd) * "WoE"', 6)} AS "IV_modalite" FROM ww)"""
+
+
+@query(f"""WITH {LOANS}, {_BY_VARIABLE}
+SELECT variable, level, effectif, nb_defaut, nb_non_defaut, "taux_defaut_%", "WoE", "IV_modalite" FROM woe""")
+def weight_of_evidence_by_variable(spark, folder):
+    result = woe.woe_by_variable(loans(spark, folder), ["ligne", "l_linestatus", "annee"], "y")
+    return result.drop("dist_defaut", "dist_non_defaut")
+
+
+@query(f"""WITH {LOANS}, {_BY_VARIABLE}, t AS (SELECT variable, {r('sum("IV_modalite")', 6)} AS iv_total FROM woe GROUP BY variable)
+SELECT variable, iv_total, {IV_CASE} AS iv_interpretation FROM t""")
+def information_value_by_variable(spark, folder):
+    return woe.iv_by_variable(loans(spark, folder), ["ligne", "l_linestatus", "annee"], "y")
+
+
 @query(f"""WITH {LOANS}, {levels_sql('loans', 'ligne')}
 SELECT CAST(sum(effectif) AS BIGINT) AS effectif, CAST(sum(nb_defaut) AS BIGINT) AS nb_defaut,
        {r('CAST(sum(nb_defaut) AS DOUBLE) / sum(effectif) * 100', 6)} AS "taux_global_%" FROM lv""")
