@@ -1,0 +1 @@
+"""Operators: each takes a DataFrame and column names and returns DataFrames."""

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import column, require
-from .levels import as_level, risk_order
+from ..functions.numeric import ratio
+from .levels import as_level, levels_by_variable
 
 SEPARATOR = "&"
 # One column per level: a table wider than this cannot be encoded and is refused.
@@ -30,12 +31,14 @@ def dummy_name(variable: str, level: str) -> str:
 
 def risk_levels(df: DataFrame, variables: Sequence[str], target: str) -> dict[str, list[str]]:
     """Level order per variable by ascending mean target, from one scan for all variables."""
-    ranked = risk_order(df, list(variables), target).select("variable", "level", "rang")
-    rows = ranked.limit(MAX_LEVELS + 1).collect()
+    rated = levels_by_variable(df, list(variables), target).select(
+        "variable", "level", ratio(F.col("nb_defaut"), F.col("n_cible")).alias("taux")
+    )
+    rows = rated.limit(MAX_LEVELS + 1).collect()
     if len(rows) > MAX_LEVELS:
         raise ValueError(f"more than {MAX_LEVELS} levels in {list(variables)}; bin them first")
     order: dict[str, list[str]] = {v: [] for v in variables}
-    for row in sorted(rows, key=lambda r: r["rang"]):
+    for row in sorted(rows, key=lambda r: (r["taux"] is None, r["taux"], r["level"])):
         order[row["variable"]].append(row["level"])
     return order
 

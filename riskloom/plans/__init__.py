@@ -1,0 +1 @@
+"""Complete analyses composed from the operators."""

@@ -1,0 +1 @@
+"""Tables in and out: shared intermediates, synthetic data, tree dumps, bundles."""
