@@ -82,6 +82,19 @@ def test_woe(table, frame):
     assert woe.information_value(table, "niveau", "y").first().iv_total == pytest.approx(expected.IV.sum(), abs=1e-9)
 
 
+def test_many_variables_equal_one_by_one(table):
+    by_variable = woe.woe_by_variable(table, ["niveau", "mois"], "y").collect()
+    for name in ("niveau", "mois"):
+        alone = {str(r[name]): r for r in woe.woe_table(table, name, "y").collect()}
+        together = {r["level"]: r for r in by_variable if r["variable"] == name}
+        assert set(alone) == set(together)
+        for level, r in alone.items():
+            for field in ("effectif", "nb_defaut", "taux_defaut_%", "WoE", "IV_modalite"):
+                assert together[level][field] == r[field]
+    ivs = {r["variable"]: r["iv_total"] for r in woe.iv_by_variable(table, ["niveau", "mois"], "y").collect()}
+    assert ivs["niveau"] == woe.information_value(table, "niveau", "y").first().iv_total
+
+
 def test_woe_of_a_level_without_defaults(spark):
     df = spark.createDataFrame([("a", 0), ("a", 0), ("b", 1), ("b", 0)], "v string, y int")
     a = rows(woe.woe_table(df, "v", "y"), "v")[0]

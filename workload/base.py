@@ -109,3 +109,10 @@ test AS (
          sum(CASE WHEN nr = 2 AND nc = 2 THEN pow(abs(o - e) - least(0.5, abs(o - e)), 2) ELSE pow(o - e, 2) END / e) AS chi2,
          any_value(least(nr, nc)) - 1 AS k
   FROM grid)"""
+
+
+def erfc_sql(x: str) -> str:
+    """Complementary error function of a small argument, by its power series."""
+    return f"""(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda k:
+      (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * k + 1) * ln(greatest(abs({x}), 1e-300)) - lgamma(k + 1)) / (2 * k + 1)))
+      * sign({x}))"""

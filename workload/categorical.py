@@ -15,6 +15,7 @@ from .base import (
     IV_CASE,
     LOANS,
     chi2_sql,
+    erfc_sql,
     joined_text,
     levels_sql,
     loans,
@@ -226,10 +227,10 @@ _TEST = f"""SELECT CAST(n AS BIGINT) AS n, dof, {r('chi2', 6)} AS chi2, {r('CASE
 
 
 @query(f"""WITH {LOANS}, cells AS (SELECT l_linestatus AS x, y, count(*) AS o FROM loans GROUP BY ALL), {chi2_sql('cells')}
-{_TEST} FROM test""")
+{_TEST}, {r(erfc_sql('sqrt(chi2 / 2)'), 6)} AS p_value FROM test""")
 def independence_test_corrected(spark, folder):
-    result = association.chi2_test(loans(spark, folder), "l_linestatus", "y").drop("p_value")
-    return rounded(result, 6, "chi2", "v_cramer")
+    result = association.chi2_test(loans(spark, folder), "l_linestatus", "y")
+    return rounded(result, 6, "chi2", "v_cramer", "p_value")
 
 
 @query(f"""WITH cells AS (SELECT l_returnflag AS x, l_linestatus AS y, count(*) AS o FROM lineitem GROUP BY ALL), {chi2_sql('cells')}
@@ -391,9 +392,11 @@ def categorical_profile_frequencies(spark, folder):
 @query(f"""WITH {LOANS}, {levels_sql('loans', 'ligne')}, {woe_sql()},
 t AS (SELECT {r('sum("IV_modalite")', 6)} AS iv_total FROM woe),
 cells AS (SELECT ligne AS x, y, count(*) AS o FROM loans WHERE ligne IS NOT NULL GROUP BY ALL), {chi2_sql('cells')}
-SELECT {r('chi2', 6)} AS chi2, dof, {r('sqrt(chi2 / (n * k))', 6)} AS v_cramer, iv_total, {IV_CASE} AS iv_interpretation FROM test, t""")
+SELECT {r('chi2', 6)} AS chi2, dof, {r(f"{erfc_sql('sqrt(chi2 / 2)')} + exp(-chi2 / 2) * (sqrt(chi2 / 2) * 2 + pow(chi2 / 2, 1.5) * 4 / 3) / sqrt(pi())", 6)} AS p_value,
+  {r('sqrt(chi2 / (n * k))', 6)} AS v_cramer, iv_total, {IV_CASE} AS iv_interpretation FROM test, t""")
 def categorical_profile_tests(spark, folder):
-    return rounded(_profile(spark, folder, "tests").drop("p_value"), 6, "chi2", "v_cramer")
+    """Six levels against two classes: five degrees of freedom."""
+    return rounded(_profile(spark, folder, "tests"), 6, "chi2", "p_value", "v_cramer")
 
 
 @query(f"WITH {LOANS}, {_MONTHLY} {psi_sql('monthly', 'mois', 'ligne', 'effectif')}")

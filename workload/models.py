@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.checks import column
 from riskloom.operators import encoding, folds, graph, levels, regression, scorecard, selection
 
-from .base import LOANS, loans, r, rounded, table
+from .base import LOANS, erfc_sql, loans, r, rounded, table
 
 QUERIES = {}
 SQL = {}
@@ -38,12 +38,19 @@ def _split(spark, folder):
 _LONG = """long AS (
   SELECT l_orderkey, y, 'ligne' AS variable, coalesce(CAST(ligne AS VARCHAR), 'MISSING') AS level FROM loans UNION ALL
   SELECT l_orderkey, y, 'l_linestatus', l_linestatus FROM loans UNION ALL
-  SELECT l_orderkey, y, 'l_tax', CAST(l_tax AS VARCHAR) FROM loans),
-lv AS (SELECT variable, level, count(*) AS n, CAST(sum(y) AS DOUBLE) AS d, CAST(sum(y) AS DOUBLE) / count(*) AS rate
-       FROM long WHERE l_orderkey % 2 = 0 GROUP BY ALL),
+  SELECT l_orderkey, y, 'l_tax', CAST(l_tax AS VARCHAR) FROM loans)"""
+
+
+def _ranks(where: str) -> str:
+    """CTEs: level counts and risk ranks over the rows that `where` keeps."""
+    return f"""lv AS (SELECT variable, level, count(*) AS n, CAST(sum(y) AS DOUBLE) AS d, CAST(sum(y) AS DOUBLE) / count(*) AS rate
+       FROM long WHERE {where} GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY rate, level) - 1 AS rang FROM lv)"""
 
 
+_TRAIN = "l_orderkey % 2 = 0"
+
+
 def _column_sums(encoded):
     """One row per dummy column: how often it is set, and the sum of the order keys it marks."""
     names = [c for c in encoded.columns if "&" in c]
@@ -60,11 +67,10 @@ def _column_sums(encoded):
     )
 
 
-def _sums_sql(parity: int) -> str:
-    return f"""WITH {LOANS}, {_LONG}
+def _sums_sql(learned_on: str, chosen: str = "true") -> str:
+    return f"""WITH {LOANS}, {_LONG}, {_ranks(learned_on)}
 SELECT rk.variable || '&' || rk.level AS colonne, count(l_orderkey) AS n, CAST(coalesce(sum(l_orderkey), 0) AS BIGINT) AS somme_cle
-FROM rk LEFT JOIN (SELECT * FROM long WHERE l_orderkey % 2 = {parity}) t ON t.variable = rk.variable AND t.level = rk.level
-WHERE rang > 0 GROUP BY ALL"""
+FROM rk LEFT JOIN long t ON t.variable = rk.variable AND t.level = rk.level WHERE rang > 0 AND {chosen} GROUP BY ALL"""
 
 
 def _encoded(spark, folder):
@@ -73,21 +79,25 @@ def _encoded(spark, folder):
     return learned, encoding.get_test_dummies(test, learned.categ, keep=["l_orderkey", "y"])
 
 
-@query(_sums_sql(0))
+@query(_sums_sql("true"))
 def one_hot_training(spark, folder):
-    train, _ = _split(spark, folder)
-    return _column_sums(encoding.get_dummies(train, "y", _VARIABLES, keep=["l_orderkey"]).frame)
+    df = loans(spark, folder).select("l_orderkey", "y", *_VARIABLES)
+    return _column_sums(encoding.get_dummies(df, "y", _VARIABLES, keep=["l_orderkey"]).frame)
 
 
-@query(_sums_sql(1))
-def one_hot_test(spark, folder):
-    return _column_sums(_encoded(spark, folder)[1])
+@query(_sums_sql(_TRAIN))
+def one_hot_stored_order(spark, folder):
+    """The level order learned on the training rows, applied to every row."""
+    train, _ = _split(spark, folder)
+    learned = encoding.get_dummies(train, "y", _VARIABLES)
+    return _column_sums(encoding.get_test_dummies(loans(spark, folder), learned.categ, keep=["l_orderkey"]))
 
 
-@query(_sums_sql(1).replace("WHERE rang > 0", "WHERE rang > 0 AND rk.variable <> 'l_tax'"))
+@query(_sums_sql(_TRAIN, "rk.variable <> 'l_tax'"))
 def design_matrix(spark, folder):
     learned, test = _encoded(spark, folder)
-    return _column_sums(encoding.build_dummies(learned.frame, test, ["ligne", "l_linestatus"], ["l_orderkey"])[1])
+    both = encoding.build_dummies(learned.frame, test, ["ligne", "l_linestatus"], ["l_orderkey"])
+    return _column_sums(both[0].unionByName(both[1]))
 
 
 @query(f"""WITH {LOANS}, v AS (SELECT DISTINCT coalesce(CAST(ligne AS VARCHAR), 'MISSING') AS level FROM loans)
@@ -129,10 +139,11 @@ def _line_model(spark, folder):
 @query(f"""{_RATES}, base AS (SELECT * FROM rates ORDER BY p, level LIMIT 1),
 c AS (SELECT r.level, ln(r.p / (1 - r.p)) - ln(b.p / (1 - b.p)) AS coef,
   sqrt(1 / ((r.a0 + r.a1) * r.p * (1 - r.p)) + 1 / ((b.a0 + b.a1) * b.p * (1 - b.p))) AS se FROM rates r, base b WHERE r.level <> b.level)
-SELECT 'ligne' AS variable, level, {r('coef', 4)} AS coef, {r('se', 4)} AS std_error, {r('coef / se', 3)} AS wald_z FROM c""")
+SELECT 'ligne' AS variable, level, {r('coef', 4)} AS coef, {r('se', 4)} AS std_error, {r('coef / se', 3)} AS wald_z,
+  {r(erfc_sql('coef / se / sqrt(2)'), 3)} AS pvalue FROM c""")
 def logit_coefficients(spark, folder):
-    coefficients = _line_model(spark, folder).coefficient_table(spark).drop("pvalue")
-    return rounded(rounded(coefficients, 4, "coef", "std_error"), 3, "wald_z")
+    coefficients = _line_model(spark, folder).coefficient_table(spark)
+    return rounded(rounded(coefficients, 4, "coef", "std_error"), 3, "wald_z", "pvalue")
 
 
 @query(_METRICS)
@@ -144,7 +155,7 @@ def logit_metrics(spark, folder):
     return rounded(row, 5, "brier_train", "brier_test")
 
 
-@query(f"""WITH {LOANS}, {_LONG},
+@query(f"""WITH {LOANS}, {_LONG}, {_ranks(_TRAIN)},
 b AS (SELECT variable, -2 * sum(d * ln(rate + 1e-15::DOUBLE) + (n - d) * ln(1 - rate + 1e-15::DOUBLE)) + count(*) * ln(sum(n)) AS bic FROM lv GROUP BY variable)
 SELECT CAST(1 AS INTEGER) AS step, 'add' AS action, variable, variable AS selected_vars, {r('bic', 3)} AS best_score FROM b ORDER BY bic LIMIT 1""")
 def stepwise_first_step(spark, folder):
@@ -187,20 +198,31 @@ def step_evolution(spark, folder):
 # --- scorecard --------------------------------------------------------------------------------
 
 
-@query(f"""WITH {LOANS}, {_LONG},
-cf AS (SELECT variable, level, ln(rate / (1 - rate)) - first_value(ln(rate / (1 - rate))) OVER (PARTITION BY variable ORDER BY rang) AS coef, rang FROM rk),
+def _scorecard_sql(learned_on: str, variables: str, digits: int) -> str:
+    """One-variable coefficients are log-odds of each level against its base."""
+    return f"""WITH {LOANS}, {_LONG}, {_ranks(learned_on)},
+cf AS (SELECT variable, level, ln(rate / (1 - rate)) - first_value(ln(rate / (1 - rate))) OVER (PARTITION BY variable ORDER BY rang) AS coef, rang
+       FROM rk WHERE {variables}),
 tops AS (SELECT variable, max(coef) AS coef_max FROM cf WHERE rang > 0 GROUP BY variable),
-s AS (SELECT rk.variable, rk.level, rate * 100 AS taux_cible, n / (SELECT count(*) FROM loans WHERE l_orderkey % 2 = 0)::DOUBLE * 100 AS taux_pop,
+s AS (SELECT rk.variable, rk.level, rate * 100 AS taux_cible, n / CAST((SELECT count(*) FROM loans WHERE {learned_on}) AS DOUBLE) * 100 AS taux_pop,
         CASE WHEN rk.rang > 0 THEN coef ELSE 0 END AS coef, lead(rate) OVER (PARTITION BY rk.variable ORDER BY rate, rk.level) AS nxt, rate,
         1000 * (coef_max - CASE WHEN rk.rang > 0 THEN coef ELSE 0 END) / (SELECT sum(coef_max) FROM tops) AS points
       FROM rk JOIN cf USING (variable, level) JOIN tops ON tops.variable = rk.variable)
-SELECT variable, level, {r('taux_cible', 6)} AS taux_cible, {r('taux_pop', 6)} AS taux_pop, {r('coef', 6)} AS coef,
-       {r('(nxt / rate - 1) * 100', 6)} AS ecart_relatif, {r('points', 4)} AS points_1000,
-       {r('greatest(max(points) OVER (PARTITION BY variable), 0) / 10', 4)} AS contribution FROM s""")
+SELECT variable, level, {r('taux_cible', 6)} AS taux_cible, {r('taux_pop', 6)} AS taux_pop, {r('coef', digits)} AS coef,
+       {r('(nxt / rate - 1) * 100', 6)} AS ecart_relatif, {r('points', digits - 2)} AS points_1000,
+       {r('greatest(max(points) OVER (PARTITION BY variable), 0) / 10', digits - 2)} AS contribution FROM s"""
+
+
+def _card(df, coefficients, digits):
+    card = scorecard.summarize_model(df, "y", coefficients).drop("pvalue")
+    card = rounded(card, 6, "taux_cible", "taux_pop", "ecart_relatif")
+    return rounded(rounded(card, digits, "coef"), digits - 2, "points_1000", "contribution")
+
+
+@query(_scorecard_sql("true", "true", 6))
 def scorecard_points(spark, folder):
-    """Points from one-variable coefficients: log-odds of each level against its base."""
-    train, _ = _split(spark, folder)
-    ranked = levels.risk_order(train, _VARIABLES, "y")
+    df = loans(spark, folder).select("l_orderkey", "y", *_VARIABLES)
+    ranked = levels.risk_order(df, _VARIABLES, "y")
     odds = F.ln(F.col("taux") / (1 - F.col("taux")))
     base = ranked.where(F.col("rang") == 0).select("variable", odds.alias("base"))
     coefficients = (
@@ -208,16 +230,13 @@ def scorecard_points(spark, folder):
         .join(base, "variable")
         .select("variable", "level", (odds - F.col("base")).alias("coef"), F.lit(None).cast("double").alias("pvalue"))
     )
-    card = scorecard.summarize_model(train, "y", coefficients).drop("pvalue")
-    card = rounded(card, 6, "taux_cible", "taux_pop", "coef", "ecart_relatif")
-    return rounded(card, 4, "points_1000", "contribution")
+    return _card(df, coefficients, 6)
 
 
-@query()
+@query(_scorecard_sql(_TRAIN, "variable = 'ligne'", 4))
 def scorecard_from_fit(spark, folder):
     train, _ = _split(spark, folder)
-    fit = _line_model(spark, folder)
-    return scorecard.summarize_model(train, "y", fit.coefficient_table(spark))
+    return _card(train, _line_model(spark, folder).coefficient_table(spark), 4)
 
 
 # --- folds and boosted trees --------------------------------------------------------------------

@@ -8,7 +8,7 @@ from riskloom.functions.numeric import round_even
 from riskloom.operators import binning, charts, ranks, regression
 from riskloom.plans.quantitative import analyse_quantitative, bin_woe_table
 
-from .base import IV_CASE, LOANS, loans, pct, psi_sql, r, rounded, table, woe_sql
+from .base import IV_CASE, LOANS, erfc_sql, loans, pct, psi_sql, r, rounded, table, woe_sql
 
 QUERIES = {}
 SQL = {}
@@ -103,9 +103,13 @@ def class_tests_ties(spark, folder):
     return _class_tests(loans(spark, folder), "quantite")
 
 
-@query()
+@query(f"""WITH {LOANS}, {_ranks_sql('quantite')}, t AS (SELECT sum(pow(n0 + n1, 3) - (n0 + n1)) AS ties FROM hist),
+zz AS (SELECT u0, (greatest(u0, s0 * s1 - u0) - s0 * s1 / 2 - 0.5)
+  / sqrt(s0 * s1 / 12 * ((s0 + s1 + 1) - ties / ((s0 + s1) * (s0 + s1 - 1)))) AS z FROM rk, t)
+SELECT u0 AS "mann_whitney_U", {r(f"least(1, {erfc_sql('z / sqrt(2)')})", 6)} AS mann_whitney_pvalue FROM zz""")
 def mann_whitney_pvalue(spark, folder):
-    return ranks.class_tests(loans(spark, folder), "quantite", "y").select("mann_whitney_U", "mann_whitney_pvalue")
+    result = ranks.class_tests(loans(spark, folder), "quantite", "y").select("mann_whitney_U", "mann_whitney_pvalue")
+    return rounded(result, 6, "mann_whitney_pvalue")
 
 
 @query(f"""WITH {LOANS}, {_ranks_sql('l_extendedprice')}
