@@ -198,7 +198,7 @@ def step_evolution(spark, folder):
 # --- scorecard --------------------------------------------------------------------------------
 
 
-def _scorecard_sql(learned_on: str, variables: str, digits: int) -> str:
+def _scorecard_sql(learned_on: str, variables: str, digits: int, points: int) -> str:
     """One-variable coefficients are log-odds of each level against its base."""
     return f"""WITH {LOANS}, {_LONG}, {_ranks(learned_on)},
 cf AS (SELECT variable, level, ln(rate / (1 - rate)) - first_value(ln(rate / (1 - rate))) OVER (PARTITION BY variable ORDER BY rang) AS coef, rang
@@ -209,17 +209,17 @@ s AS (SELECT rk.variable, rk.level, rate * 100 AS taux_cible, n / CAST((SELECT c
         1000 * (coef_max - CASE WHEN rk.rang > 0 THEN coef ELSE 0 END) / (SELECT sum(coef_max) FROM tops) AS points
       FROM rk JOIN cf USING (variable, level) JOIN tops ON tops.variable = rk.variable)
 SELECT variable, level, {r('taux_cible', 6)} AS taux_cible, {r('taux_pop', 6)} AS taux_pop, {r('coef', digits)} AS coef,
-       {r('(nxt / rate - 1) * 100', 6)} AS ecart_relatif, {r('points', digits - 2)} AS points_1000,
-       {r('greatest(max(points) OVER (PARTITION BY variable), 0) / 10', digits - 2)} AS contribution FROM s"""
+       {r('(nxt / rate - 1) * 100', 6)} AS ecart_relatif, {r('points', points)} AS points_1000,
+       {r('greatest(max(points) OVER (PARTITION BY variable), 0) / 10', points)} AS contribution FROM s"""
 
 
-def _card(df, coefficients, digits):
+def _card(df, coefficients, digits, points):
     card = scorecard.summarize_model(df, "y", coefficients).drop("pvalue")
     card = rounded(card, 6, "taux_cible", "taux_pop", "ecart_relatif")
-    return rounded(rounded(card, digits, "coef"), digits - 2, "points_1000", "contribution")
+    return rounded(rounded(card, digits, "coef"), points, "points_1000", "contribution")
 
 
-@query(_scorecard_sql("true", "true", 6))
+@query(_scorecard_sql("true", "true", 6, 4))
 def scorecard_points(spark, folder):
     df = loans(spark, folder).select("l_orderkey", "y", *_VARIABLES)
     ranked = levels.risk_order(df, _VARIABLES, "y")
@@ -230,13 +230,13 @@ def scorecard_points(spark, folder):
         .join(base, "variable")
         .select("variable", "level", (odds - F.col("base")).alias("coef"), F.lit(None).cast("double").alias("pvalue"))
     )
-    return _card(df, coefficients, 6)
+    return _card(df, coefficients, 6, 4)
 
 
-@query(_scorecard_sql(_TRAIN, "variable = 'ligne'", 4))
+@query(_scorecard_sql(_TRAIN, "variable = 'ligne'", 4, 0))
 def scorecard_from_fit(spark, folder):
     train, _ = _split(spark, folder)
-    return _card(train, _line_model(spark, folder).coefficient_table(spark), 4)
+    return _card(train, _line_model(spark, folder).coefficient_table(spark), 4, 0)
 
 
 # --- folds and boosted trees --------------------------------------------------------------------
