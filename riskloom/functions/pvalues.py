@@ -1,21 +1,12 @@
 """Survival functions for p-values.
 
-Spark has neither erfc nor an incomplete gamma function. These run over result rows only (one
-per test or per coefficient), never over the input rows.
+Spark has neither erfc nor an incomplete gamma function. These are applied on the driver to single
+results, one per test or per coefficient.
 """
 
 from __future__ import annotations
 
 import math
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# the functions travel with the task, so executors need not have this package installed
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _TINY = 1e-300
 _EPS = 1e-16
@@ -63,11 +54,3 @@ def erfc_tail(z: float) -> float:
 
 def normal_two_sided_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
-
-
-@F.pandas_udf(T.DoubleType())
-def chi2_survival(statistic: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if pd.isna(s) or pd.isna(k) else chi2_tail(s, int(k)) for s, k in zip(statistic, dof)],
-        dtype="float64",
-    )

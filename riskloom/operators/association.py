@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import column, nan_to_null, require
 from ..functions.numeric import ratio
-from ..functions.pvalues import chi2_survival
+from ..functions.pvalues import chi2_tail
 from .levels import contingency
 
 # Column pairs expanded per row in one pass; wider tables are handled in several passes.
@@ -69,8 +69,11 @@ def _pair_sums(cells: DataFrame, by: list[str]) -> DataFrame:
 
 def chi2_of(cells: DataFrame) -> DataFrame:
     """One row (n, dof, chi2, v_cramer, p_value) from a long contingency table (x, y, o)."""
-    tested = _pair_sums(cells, []).select(*_test_columns())
-    return tested.withColumn("p_value", chi2_survival("chi2", "dof"))
+    n, dof, chi2, v = _pair_sums(cells, []).select(*_test_columns()).first()
+    p = None if chi2 is None else chi2_tail(chi2, dof)
+    return cells.sparkSession.createDataFrame(
+        [(n, dof, chi2, v, p)], "n long, dof long, chi2 double, v_cramer double, p_value double"
+    )
 
 
 def chi2_test(df: DataFrame, x: str, y: str) -> DataFrame:

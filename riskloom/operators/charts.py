@@ -24,11 +24,11 @@ KERNEL_REACH = 38.7
 
 
 def _winsorised(histogram: DataFrame, limits: tuple[float, float]) -> tuple[DataFrame, float | None, float | None]:
-    """(v, n) clipped to two exact quantiles, and the two limits."""
+    """(v, n) clipped to two exact quantiles, and the two limits; the limits may repeat."""
     low, high = histogram_quantiles(histogram, {"n": limits})["n"]
     clipped = F.least(F.greatest(F.col("v"), F.lit(low)), F.lit(high))
     known = histogram.where(F.col("v").isNotNull())
-    return known.select(clipped.alias("v"), "n").groupBy("v").agg(F.sum("n").alias("n")), low, high
+    return known.select(clipped.alias("v"), "n"), low, high
 
 
 def density_histogram(

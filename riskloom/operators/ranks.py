@@ -244,11 +244,12 @@ def _rank_tests(n0: int, n1: int, u0: float | None, ties: float | None, ap: floa
         return dict.fromkeys(("mann_whitney_U", "mann_whitney_pvalue", "auc", "auc_ajuste")) | {"auc_pr": ap}
     n, pairs = n0 + n1, float(n0) * n1
     deviation = math.sqrt(max(0.0, pairs / 12 * ((n + 1) - ties / (float(n) * (n - 1)))))
-    z = (max(u0, pairs - u0) - pairs / 2 - 0.5) / deviation if deviation else None
+    # without any spread of ranks the correction alone decides: p = 1
+    z = (max(u0, pairs - u0) - pairs / 2 - 0.5) / deviation if deviation else -math.inf
     auc = (pairs - u0) / pairs
     return {
         "mann_whitney_U": u0,
-        "mann_whitney_pvalue": None if z is None else erfc_tail(z),
+        "mann_whitney_pvalue": erfc_tail(z),
         "auc": auc,
         "auc_ajuste": max(auc, 1 - auc),
         "auc_pr": ap,

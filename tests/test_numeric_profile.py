@@ -99,6 +99,12 @@ def test_score_metrics(table, frame, single_task_rows):
     assert mirrored.auc == pytest.approx(1 - auc)
 
 
+def test_constant_column_is_no_evidence(spark):
+    df = spark.createDataFrame([(5.0, 0), (5.0, 1), (5.0, 1)], "x double, y int")
+    got = ranks.class_tests(df, "x", "y").first()
+    assert (got.mann_whitney_U, got.mann_whitney_pvalue, got.auc) == (1.0, 1.0, 0.5)
+
+
 def test_one_class_has_no_rank_tests(spark):
     df = spark.createDataFrame([(1.0, 0), (2.0, 0)], "x double, y int")
     got = ranks.class_tests(df, "x", "y").first()

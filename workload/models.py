@@ -54,17 +54,12 @@ _TRAIN = "l_orderkey % 2 = 0"
 def _column_sums(encoded):
     """One row per dummy column: how often it is set, and the sum of the order keys it marks."""
     names = [c for c in encoded.columns if "&" in c]
-    sums = encoded.select(
-        F.array(
-            *[
-                F.struct(F.lit(c).alias("colonne"), column(c).alias("d"), F.col("l_orderkey").alias("k"))
-                for c in names
-            ]
-        ).alias("cells")
-    ).select(F.explode("cells").alias("c"))
-    return sums.groupBy("c.colonne").agg(
-        F.sum("c.d").alias("n"), F.sum(F.col("c.d") * F.col("c.k")).alias("somme_cle")
-    )
+    k = F.col("l_orderkey")
+    sums = [
+        F.struct(F.lit(c).alias("colonne"), F.sum(column(c)).alias("n"), F.sum(column(c) * k).alias("somme_cle"))
+        for c in names
+    ]
+    return encoded.agg(F.array(*sums).alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
 
 
 def _sums_sql(learned_on: str, chosen: str = "true") -> str:
