@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.checks import column, nan_to_null, require
+from ..functions.checks import nan_to_null, require
 from ..functions.numeric import ratio
 from ..functions.pvalues import chi2_tail
 from .levels import contingency
@@ -46,12 +46,12 @@ def _pair_sums(cells: DataFrame, by: list[str]) -> DataFrame:
     """
     rows = cells.groupBy(*by, "x").agg(F.sum("o").alias("row_n"))
     cols = cells.groupBy(*by, "y").agg(F.sum("o").alias("col_n"))
-    joined = cells.join(rows, [*by, "x"]).join(cols, [*by, "y"])
     if by:
-        sizes = cells.groupBy(*by).agg(F.sum("o").alias("pair_n"))
-        joined = joined.join(sizes, by)
+        # the group sizes travel with the margins, which are far fewer than the cells
+        rows = rows.join(cells.groupBy(*by).agg(F.sum("o").alias("pair_n")), by)
     else:
-        joined = joined.withColumn("pair_n", cells.agg(F.sum("o")).scalar())
+        rows = rows.withColumn("pair_n", cells.agg(F.sum("o")).scalar())
+    joined = cells.join(rows, [*by, "x"]).join(cols, [*by, "y"])
     o, row_n, col_n = (F.col(name).cast("double") for name in ("o", "row_n", "col_n"))
     expected = row_n * col_n / F.col("pair_n")
     return joined.groupBy(*by).agg(
@@ -89,36 +89,40 @@ def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:
 def cramers_v_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(variable_1, variable_2, v_cramer) for each unordered pair of columns, from one scan.
 
-    Each row is expanded to one record per pair of columns and combined on the map side, so
-    only contingency cells are shuffled.
+    Rows are first combined into distinct rows with a count, so that each of them, not each row
+    of the table, is expanded to one record per pair of columns; at worst, with every row
+    distinct, that adds one shuffle of rows to the shuffle of their pairs. The records combine
+    on the map side into contingency cells.
     """
     names = list(columns or df.columns)
     require(df, *names)
-    values = df.select(*[nan_to_null(df, name).cast("string").alias(name) for name in names])
-    pairs = list(combinations(names, 2))
+    pairs = list(combinations(range(len(names)), 2))
     if not pairs:
         raise ValueError("at least two columns are needed")
+    keys = [f"c{i}" for i in range(len(names))]
+    values = df.select(*[nan_to_null(df, name).cast("string").alias(key) for name, key in zip(names, keys)])
+    distinct = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("w"))
+    by = ["variable_1", "variable_2"]
     result = None
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
         records = F.array(
             *[
                 F.struct(
-                    F.lit(a).alias("variable_1"),
-                    F.lit(b).alias("variable_2"),
-                    column(a).alias("x"),
-                    column(b).alias("y"),
+                    F.lit(names[i]).alias("variable_1"),
+                    F.lit(names[j]).alias("variable_2"),
+                    F.col(keys[i]).alias("x"),
+                    F.col(keys[j]).alias("y"),
                 )
-                for a, b in pairs[start : start + PAIRS_PER_SCAN]
+                for i, j in pairs[start : start + PAIRS_PER_SCAN]
             ]
         )
         cells = (
-            values.select(F.explode(records).alias("p"))
-            .select("p.*")
+            distinct.select("w", F.explode(records).alias("p"))
+            .select("w", "p.*")
             .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-            .groupBy("variable_1", "variable_2", "x", "y")
-            .agg(F.count(F.lit(1)).alias("o"))
+            .groupBy(*by, "x", "y")
+            .agg(F.sum("w").alias("o"))
         )
-        by = ["variable_1", "variable_2"]
         block = _pair_sums(cells, by).select(*by, *_test_columns()).select(*by, "v_cramer")
         result = block if result is None else result.unionByName(block)
     return result
