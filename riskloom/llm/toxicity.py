@@ -32,11 +32,11 @@ ROWS_PER_SHARD = 6_000
 
 @dataclass(frozen=True)
 class Settings:
-    alpha: float = 0.05
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 4.0
-    l2: float = 1.0
-    epochs: int = 3
+    l1: float = 6.0
+    l2: float = 0.1
+    epochs: int = 5
 
 
 def text_features(hashes: np.ndarray) -> np.ndarray:
