@@ -8,9 +8,13 @@ rows are written as Parquet in the session's shared folder and read again.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskloom.llm.common import table
+from riskloom.llm.linededup import dedup_lines
+from riskloom.llm.op7 import one_of_each
 from riskloom.llm.op8 import mixed_documents
+from riskloom.llm.op9 import packed
 from riskloom.llm.op10 import keep_good
 from riskloom.sources.shared import write_shared
 
@@ -19,12 +23,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return dedup_lines(docs).select(*columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("mixing", mixing)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packed(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources", mixing),
+    ("packing", packing),
+]
 
+#: The learned rules, the tokenizer and the curve have no SQL; tests compare stages with brute force.
 ORACLE_SQL = None
 
 

@@ -56,25 +56,45 @@ def _hashed(data: bytes, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix64(np.add.reduceat(value, first) + length.astype(np.uint64))
 
 
-def word_hashes(texts: Sequence[bytes | None], inside: np.ndarray = NOT_SPACE) -> Iterator[np.ndarray]:
-    """For each text the hashes of its words in order, A-Z lower-cased; none for NULL."""
+def word_groups(
+    texts: Sequence[bytes | None], inside: np.ndarray = NOT_SPACE
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes of groups of neighbouring texts, A-Z lower-cased, and where each text's words begin
+    and the last one's end. A group has about a megabyte, or one longer text."""
     group: list[bytes] = []
     size = 0
 
-    def flush() -> Iterator[np.ndarray]:
+    def hashed() -> tuple[np.ndarray, np.ndarray]:
         starts, hashes = _hashed(b"\n".join(group).lower(), inside)
         ends = np.cumsum([len(t) + 1 for t in group])
-        yield from np.split(hashes, np.searchsorted(starts, ends[:-1]))
+        return hashes, np.concatenate([[0], np.searchsorted(starts, ends)])
 
     for text in texts:
         text = text or b""
         if group and size + len(text) > _GROUP_BYTES:
-            yield from flush()
+            yield hashed()
             group, size = [], 0
         group.append(text)
         size += len(text) + 1
     if group:
-        yield from flush()
+        yield hashed()
+
+
+def word_hashes(texts: Sequence[bytes | None], inside: np.ndarray = NOT_SPACE) -> Iterator[np.ndarray]:
+    """For each text the hashes of its words in order; none for NULL."""
+    for hashes, bounds in word_groups(texts, inside):
+        yield from np.split(hashes, bounds[1:-1])
+
+
+def shingle_sets(texts: Sequence[bytes | None], n: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its runs of `n` words; fewer words are one run."""
+    for hashes, bounds in word_groups(texts):
+        runs = sequence_hashes(hashes, n)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            if b - a >= n:
+                yield np.unique(runs[a : b - n + 1])
+            else:
+                yield sequence_hashes(hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64)
 
 
 def sequence_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
