@@ -204,7 +204,8 @@ def dedup_lines(
         .agg(F.collect_set(F.struct("first", "last")).alias("runs"), F.max("n").alias("n"))
         .select(*[F.col(c).alias(f"__{c}") for c in KEY], _left("runs", "n").alias("__kept"))
     )
-    joined = keyed.join(write_shared(kept), ["__z", "__d", "__k"], "left")
+    # a shuffle at every size: how many rows are cut depends on the data, not on a bound
+    joined = keyed.join(write_shared(kept).hint("merge"), ["__z", "__d", "__k"], "left")
     body = F.split(F.col(f"`{text}`"), "\n")
     left = F.array_join(
         F.flatten(F.transform("__kept", lambda r: F.slice(body, r["first"] + 1, r["length"]))), "\n"
