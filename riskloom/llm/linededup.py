@@ -170,7 +170,6 @@ def repeated_runs(lines: DataFrame, least_words: int) -> DataFrame:
     return runs.join(earliest.drop("times"), ["h1", "h2"]).where(place > F.col("place")).select(*KEY, "first", "last", "n")
 
 
-@F.pandas_udf("array<struct<first:int,length:int>>")
 def _left(runs: pd.Series, n: pd.Series) -> pd.Series:
     """The line ranges that no run covers."""
     out = []
@@ -199,10 +198,11 @@ def dedup_lines(
     keyed = with_keys(docs, id_column, text)
     lines = write_shared(line_table(keyed, text))
     runs = repeated_runs(lines, least_words)
+    uncovered = F.pandas_udf(_left, "array<struct<first:int,length:int>>")
     kept = (
         runs.groupBy(*KEY)
         .agg(F.collect_set(F.struct("first", "last")).alias("runs"), F.max("n").alias("n"))
-        .select(*[F.col(c).alias(f"__{c}") for c in KEY], _left("runs", "n").alias("__kept"))
+        .select(*[F.col(c).alias(f"__{c}") for c in KEY], uncovered("runs", "n").alias("__kept"))
     )
     # a shuffle at every size: how many rows are cut depends on the data, not on a bound
     joined = keyed.join(write_shared(kept).hint("merge"), ["__z", "__d", "__k"], "left")

@@ -58,7 +58,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rules = learn_quality_rules(stats, labels, PREFIX)
     judged = with_statistics(docs, prefix=PREFIX)
     good = ~base_failed(PREFIX) & ~rules.rejects(ratios(PREFIX))
-    return judged.where(good).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # a plain filter would be pushed below the statistics, which would then be computed word by word
+    kept = judged.select("*", F.explode(F.array_repeat(F.lit(True), good.cast("int"))).alias("__kept"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 QUERIES = {"op10_quality_rules": quality_rules}
