@@ -51,9 +51,37 @@ def needed_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def group_counts(shingles: np.ndarray) -> np.ndarray:
-    counts = np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    return np.minimum(counts, 65535).astype(np.uint16)
+def group_counts(shingles: np.ndarray) -> bytes:
+    """Counts per group as bytes: GROUPS or a larger power of two, so that few share a group."""
+    groups = GROUPS
+    while True:
+        counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+        if len(shingles) <= 8 * groups and counts.max() < 256:
+            return counts.astype(np.uint8).tobytes()
+        groups *= 2
+
+
+def folded(vectors: list[bytes], groups: int) -> np.ndarray:
+    """The points with `groups` coordinates each; finer groups add up to coarser ones."""
+    out, sizes = np.zeros((len(vectors), groups), np.int32), np.array([len(v) for v in vectors], np.int64)
+    for g in np.unique(sizes):
+        at = np.flatnonzero(sizes == g)
+        cells = np.frombuffer(b"".join([vectors[k] for k in at]), np.uint8)
+        out[at] = cells.reshape(len(at), g // groups, groups).sum(axis=1, dtype=np.int32)
+    return out
+
+
+def overlap_bounds(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Sum of coordinate minima of each pair, in the finest groups that both have."""
+    out = np.zeros(len(a), np.int64)
+    fine = np.minimum([len(v) for v in a], [len(v) for v in b]) if a else np.zeros(0, np.int64)
+    for g in np.unique(fine):
+        every = np.flatnonzero(fine == g)
+        step = max(1, (1 << 22) // int(g))
+        for k in range(0, len(every), step):
+            at = every[k : k + step]
+            out[at] = np.minimum(folded([a[i] for i in at], int(g)), folded([b[i] for i in at], int(g))).sum(axis=1)
+    return out
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
@@ -76,7 +104,7 @@ def document_nodes(docs: DataFrame) -> DataFrame:
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 sizes.append(len(s))
                 nodes.append(digest)
-                vectors.append(group_counts(s).tobytes())
+                vectors.append(group_counts(s))
                 distinct[digest] = s
             every, counts = np.unique(np.concatenate([*distinct.values(), np.zeros(0, np.uint64)]), return_counts=True)
             often = counts >= FREQUENT_IN_BATCH
@@ -265,7 +293,8 @@ def bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
         def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             key = rows.column("bucket").to_numpy()
             s, n, part, side = (rows.column(c).to_numpy() for c in ("s", "n", "part", "side"))
-            vectors = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.uint16).reshape(-1, GROUPS)
+            vectors = rows.column("vector").to_pylist()
+            points = folded(vectors, GROUPS)
             cuts = np.flatnonzero(np.diff(key)) + 1
             out = []
             for a, b in zip([0, *cuts], [*cuts, len(key)]):
@@ -274,8 +303,10 @@ def bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
                 one_sided = split == b - a
                 if not one_sided and split == 0:
                     continue
-                i, j = rtree_pairs(vectors[order], n[order], part[order], percent, None if one_sided else split)
-                out.append((s[order][i], s[order][j]))
+                i, j = rtree_pairs(points[order], n[order], part[order], percent, None if one_sided else split)
+                i, j = order[i], order[j]
+                fits = overlap_bounds([vectors[k] for k in i], [vectors[k] for k in j]) >= needed_overlap(n[i], n[j], percent)
+                out.append((s[i[fits]], s[j[fits]]))
             for i, j in out:
                 if len(i):
                     yield pa.RecordBatch.from_arrays(
@@ -295,28 +326,31 @@ def bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
     return members.mapInArrow(search, "s long, t long").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs (s, t) of half ids whose whole sets reach the threshold.
-
-    Points are compared before texts are read, so only sets that may link are built.
-    """
-    one = nodes.select("s", "node", "n", "vector", "doc_id")
-    left = one.select(F.col("s"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"), F.col("doc_id").alias("da"))
-    right = one.select(F.col("s").alias("t"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb"), F.col("doc_id").alias("db"))
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (s, t) whose points allow a link."""
+    one = nodes.select("s", "n", "vector")
+    left = one.select("s", F.col("n").alias("na"), F.col("vector").alias("va"))
+    right = one.select(F.col("s").alias("t"), F.col("n").alias("nb"), F.col("vector").alias("vb"))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            va, vb = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, GROUPS) for c in ("va", "vb")
-            )
-            fits = np.minimum(va, vb).sum(axis=1, dtype=np.int64) >= needed_overlap(na, nb, percent)
-            yield batch.select(["a", "da", "b", "db"]).filter(pa.array(fits))
+            va, vb = (batch.column(c).to_pylist() for c in ("va", "vb"))
+            fits = overlap_bounds(va, vb) >= needed_overlap(na, nb, percent)
+            yield batch.select(["s", "t"]).filter(pa.array(fits))
 
-    close = write_shared(
-        pairs.join(left, "s").join(right, "t").where("a <> b").select("a", "da", "na", "va", "b", "db", "nb", "vb")
-        .mapInArrow(bounded, "a binary, da long, b binary, db long")
-    )
+    both = pairs.join(left, "s").join(right, "t").where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
+    return both.select("s", "na", "va", "t", "nb", "vb").mapInArrow(bounded, "s long, t long")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs (s, t) of half ids whose whole sets reach the threshold.
+
+    Only the sets of nodes in a pair are built from their texts.
+    """
+    left = nodes.select("s", F.col("node").alias("a"), F.col("doc_id").alias("da"))
+    right = nodes.select(F.col("s").alias("t"), F.col("node").alias("b"), F.col("doc_id").alias("db"))
+    close = write_shared(pairs.join(left, "s").join(right, "t").where("a <> b").select("a", "da", "b", "db"))
     wanted = close.select(F.explode(F.array("da", "db")).alias("doc_id")).distinct()
     texts = docs.join(broadcast_if_small(wanted), "doc_id")
 
@@ -359,15 +393,15 @@ def jaccard_components(
         .groupBy("node", "s", "n", "vector")
         .agg(F.min("doc_id").alias("doc_id"))
     )
-    met = write_shared(buckets(source, frequent_shingles(described), percent))
-    first = write_shared(verified(source, closest_leaders(met), nodes, percent))
+    met = buckets(source, frequent_shingles(described), percent)
+    first = write_shared(verified(source, possible(closest_leaders(met), nodes, percent), nodes, percent))
     tied = connected_components(first)
 
     # components as numbers, of the nodes in buckets only
-    known = nodes.join(tied, "node", "left").select(
-        "s", "n", "vector", F.xxhash64(F.coalesce("component", "node")).alias("part")
+    known = write_shared(
+        nodes.select("node", "s").join(tied, "node", "left").select("s", F.xxhash64(F.coalesce("component", "node")).alias("part"))
     )
-    parts = met.join(known.select("s", "part"), "s")
+    parts = met.join(known, "s")
     open_ = (
         parts.groupBy("h")
         .agg(
@@ -393,7 +427,8 @@ def jaccard_components(
             (F.col("own") > F.col("other")).cast("int").alias("side"),
         )
     )
-    members = placed.join(known, "s").repartition("bucket").sortWithinPartitions("bucket")
+    points = nodes.select("s", "n", "vector")
+    members = placed.join(known, "s").join(points, "s").repartition("bucket").sortWithinPartitions("bucket")
     more = write_shared(bucket_pairs(members, percent))
     second = verified(source, more, nodes, percent)
     final = connected_components(first.unionAll(second))

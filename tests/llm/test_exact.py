@@ -11,7 +11,7 @@ import pytest
 
 from llm_data import documents, empty, prose
 from riskloom.llm.components import connected_components
-from riskloom.llm.jaccard import jaccard_components, needed_overlap, rtree_pairs
+from riskloom.llm.jaccard import folded, group_counts, jaccard_components, needed_overlap, overlap_bounds, rtree_pairs
 from riskloom.llm.linededup import dedup_lines
 from riskloom.llm.op7 import one_of_each
 from riskloom.llm.op9 import tokenizer_path
@@ -134,6 +134,17 @@ def test_rtree_loses_no_pair(split):
     assert got == expected and len(expected) > 100 and len(i) == len(got)
 
 
+def test_finer_groups_bound_the_overlap():
+    r = np.random.default_rng(8)
+    pool = r.integers(0, 2**63, 9000).astype(np.uint64)
+    sets = [np.unique(r.choice(pool, n)) for n in (3, 500, 700, 1100, 2500, 9000)]
+    vectors = [group_counts(s) for s in sets]
+    assert [len(v) for v in vectors][:3] == [64, 64, 128]
+    for (a, x), (b, y) in itertools.combinations(zip(sets, vectors), 2):
+        fine, coarse = overlap_bounds([x], [y])[0], np.minimum(folded([x], 64), folded([y], 64)).sum()
+        assert len(np.intersect1d(a, b)) <= fine <= coarse
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(200, 100), (100, 200), (300, 300), (150, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
