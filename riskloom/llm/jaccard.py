@@ -8,8 +8,8 @@ cost: any order finds every pair.
 
 A node's shingles are hashed to groups; the group counts are a point. The sum of the smaller
 coordinates of two points bounds the overlap of their sets from above. First every node is compared
-with the node that leads most of its buckets, which ties copies together without pairing them
-out. Then every bucket that still holds more than one component is searched with an R-tree over
+with the few nodes that lead most of its buckets, which ties copies together without pairing
+them out. Then every bucket that still holds more than one component is searched with an R-tree over
 its points: a tree node keeps the largest coordinates below it, and two tree nodes are followed
 only while their bound, their sizes and their components allow a new link. Surviving pairs are
 verified on the whole sets. Buckets beyond a size are dealt to pairs of blocks.
@@ -40,10 +40,11 @@ WORDS = 5
 PERCENT = 75
 GROUPS = 64
 FREQUENT = 200_000  # bound of the broadcast list of frequent shingles
-FREQUENT_IN_BATCH = 8
+ROWS_AT_ONCE = 2048
 BLOCK = 2048
 FANOUT = 16
 SALTS = 64
+LEADERS = 3
 
 
 def needed_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -52,11 +53,11 @@ def needed_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def group_counts(shingles: np.ndarray) -> bytes:
-    """Counts per group as bytes: GROUPS or a larger power of two, so that few share a group."""
+    """Counts per group as bytes: GROUPS or the next power of two, so that about one shares a group."""
     groups = GROUPS
     while True:
         counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-        if len(shingles) <= 8 * groups and counts.max() < 256:
+        if len(shingles) <= groups and counts.max() < 256:
             return counts.astype(np.uint8).tobytes()
         groups *= 2
 
@@ -96,9 +97,7 @@ def document_nodes(docs: DataFrame) -> DataFrame:
     """(doc_id, n, node, vector) per row, and on some rows shingles that are frequent around it."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(k, ROWS_AT_ONCE) for b in batches for k in range(0, b.num_rows, ROWS_AT_ONCE)):
             sizes, nodes, vectors, distinct = [], [], [], {}
             for s in shingle_sets(_texts(batch), WORDS):
                 digest = xxhash.xxh3_128_digest(s.tobytes())
@@ -107,7 +106,7 @@ def document_nodes(docs: DataFrame) -> DataFrame:
                 vectors.append(group_counts(s))
                 distinct[digest] = s
             every, counts = np.unique(np.concatenate([*distinct.values(), np.zeros(0, np.uint64)]), return_counts=True)
-            often = counts >= FREQUENT_IN_BATCH
+            often = counts >= max(2, -(-len(distinct) // 256))
             rest = [None] * (len(sizes) - 1)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -160,13 +159,13 @@ def leading(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percen
 
 
 def buckets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """(h, s, leader): nodes by half id in each bucket of at least two, and the least of them."""
+    """(h, s): nodes by half id in each bucket of at least two."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ranks = shared.value
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in (b.slice(k, ROWS_AT_ONCE) for b in batches for k in range(0, b.num_rows, ROWS_AT_ONCE)):
             if len(seen) > 200_000:
                 seen.clear()
             keys, nodes, often = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
@@ -199,16 +198,22 @@ def buckets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: i
     )
     # at most as many rows as there are frequent shingles, whatever the input
     leaders = met.where("often").groupBy("h").agg(F.min("leader").alias("first"), F.max("s").alias("top"))
-    often = (
-        met.where("often").join(F.broadcast(leaders), "h").where("first < top").select("h", "s", F.col("first").alias("leader"))
-    )
-    return met.where("NOT often").select("h", "s", "leader").unionAll(often)
+    often = met.where("often").join(F.broadcast(leaders), "h").where("first < top").select("h", "s")
+    return met.where("NOT often").select("h", "s").unionAll(often)
 
 
 def closest_leaders(met: DataFrame) -> DataFrame:
-    """(s, t): for each node the leader of most of its buckets."""
-    counted = met.where("s <> leader").groupBy("s", "leader").agg(F.count(F.lit(1)).alias("c"))
-    return counted.groupBy("s").agg(F.max(F.struct("c", "leader"))["leader"].alias("t"))
+    """(s, t): for each node up to LEADERS nodes that lead most of its buckets.
+
+    A bucket is led by the node that is in most buckets: the text that others were copied from has
+    no rare shingles of its own, so it meets all its copies, while two copies may be too far apart.
+    """
+    degree = met.groupBy("s").agg(F.count(F.lit(1)).alias("degree"))
+    ranked = met.join(degree, "s")
+    led = ranked.groupBy("h").agg(F.max(F.struct("degree", "s"))["s"].alias("t"))
+    counted = ranked.join(led, "h").where("s <> t").groupBy("s", "t").agg(F.count(F.lit(1)).alias("c"))
+    best = W.partitionBy("s").orderBy(F.col("c").desc(), "t")
+    return counted.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS).select("s", "t")
 
 
 def rtree_levels(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray) -> list[tuple]:
