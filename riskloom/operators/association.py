@@ -144,11 +144,15 @@ def cramers_v_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFra
             )
         ).alias("e")
     ).select("e.*")
-    return both.groupBy("variable").agg(
+    found = both.groupBy("variable").agg(
+        *[F.first(F.when(F.col("other") == name, F.col("v_cramer")), True).alias(f"v{i}") for i, name in enumerate(names)]
+    )
+    # a column without any complete pair still has its row
+    rows = df.sparkSession.createDataFrame([(name,) for name in names], "variable string")
+    return rows.join(found, "variable", "left").select(
+        "variable",
         *[
-            F.when(F.col("variable") == name, F.lit(1.0))
-            .otherwise(F.first(F.when(F.col("other") == name, F.col("v_cramer")), True))
-            .alias(name)
-            for name in names
-        ]
+            F.when(F.col("variable") == name, F.lit(1.0)).otherwise(F.col(f"v{i}")).alias(name)
+            for i, name in enumerate(names)
+        ],
     )

@@ -3,10 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +10,7 @@ from ..functions.checks import column
 from ..functions.numeric import ratio
 from ..sources.shared import write_shared
 from .levels import global_rate_of
-from .ordering import SINGLE_TASK_ROWS, running_totals
+from .ordering import running_totals
 from .ranks import QUARTILES, histogram_quantiles, value_histogram
 
 HISTOGRAM_BINS = 50
@@ -68,9 +64,8 @@ def density_curve(
     """(point_id, x, densite): Gaussian kernel density of the winsorised column, Scott bandwidth,
     on a grid half a range wider on each side.
 
-    Each batch of distinct values adds its kernels into one small grid-sized array, and the
-    arrays are summed per grid point; a value only touches grid points where its kernel is not
-    zero in double precision.
+    Each distinct value meets the grid points where its kernel is not zero in double precision;
+    the sums per grid point combine on the map side.
     """
     spark = df.sparkSession
     values, low, high = _winsorised(value_histogram(df, variable), limits)
@@ -83,24 +78,24 @@ def density_curve(
     start, step = low - 0.5 * (high - low), 2 * (high - low) / (points - 1)
     reach = KERNEL_REACH * bandwidth
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grid = start + step * np.arange(points)
-        total = np.zeros(points)
-        for batch in batches:
-            ordered = batch.sort_values("v")
-            xs, ws = ordered["v"].to_numpy(), ordered["n"].to_numpy(dtype=float)
-            for i in range(0, len(xs), 256):
-                x, w = xs[i : i + 256], ws[i : i + 256]
-                a = np.searchsorted(grid, x[0] - reach)
-                b = np.searchsorted(grid, x[-1] + reach, side="right")
-                z = (grid[a:b, None] - x[None, :]) / bandwidth
-                total[a:b] += np.exp(-0.5 * z * z) @ w
-        yield pd.DataFrame({"point_id": np.arange(points), "part": total})
-
-    parts = values.mapInPandas(spread, "point_id long, part double")
+    def place(x, rounded):
+        return F.least(F.greatest(rounded((x - F.lit(start)) / F.lit(step)), F.lit(-1)), F.lit(points)).cast("int")
+
+    first = F.greatest(place(v - F.lit(reach), F.ceil), F.lit(0))
+    last = F.least(place(v + F.lit(reach), F.floor), F.lit(points - 1))
+    near = values.select("v", "n", first.alias("a"), last.alias("b")).where("a <= b")
+    z = (F.lit(start) + F.col("point_id") * F.lit(step) - v) / F.lit(bandwidth)
+    parts = (
+        near.select("v", "n", F.explode(F.sequence("a", "b")).alias("point_id"))
+        .groupBy(F.col("point_id").cast("long").alias("point_id"))
+        .agg(F.sum(n * F.exp(-0.5 * z * z)).alias("part"))
+    )
     scale = size * bandwidth * math.sqrt(2 * math.pi)
-    return parts.groupBy("point_id").agg((F.sum("part") / F.lit(scale)).alias("densite")).select(
-        "point_id", (F.lit(start) + F.col("point_id") * F.lit(step)).alias("x"), "densite"
+    grid = spark.range(points).withColumnRenamed("id", "point_id").join(parts, "point_id", "left")
+    return grid.select(
+        "point_id",
+        (F.lit(start) + F.col("point_id") * F.lit(step)).alias("x"),
+        (F.coalesce("part", F.lit(0.0)) / F.lit(scale)).alias("densite"),
     )
 
 
@@ -172,7 +167,6 @@ def stacked_shares(
     month: str,
     variable: str,
     count: str = "effectif",
-    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Shares with the lower edge of each bar piece, stacked in level order within a month.
 
@@ -181,7 +175,7 @@ def stacked_shares(
     """
     m, v, n = column(month), column(variable), column(count)
     pieces = write_shared(monthly.groupBy(m, v).agg(F.sum(n).alias("n")))
-    stacked = running_totals(pieces, [m.asc(), v.asc()], ["n"], single_task_rows)
+    stacked = running_totals(pieces, [m.asc(), v.asc()], ["n"])
     months = stacked.groupBy(m).agg(F.min("n_before").alias("_start"), F.sum("n").alias("_size"))
     return stacked.join(months, month).select(
         m,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.checks import binary, column, missing, nan_to_null, present, require
 from ..functions.numeric import percent, ratio
 from ..sources.shared import write_shared
-from .ordering import SINGLE_TASK_ROWS, running_totals
+from .ordering import running_totals
 
 
 def level_counts(df: DataFrame, variable: str) -> DataFrame:
@@ -17,17 +17,13 @@ def level_counts(df: DataFrame, variable: str) -> DataFrame:
     return df.groupBy(nan_to_null(df, variable).alias("level")).agg(F.count(F.lit(1)).alias("effectif"))
 
 
-def frequencies_of(
-    counts: DataFrame, name: str, single_task_rows: int = SINGLE_TASK_ROWS
-) -> DataFrame:
+def frequencies_of(counts: DataFrame, name: str) -> DataFrame:
     """Frequency table from a written `level_counts`: shares over all rows, missing included, and
     the running share summed in whole hundredths, most frequent level first."""
     rows = counts.agg(F.sum("effectif")).scalar()
     hundredths = F.rint(ratio(F.col("effectif"), rows) * 100 * 100).cast("long")
     shares = counts.where(F.col("level").isNotNull()).withColumn("share", hundredths)
-    ranked = running_totals(
-        shares, [F.col("effectif").desc(), F.col("level").asc()], ["share"], single_task_rows
-    )
+    ranked = running_totals(shares, [F.col("effectif").desc(), F.col("level").asc()], ["share"])
     return ranked.select(
         F.col("level").alias(name),
         "effectif",
@@ -36,10 +32,8 @@ def frequencies_of(
     )
 
 
-def frequency_table(
-    df: DataFrame, variable: str, single_task_rows: int = SINGLE_TASK_ROWS
-) -> DataFrame:
-    return frequencies_of(write_shared(level_counts(df, variable)), variable, single_task_rows)
+def frequency_table(df: DataFrame, variable: str) -> DataFrame:
+    return frequencies_of(write_shared(level_counts(df, variable)), variable)
 
 
 def entropy_of(counts: DataFrame) -> DataFrame:
@@ -222,16 +216,14 @@ def modality_order(
     )
 
 
-def risk_order(
-    df: DataFrame, variables: list[str], target: str, single_task_rows: int = SINGLE_TASK_ROWS
-) -> DataFrame:
+def risk_order(df: DataFrame, variables: list[str], target: str) -> DataFrame:
     """(variable, level, rang, taux, ...) ranked by mean target, lowest first; ties by level."""
     counts = levels_by_variable(df, variables, target)
     rated = write_shared(
         counts.withColumns({"taux": ratio(F.col("nb_defaut"), F.col("n_cible")), "one": F.lit(1).cast("long")})
     )
     order = [F.col("variable").asc(), F.col("taux").asc_nulls_last(), F.col("level").asc()]
-    ranked = running_totals(rated, order, ["one"], single_task_rows)
+    ranked = running_totals(rated, order, ["one"])
     first = ranked.groupBy("variable").agg(F.min("one_before").alias("_first"))
     return ranked.join(first, "variable").select(
         "variable",

@@ -10,55 +10,37 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import write_shared
 
-# A table counted at or below this many rows is ordered by one task; larger ones are sliced.
-SINGLE_TASK_ROWS = 1_000_000
-
 
 def running_totals(
-    table: DataFrame,
-    order: Sequence[Column],
-    sums: Sequence[str],
-    single_task_rows: int = SINGLE_TASK_ROWS,
-    at_most: int | None = None,
-    totals: bool = False,
+    table: DataFrame, order: Sequence[Column], sums: Sequence[str], totals: bool = False
 ) -> DataFrame:
     """Add `<s>_before`, the sum of `s` over all earlier rows, and with `totals` also `<s>_all`,
     the sum over all rows.
 
-    `table` should be cheap to read again (written or persisted) and unique on `order`; it is
-    counted unless the caller knows a bound on its rows (`at_most`).
-    A large table is cut into contiguous ranges of the order; the range number is stored with
-    the rows, so the per-range offsets and the per-range windows always see the same cut. The
-    only unpartitioned window runs over one row per range.
+    `table` should be cheap to read again (written or persisted) and unique on `order`.
+    It is cut into contiguous ranges of the order at every size; the range number is stored with
+    the rows, so the per-range offsets and the per-range windows always see the same cut. Ranges
+    are dealt to tasks by their number, one to a task, and the window inside a range needs no
+    further shuffle. The only unpartitioned window runs over one row per range.
     """
-    if (table.count() if at_most is None else at_most) <= single_task_rows:
-        upto = W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        ranged = table.withColumns({f"{s}_before": F.sum(s).over(upto) - F.col(s) for s in sums})
-    else:
-        sliced = write_shared(
-            table.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id())
-        )
-        earlier = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-        offsets = (
-            sliced.groupBy("_slice")
-            .agg(*[F.sum(s).alias(s) for s in sums])
-            .select(
-                "_slice",
-                *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_base_{s}") for s in sums],
-            )
-        )
-        upto = W.partitionBy("_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        ranged = (
-            sliced.join(offsets, "_slice")
-            .withColumns(
-                {
-                    f"{s}_before": F.col(f"_base_{s}") + F.sum(s).over(upto) - F.col(s)
-                    for s in sums
-                }
-            )
-            .drop("_slice", *[f"_base_{s}" for s in sums])
+    sliced = write_shared(table.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()))
+    earlier = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    offsets = (
+        sliced.groupBy("_slice")
+        .agg(*[F.sum(s).alias(s) for s in sums])
+        .select(
+            "_slice",
+            *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_base_{s}") for s in sums],
+            *[F.coalesce(F.sum(s).over(everything), F.lit(0)).alias(f"{s}_all") for s in sums if totals],
         )
-    if not totals:
-        return ranged
-    whole = table.agg(F.struct(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in sums])).scalar()
-    return ranged.withColumns({f"{s}_all": whole.getField(s) for s in sums})
+    )
+    upto = W.partitionBy("_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = sliced.repartitionByRange("_slice").withColumns(
+        {f"{s}_before": F.sum(s).over(upto) - F.col(s) for s in sums}
+    )
+    return (
+        inside.join(offsets, "_slice")
+        .withColumns({f"{s}_before": F.col(f"_base_{s}") + F.col(f"{s}_before") for s in sums})
+        .drop("_slice", *[f"_base_{s}" for s in sums])
+    )

@@ -19,7 +19,7 @@ from ..functions.checks import binary, nan_to_null, present, require, require_nu
 from ..functions.numeric import ratio, rint_number
 from ..functions.pvalues import erfc_tail
 from ..sources.shared import write_shared
-from .ordering import SINGLE_TASK_ROWS, running_totals
+from .ordering import running_totals
 
 # Quantiles of the numeric summary.
 SUMMARY_QUANTILES = [0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99]
@@ -62,12 +62,10 @@ def histogram_sizes(histogram: DataFrame) -> dict[str, int]:
     return histogram.agg(F.count("v").alias("values"), *sums).first().asDict()
 
 
-def ranked_values(
-    histogram: DataFrame, counts: Sequence[str], values: int, single_task_rows: int = SINGLE_TASK_ROWS
-) -> DataFrame:
+def ranked_values(histogram: DataFrame, counts: Sequence[str]) -> DataFrame:
     """Running totals of the counts over the ascending known values."""
     known = histogram.where(F.col("v").isNotNull()).select("v", *counts)
-    return running_totals(known, [F.col("v").asc()], counts, single_task_rows, at_most=values)
+    return running_totals(known, [F.col("v").asc()], counts)
 
 
 class _Picks:
@@ -121,14 +119,14 @@ def _around(q: float, size: int) -> tuple[int, int]:
 
 
 def histogram_quantiles(
-    histogram: DataFrame, wanted: Mapping[str, Sequence[float]], single_task_rows: int = SINGLE_TASK_ROWS
+    histogram: DataFrame, wanted: Mapping[str, Sequence[float]]
 ) -> dict[str, list[float | None]]:
     """Linear quantiles of several populations (count column -> probabilities) in one pass."""
     sizes = histogram_sizes(histogram)
     picks = _Picks(wanted, sizes)
     if not picks.ranks:
         return picks.quantiles({})
-    ranked = ranked_values(histogram, picks.counts, sizes["values"], single_task_rows)
+    ranked = ranked_values(histogram, picks.counts)
     return picks.quantiles(ranked.agg(*picks.columns()).first())
 
 
@@ -158,7 +156,6 @@ class NumericReport:
 def numeric_report(
     histogram: DataFrame,
     probs: Mapping[str, Sequence[float]],
-    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> NumericReport:
     """`probs` lists the quantiles wanted per count column of the histogram."""
     counts = [c for c in CLASSES if c in histogram.columns]
@@ -186,7 +183,7 @@ def numeric_report(
     if tested:
         sums += _rank_sums(sizes["n0"], sizes["n1"])
     needed = sorted({*picks.counts, *counts})
-    ranked = ranked_values(histogram, needed, sizes["values"], single_task_rows)
+    ranked = ranked_values(histogram, needed)
     second = ranked.agg(*sums, *picks.columns()).first()
     tests = _rank_tests(sizes["n0"], sizes["n1"], second["u0"], second["ties"], second["ap"]) if tested else {}
     return NumericReport(
@@ -307,14 +304,12 @@ def class_tests(df: DataFrame, variable: str, target: str) -> DataFrame:
     return class_tests_of(numeric_report(value_histogram(df, variable, target), probs), df)
 
 
-def score_metrics(
-    df: DataFrame, score: str, target: str, single_task_rows: int = SINGLE_TASK_ROWS
-) -> DataFrame:
+def score_metrics(df: DataFrame, score: str, target: str) -> DataFrame:
     """One row: AUC, Gini, average precision, prevalence and their ratio for a score column."""
     histogram = value_histogram(df, score, target)
     sizes = histogram_sizes(histogram)
     n0, n1 = sizes["n0"], sizes["n1"]
-    ranked = ranked_values(histogram, ["n0", "n1"], sizes["values"], single_task_rows)
+    ranked = ranked_values(histogram, ["n0", "n1"])
     row = ranked.agg(*_rank_sums(n0, n1)).first()
     tests = _rank_tests(n0, n1, row["u0"], row["ties"], row["ap"])
     auc, ap = tests["auc"], tests["auc_pr"]

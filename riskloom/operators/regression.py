@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
@@ -20,7 +19,7 @@ from ..functions.numeric import ratio
 from ..functions.pvalues import normal_two_sided_tail
 from ..sources.shared import write_shared
 from .encoding import SEPARATOR
-from .ordering import SINGLE_TASK_ROWS, running_totals
+from .ordering import running_totals
 
 # Guard inside the logarithms of the likelihood, iteration limit of the fit.
 LOG_GUARD = 1e-15
@@ -82,7 +81,6 @@ def fit_patterns(
     features: Sequence[str],
     prevalence: float | None = None,
     wald: bool = False,
-    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> LogitFit:
     """Fit on the weighted distinct rows and score train and test.
 
@@ -101,7 +99,7 @@ def fit_patterns(
         probability = F.element_at(vector_to_array("probability"), 2)
         scores = scored.select(probability.alias("p"), *COUNTS)
         errors = _wald_errors(scored, len(features)) if wald else []
-        metrics = model_metrics(scores, len(features), prevalence, single_task_rows, rows)
+        metrics = model_metrics(scores, len(features), prevalence)
     finally:
         data.unpersist()
     iterations = model.summary.totalIterations if model.hasSummary else 0
@@ -117,6 +115,20 @@ def fit_patterns(
     )
 
 
+def score(fit: LogitFit, df: DataFrame, name: str = "probabilite") -> DataFrame:
+    """`df` with the fitted probability of each row added as a column; no job runs.
+
+    `df` holds the model's `variable&level` columns (see `get_test_dummies`); a NULL in one of them
+    gives a NULL probability.
+    """
+    require(df, *fit.features)
+    terms = [column(f).cast("double") * c for f, c in zip(fit.features, fit.coefficients)]
+    while len(terms) > 1:  # in pairs, so that the expression stays shallow
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) // 2 * 2 :]
+    z = F.lit(fit.intercept) + (terms[0] if terms else F.lit(0.0))
+    return df.withColumn(name, 1 / (1 + F.exp(-z)))
+
+
 def with_wald_errors(fit: LogitFit, patterns: DataFrame) -> LogitFit:
     """The same fit with standard errors, for one more pass over the patterns."""
     scored = fit.model.transform(_vectors(patterns, fit.features))
@@ -152,15 +164,11 @@ def model_metrics(
     scores: DataFrame,
     n_features: int,
     prevalence: float | None = None,
-    single_task_rows: int = SINGLE_TASK_ROWS,
-    at_most: int | None = None,
 ) -> dict[str, float | None]:
     """Train and test metrics of scored counts (p, train_0, train_1, test_0, test_1): one ordering
     of the distinct scores and one aggregate over it."""
-    by_score = scores.groupBy("p").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    if at_most is None or at_most > single_task_rows:
-        by_score = write_shared(by_score)
-    ranked = running_totals(by_score, [F.col("p").asc()], COUNTS, single_task_rows, at_most, totals=True)
+    by_score = write_shared(scores.groupBy("p").agg(*[F.sum(c).alias(c) for c in COUNTS]))
+    ranked = running_totals(by_score, [F.col("p").asc()], COUNTS, totals=True)
 
     def number(name: str) -> Column:
         return F.col(name).cast("double")
@@ -205,26 +213,26 @@ def model_metrics(
 def _wald_errors(scored: DataFrame, n_features: int) -> list[float | None]:
     """Standard errors from the information matrix.
 
-    Each batch adds w·p(1-p)·xxᵀ into one (k+1)² matrix and only those matrices are shuffled;
-    the summed matrix is inverted on the driver. NULL where it is singular.
+    A row adds w·p(1-p)·xᵢxⱼ for its non-zero columns only, so dummies cost one cell per pair of
+    levels that occur together; sums combine on the map side. The (k+1)² matrix is inverted on
+    the driver. NULL where it is singular.
     """
     size = n_features + 1
     probability = F.element_at(vector_to_array("probability"), 2)
     weight = (F.col("train_0") + F.col("train_1")) * probability * (1 - probability)
-    rows = scored.select(vector_to_array("features").alias("x"), weight.cast("double").alias("w"))
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size))
-        for batch in batches:
-            if len(batch):
-                x = np.column_stack([np.ones(len(batch)), np.stack(batch["x"].to_numpy())])
-                total += x.T @ (x * batch["w"].to_numpy()[:, None])
-        i, j = np.triu_indices(size)
-        yield pd.DataFrame({"i": i, "j": j, "h": total[i, j]})
-
-    cells = rows.mapInPandas(partial, "i int, j int, h double").groupBy("i", "j").agg(F.sum("h").alias("h"))
+    cells = F.transform(
+        F.concat(F.array(F.lit(1.0)), vector_to_array("features")), lambda v, i: F.struct(i.alias("i"), v.alias("v"))
+    )
+    filled = F.filter(cells, lambda c: c["v"] != 0)
+    rows = scored.select(filled.alias("x"), weight.cast("double").alias("w"))
+    pairs = rows.select("w", "x", F.explode("x").alias("a")).select("w", "a", F.explode("x").alias("b"))
+    products = (
+        pairs.where("a.i <= b.i")
+        .groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j"))
+        .agg(F.sum(F.col("w") * F.col("a.v") * F.col("b.v")).alias("h"))
+    )
     information = np.zeros((size, size))
-    for i, j, h in cells.collect():
+    for i, j, h in products.collect():
         information[i, j] = information[j, i] = h
     if not np.all(np.isfinite(information)) or np.linalg.cond(information) > 1e14:
         return [None] * n_features

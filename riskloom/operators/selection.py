@@ -53,10 +53,8 @@ class _Candidates:
         self.spark = train.sparkSession
 
     def _code(self, variable):
-        code = F.lit(0)
-        for j, name in enumerate(self.features[variable], start=1):
-            code = F.when(column(name) == 1, F.lit(j)).otherwise(code)
-        return code
+        # flat, however many levels there are; 0 where no dummy is set
+        return F.array_position(F.array(*[column(name).cast("int") for name in self.features[variable]]), 1)
 
     def _design(self, variables: Sequence[str]) -> tuple[DataFrame, list[str]]:
         grouped = self.patterns.groupBy(*[column(v) for v in variables]).agg(*[F.sum(c).alias(c) for c in COUNTS])
@@ -162,8 +160,8 @@ def stepwise_selection_categorical(
                 found = best_of([(v, tuple(s for s in selected if s != v)) for v in selected])
                 if found:
                     score, _, variable, fit = found
-                    if best_score is None:
-                        worse = True
+                    if best_score is None:  # nothing was accepted yet; no loss can be measured
+                        worse = criterion in MINIMISED
                     elif criterion in MINIMISED:
                         worse = score < best_score
                     else:

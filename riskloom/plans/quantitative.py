@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from ..operators.ranks import (
 )
 from ..operators.woe import iv_of, woe_of
 from ..sources.shared import write_shared
+from .tables import Tables
 
 
 def analyse_quantitative(
@@ -40,53 +42,62 @@ def analyse_quantitative(
     seuils: Sequence[float] | None = None,
     n_tranches: int = 5,
     winsor_limits: tuple[float, float] = (0.01, 0.99),
-) -> dict[str, DataFrame]:
+) -> Tables:
     """Tables: univarie, winsorisation, tests, bivarie, iv and, with a month, temporel and psi.
 
     Two scans: one into a value histogram, from which every order statistic and the quantile
-    edges come, and one into counts by (month, bin, target).
+    edges come, and one into counts by (month, bin, target). A table's jobs run when it is first
+    asked for.
     """
     require_numeric(df, var_quanti)
     require(df, var_cible, var_mois)
     edges = [] if seuils is not None else edge_probs(n_tranches)
     histogram = value_histogram(df, var_quanti, var_cible, var_mois)
-    report = numeric_report(
-        histogram,
-        {
-            "n": [*SUMMARY_QUANTILES, *winsor_limits],
-            "n0": QUARTILES,
-            "n1": QUARTILES,
-            "m": edges,
-            "mm": edges if var_mois else [],
-        },
-    )
-    summary_part = len(SUMMARY_QUANTILES)
-    low, high = report.quantiles["n"][summary_part:]
-    if seuils is not None:
-        bins = dated_bins = threshold_bins(seuils)
-    else:
-        bins = quantile_bins(report.quantiles["m"])
-        dated_bins = quantile_bins(report.quantiles["mm"]) if var_mois else bins
-
     keep_empty = seuils is not None
-    cells = write_shared(_bin_cells(df, var_quanti, var_cible, var_mois, bins, dated_bins))
     sums = [F.sum("effectif").alias("effectif"), F.sum("nb_defaut").alias("nb_defaut")]
-    by_bin = fill_bins(cells.groupBy("bin_id").agg(*sums), bins, keep_empty)
-    woe = woe_of(with_rates(by_bin), "IV_tranche")
+
+    @cache
+    def report():
+        wanted = {"n": [*SUMMARY_QUANTILES, *winsor_limits], "n0": QUARTILES, "n1": QUARTILES}
+        return numeric_report(histogram, wanted)
+
+    @cache
+    def binned() -> tuple[DataFrame, list[Bin], list[Bin]]:
+        if seuils is not None:
+            bins = dated_bins = threshold_bins(seuils)
+        else:
+            found = histogram_quantiles(histogram, {"m": edges} | ({"mm": edges} if var_mois else {}))
+            bins = quantile_bins(found["m"])
+            dated_bins = quantile_bins(found["mm"]) if var_mois else bins
+        cells = write_shared(_bin_cells(df, var_quanti, var_cible, var_mois, bins, dated_bins))
+        return cells, bins, dated_bins
+
+    def limits() -> DataFrame:
+        low, high = report().quantiles["n"][len(SUMMARY_QUANTILES) :]
+        return df.sparkSession.createDataFrame([(low, high)], "bas double, haut double")
+
+    def woe() -> DataFrame:
+        cells, bins, _ = binned()
+        return woe_of(with_rates(fill_bins(cells.groupBy("bin_id").agg(*sums), bins, keep_empty)), "IV_tranche")
+
+    def dated() -> DataFrame:
+        keys = F.col("month").alias(var_mois), F.col("dated_bin").alias("bin_id")
+        return binned()[0].where(F.col("month").isNotNull()).groupBy(*keys).agg(*sums)
+
+    def monthly() -> DataFrame:
+        return with_rates(fill_months(dated(), var_mois, binned()[2], keep_empty)).drop("nb_non_defaut")
+
     tables = {
-        "univarie": summary_of(report, df),
-        "winsorisation": df.sparkSession.createDataFrame([(low, high)], "bas double, haut double"),
-        "tests": class_tests_of(report, df),
+        "univarie": lambda: summary_of(report(), df),
+        "winsorisation": limits,
+        "tests": lambda: class_tests_of(report(), df),
         "bivarie": woe,
-        "iv": iv_of(woe, "IV_tranche").withColumnRenamed("iv_interpretation", "interpretation"),
+        "iv": lambda: iv_of(woe(), "IV_tranche").withColumnRenamed("iv_interpretation", "interpretation"),
     }
     if var_mois:
-        dated = cells.where(F.col("month").isNotNull()).groupBy(
-            F.col("month").alias(var_mois), F.col("dated_bin").alias("bin_id")
-        ).agg(*sums)
-        tables["temporel"] = with_rates(fill_months(dated, var_mois, dated_bins, keep_empty)).drop("nb_non_defaut")
-        tables["psi"] = psi_of(dated, var_mois, "bin_id")
-    return tables
+        tables["temporel"] = monthly
+        tables["psi"] = lambda: psi_of(dated(), var_mois, "bin_id")
+    return Tables(tables)
 
 
 def _bin_cells(

@@ -2,8 +2,8 @@
 
 A table that several later jobs read is written once and read back, so the source is scanned
 once, the lineage is cut, and a lost executor costs only re-reading files. The folder is the
-session's `spark.checkpoint.dir`; a temporary folder is used only by a local-mode session that
-names none.
+session's `spark.checkpoint.dir`, else the one given to `SparkContext.setCheckpointDir`; a temporary
+folder is used only by a local-mode session that names none.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+_written: dict[str, list[str]] = {}
 _local_folder: str | None = None
 
 
@@ -22,6 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if chosen.isDefined():
+        return chosen.get().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     if _local_folder is None:
@@ -34,20 +37,21 @@ def write_shared(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/riskloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_shared(spark: SparkSession) -> int:
-    """Delete the intermediate tables this process wrote; returns how many there were.
+    """Delete the intermediate tables this application wrote; returns how many there were.
 
     DataFrames built on them can no longer be evaluated afterwards.
     """
     jvm = spark._jvm
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     dropped = 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    mine = _written.get(spark.sparkContext.applicationId, [])
+    while mine:
+        path = jvm.org.apache.hadoop.fs.Path(mine.pop())
         path.getFileSystem(hadoop).delete(path, True)
         dropped += 1
     return dropped

@@ -19,9 +19,8 @@ def table(spark, frame):
     return to_spark(spark, frame).cache()
 
 
-@pytest.mark.parametrize("single_task_rows", [10**6, 0])
-def test_frequencies(table, frame, single_task_rows):
-    got = rows(levels.frequency_table(table, "niveau", single_task_rows), "niveau")
+def test_frequencies(table, frame):
+    got = rows(levels.frequency_table(table, "niveau"), "niveau")
     counts = frame.niveau.value_counts()
     share = np_round(counts / len(frame) * 100, 2)
     cumulated = dict(zip(counts.index, np_round(np.cumsum(share), 2)))
@@ -142,22 +141,20 @@ def test_modality_order(spark):
     assert levels.modality_order(df.where("v is null"), ["v"], "y").first().v == []
 
 
-@pytest.mark.parametrize("single_task_rows", [10**6, 0])
-def test_risk_order(table, frame, single_task_rows):
-    got = rows(levels.risk_order(table, ["niveau", "mois"], "y", single_task_rows), "variable", "rang")
+def test_risk_order(table, frame):
+    got = rows(levels.risk_order(table, ["niveau", "mois"], "y"), "variable", "rang")
     for name in ("niveau", "mois"):
         rate = frame.assign(k=frame[name].fillna("MISSING")).groupby("k").y.mean().sort_values(kind="stable")
         assert [r["level"] for r in got if r["variable"] == name] == list(rate.index)
         assert [r["rang"] for r in got if r["variable"] == name] == list(range(len(rate)))
 
 
-@pytest.mark.parametrize("single_task_rows", [10**6, 0])
-def test_running_totals(spark, single_task_rows):
+def test_running_totals(spark):
     g = np.random.default_rng(1)
     data = pd.DataFrame({"k": g.permutation(500), "n": g.integers(0, 9, 500), "t": g.integers(0, 4, 500)})
     df = spark.createDataFrame(data.values.tolist(), "k long, n long, t long").repartition(7)
     order = [F.col("t").desc(), F.col("k").asc()]
-    got = running_totals(df, order, ["n"], single_task_rows, totals=True).toPandas()
+    got = running_totals(df, order, ["n"], totals=True).toPandas()
     data = data.sort_values(["t", "k"], ascending=[False, True])
     expected = dict(zip(data.k, data.n.cumsum() - data.n))
     assert len(got) == 500 and all(expected[k] == b for k, b in zip(got.k, got.n_before))

@@ -100,13 +100,20 @@ def test_fit_and_metrics(spark, encoded, data):
     assert all(0 <= r["pvalue"] <= 1 for r in table) and fit.converged
 
 
-def test_metrics_through_sliced_ordering(encoded, spark):
+def test_scored_table(encoded):
     learned, test = encoded
     features = encoding.dummy_columns(learned.frame.columns, ["a", "b"])
-    patterns = regression.feature_patterns(learned.frame, test, "y", features)
-    whole = regression.fit_patterns(patterns, features)
-    sliced = regression.fit_patterns(patterns, features, single_task_rows=0)
-    assert sliced.metrics == pytest.approx(whole.metrics)
+    fit = regression.fit_logit_and_metrics(learned.frame, test, "y", features)
+    for row in regression.score(fit, test, "p").limit(20).collect():
+        z = fit.intercept + sum(c * row[f] for f, c in zip(fit.features, fit.coefficients))
+        assert row["p"] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_start_vars_stay_when_nothing_is_accepted(encoded):
+    learned, test = encoded
+    start = ["a", "b", "c"]
+    kept = selection.stepwise_selection_categorical(learned.frame, test, "y", start, criterion="gini", start_vars=start)
+    assert kept.history.count() == 0
 
 
 def test_no_features_is_refused(encoded):

@@ -30,7 +30,7 @@ def table(spark):
 
 def test_profiles(table):
     tables = analyse_categorielle(table, "type client", "défaut 0/1", "mois, octroi")
-    tables |= {"n_" + k: v for k, v in analyse_quantitative(table, "rev.total", "défaut 0/1", "mois, octroi").items()}
+    tables = tables | {"n_" + k: v for k, v in analyse_quantitative(table, "rev.total", "défaut 0/1", "mois, octroi").items()}
     for result in tables.values():
         assert result.collect()
     assert charts.level_bars(tables["bivarie"], "type client").collect()

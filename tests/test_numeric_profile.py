@@ -19,10 +19,9 @@ def table(spark, frame):
     return to_spark(spark, frame).cache()
 
 
-@pytest.mark.parametrize("single_task_rows", [10**6, 0])
-def test_quantiles(table, frame, single_task_rows):
+def test_quantiles(table, frame):
     probs = [0, 0.01, 0.1, 1 / 3, 0.5, 0.9, 1]
-    got = ranks.histogram_quantiles(ranks.value_histogram(table, "x", "y"), {"n": probs, "n1": probs}, single_task_rows)
+    got = ranks.histogram_quantiles(ranks.value_histogram(table, "x", "y"), {"n": probs, "n1": probs})
     assert got["n"] == pytest.approx(list(frame.x.quantile(probs)))
     assert got["n1"] == pytest.approx(list(frame.x[frame.y == 1].quantile(probs)))
 
@@ -87,9 +86,8 @@ def test_class_tests(table, frame):
     assert (got.effectif_non_defaut, got.effectif_defaut) == (len(x0), len(x1))
 
 
-@pytest.mark.parametrize("single_task_rows", [10**6, 0])
-def test_score_metrics(table, frame, single_task_rows):
-    got = ranks.score_metrics(table, "x", "y", single_task_rows).first()
+def test_score_metrics(table, frame):
+    got = ranks.score_metrics(table, "x", "y").first()
     known = frame.dropna(subset=["x", "y"])
     auc = pair_wins(known.x[known.y == 1], known.x[known.y == 0]) / ((known.y == 1).sum() * (known.y == 0).sum())
     ap = average_precision(known.y, known.x)
@@ -256,9 +254,8 @@ def test_box_statistics(table, frame):
 
 def test_stacked_shares(spark):
     df = spark.createDataFrame([("1", "a", 3), ("1", "b", 1), ("2", "b", 5)], "m string, v string, effectif long")
-    for limit in (10**6, 0):
-        got = rows(charts.stacked_shares(df, "m", "v", single_task_rows=limit), "m", "v")
-        assert [(r["part_%"], r["base_%"]) for r in got] == [(75.0, 0.0), (25.0, 75.0), (100.0, 0.0)]
+    got = rows(charts.stacked_shares(df, "m", "v"), "m", "v")
+    assert [(r["part_%"], r["base_%"]) for r in got] == [(75.0, 0.0), (25.0, 75.0), (100.0, 0.0)]
 
 
 def test_rate_pivots_drop_all_null_columns(spark):

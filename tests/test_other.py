@@ -25,6 +25,13 @@ def test_imputation_frame(spark):
     assert got.schema["a"].dataType == df.schema["a"].dataType
 
 
+def test_imputation_widens_whole_numbers(spark):
+    df = spark.createDataFrame([(1,), (None,)], "a int")
+    assert [r.a for r in cleaning.impute_missing_values(df, ["a"], 0.5).collect()] == [1.0, 0.5]
+    assert [r.a for r in cleaning.impute_missing_values(df, ["a"], 2**40).collect()] == [1, 2**40]
+    assert cleaning.impute_missing_values(df, ["a"], 3).schema["a"].dataType == df.schema["a"].dataType
+
+
 def test_imputation_leaves_nan(spark):
     df = spark.createDataFrame([(float("nan"),), (None,)], "x double")
     got = [r.x for r in cleaning.impute_missing_values(df, ["x"], 1.0).collect()]
@@ -99,7 +106,7 @@ def test_boosted_tree_search_ranks_settings(spark):
         "id", (F.col("id") % 20).cast("double").alias("x"), F.rand(3).alias("z"),
         ((F.col("id") % 20 > 12) | (F.rand(4) < 0.1)).cast("int").alias("y"),
     )
-    space = {"maxDepth": ("int", 1, 2), "maxIter": ("int", 2, 3), "minInfoGain": ("float", 0.0, 0.01)}
+    space = {"maxDepth": ("int", 1, 2), "maxIter": ("int", 2, 3)}
     got = rows(folds.boosted_tree_search(df, ["x", "z"], "y", ["id"], n_trials=2, k=2, space=space), "rang")
     assert [r["rang"] for r in got] == [1, 2]
     assert got[0]["auc_cv"] >= got[1]["auc_cv"] > 0.7

@@ -174,6 +174,13 @@ def imputed_values(spark, folder):
     )
 
 
+@query(f"""WITH {LOANS} SELECT l_orderkey, l_linenumber, coalesce(CAST(ligne AS DOUBLE), 0.5::DOUBLE) AS ligne FROM loans""")
+def imputed_fraction(spark, folder):
+    """A whole-number column filled with a fraction becomes double."""
+    df = loans(spark, folder).select("l_orderkey", "l_linenumber", "ligne")
+    return cleaning.impute_missing_values(df, ["ligne"], 0.5)
+
+
 # --- months and drift -------------------------------------------------------------------------
 
 _MONTHLY = f"""monthly AS (
@@ -280,6 +287,14 @@ def cramers_v_matrix(spark, folder):
     return rounded(association.cramers_v_matrix(loans(spark, folder), _MATRIX), 6, *_MATRIX)
 
 
+@query(f"""SELECT *, CAST(NULL AS DOUBLE) AS vide FROM ({_matrix_sql()})
+UNION ALL SELECT 'vide', {', '.join('NULL' for _ in _MATRIX)}, 1.0""")
+def cramers_v_matrix_empty_column(spark, folder):
+    """A column without values keeps its row: 1 on the diagonal, NULL elsewhere."""
+    df = loans(spark, folder).withColumn("vide", F.lit(None).cast("string"))
+    return rounded(association.cramers_v_matrix(df, [*_MATRIX, "vide"]), 6, *_MATRIX)
+
+
 # --- orders of levels -------------------------------------------------------------------------
 
 
@@ -356,10 +371,13 @@ def rate_by_month(spark, folder):
 
 
 @query(f"""WITH {LOANS}, m AS (SELECT annee, l_linestatus, {pct('sum(y)', 'count(y)')} AS rate FROM loans GROUP BY ALL)
-SELECT l_linestatus, {', '.join(f'max(rate) FILTER (annee = {a}) AS "{a}"' for a in range(1995, 2002))} FROM m GROUP BY l_linestatus""")
+SELECT l_linestatus, CAST(annee AS VARCHAR) AS annee, rate AS taux
+FROM (SELECT DISTINCT l_linestatus FROM m) CROSS JOIN (SELECT DISTINCT annee FROM m) LEFT JOIN m USING (l_linestatus, annee)""")
 def rate_heat_map(spark, folder):
     monthly = levels.monthly_table(loans(spark, folder), "l_linestatus", "y", "annee")
-    return charts.heat_map(monthly, "annee", "l_linestatus", list(range(1995, 2002)))
+    years = sorted(row[0] for row in monthly.select("annee").distinct().collect())
+    wide = charts.heat_map(monthly, "annee", "l_linestatus", years)
+    return wide.unpivot(["l_linestatus"], [str(year) for year in years], "annee", "taux")
 
 
 @query(f"""WITH {LOANS}, {_STATUS_MONTHLY}
