@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.sources.shared import write_shared
+
 # A side of a join is broadcast only after it was counted at or below this many narrow rows;
 # beyond it the same join runs by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -17,6 +21,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read back, with what the jobs left behind let go.
+
+    Shuffle files of finished jobs are deleted when the driver notices that nothing refers to their
+    plans any more; a chain of large jobs asks for that after each step instead of waiting.
+    """
+    written = write_shared(df)
+    del df
+    gc.collect()
+    written.sparkSession._jvm.System.gc()
+    return written
+
+
 def broadcast_if_small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if it has at most `most` rows, else as it is."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df

@@ -30,9 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from riskloom.sources.shared import write_shared
-
-from .common import broadcast_if_small
+from .common import broadcast_if_small, settled
 from .components import connected_components
 from .hashing import shingle_sets
 
@@ -191,7 +189,7 @@ def buckets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: i
     salt = F.when(F.col("often"), F.pmod(F.xxhash64("s"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     posted = posted.withColumn("salt", salt)
     together = W.partitionBy("h", "salt")
-    met = write_shared(
+    met = settled(
         posted.withColumns({"leader": F.min("s").over(together), "top": F.max("s").over(together)})
         .where("often OR leader < top")
         .select("h", "s", "leader", "often")
@@ -355,7 +353,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int)
     """
     left = nodes.select("s", F.col("node").alias("a"), F.col("doc_id").alias("da"))
     right = nodes.select(F.col("s").alias("t"), F.col("node").alias("b"), F.col("doc_id").alias("db"))
-    close = write_shared(pairs.join(left, "s").join(right, "t").where("a <> b").select("a", "da", "b", "db"))
+    close = settled(pairs.join(left, "s").join(right, "t").where("a <> b").select("a", "da", "b", "db"))
     wanted = close.select(F.explode(F.array("da", "db")).alias("doc_id")).distinct()
     texts = docs.join(broadcast_if_small(wanted), "doc_id")
 
@@ -392,18 +390,18 @@ def jaccard_components(
     Other columns are not read.
     """
     source = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("__text"))
-    described = write_shared(document_nodes(source))
-    nodes = write_shared(
+    described = settled(document_nodes(source))
+    nodes = settled(
         described.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy("node", "s", "n", "vector")
         .agg(F.min("doc_id").alias("doc_id"))
     )
     met = buckets(source, frequent_shingles(described), percent)
-    first = write_shared(verified(source, possible(closest_leaders(met), nodes, percent), nodes, percent))
+    first = settled(verified(source, possible(closest_leaders(met), nodes, percent), nodes, percent))
     tied = connected_components(first)
 
     # components as numbers, of the nodes in buckets only
-    known = write_shared(
+    known = settled(
         nodes.select("node", "s").join(tied, "node", "left").select("s", F.xxhash64(F.coalesce("component", "node")).alias("part"))
     )
     parts = met.join(known, "s")
@@ -434,8 +432,8 @@ def jaccard_components(
     )
     points = nodes.select("s", "n", "vector")
     members = placed.join(known, "s").join(points, "s").repartition("bucket").sortWithinPartitions("bucket")
-    more = write_shared(bucket_pairs(members, percent))
-    second = verified(source, more, nodes, percent)
+    more = settled(bucket_pairs(members, percent))
+    second = settled(verified(source, more, nodes, percent))
     final = connected_components(first.unionAll(second))
 
     labelled = described.join(final, "node", "left").select(

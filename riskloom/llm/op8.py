@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import spaced, table
+from .common import spaced, table, word_count
 from .mixing import copies, mix
 
 
@@ -42,10 +42,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         "__row", F.row_number().over(W.partitionBy(*on).orderBy(F.lit(0)))
     )
     each = numbered.withColumn("__take", F.explode(F.element_at("__copies", F.col("__row"))))
-    whole = F.size(F.array_remove(F.split(spaced(F.col("text")), " "), ""))
-    pattern = F.concat(F.lit(r"^([\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("__take").cast("string"), F.lit("}"))
-    part = F.regexp_substr(F.col("text"), pattern)
-    text = F.when(F.col("__take") < whole, part).otherwise(F.col("text"))
+    # only a part copy is cut apart: at single spaces, so that joining gives the prefix's length
+    short = F.col("__take") < word_count(F.col("text"))
+    each = each.withColumn("__parts", F.when(short, F.split(spaced(F.col("text")), " ")))
+    filled = F.filter(F.sequence(F.lit(0), F.size("__parts") - 1), lambda i: F.get("__parts", i) != "")
+    last = F.element_at(filled, F.col("__take").cast("int"))
+    prefix = F.array_join(F.slice("__parts", F.lit(1), last + 1), " ")
+    part = F.substring(F.col("text"), F.lit(1), F.length(prefix))
+    text = F.when(F.col("__parts").isNotNull(), part).otherwise(F.col("text"))
     return each.withColumn("text", text).select(*[F.col(f"`{c}`") for c in columns])
 
 
