@@ -3,6 +3,7 @@
 import math
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as contract
@@ -23,7 +24,7 @@ def duck():
 
 def canonical(frame):
     def cell(value):
-        if value is None or value != value:
+        if value is None or value is pd.NA or value != value:
             return None
         return float(value) if isinstance(value, (int, float)) or hasattr(value, "dtype") else str(value)
 
