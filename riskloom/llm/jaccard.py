@@ -60,6 +60,17 @@ def group_counts(shingles: np.ndarray) -> bytes:
         groups *= 2
 
 
+def coarse_point(vector: bytes) -> bytes:
+    """The same point in an eighth of its groups, at least GROUPS: what the buckets carry."""
+    groups = max(GROUPS, len(vector) // 8)
+    while groups < len(vector):
+        counts = folded([vector], groups)[0]
+        if counts.max() < 256:
+            return counts.astype(np.uint8).tobytes()
+        groups *= 2
+    return vector
+
+
 def folded(vectors: list[bytes], groups: int) -> np.ndarray:
     """The points with `groups` coordinates each; finer groups add up to coarser ones."""
     out, sizes = np.zeros((len(vectors), groups), np.int32), np.array([len(v) for v in vectors], np.int64)
@@ -113,14 +124,16 @@ def document_nodes(docs: DataFrame) -> DataFrame:
                     pa.array(nodes, pa.binary()),
                     pa.array([_half(d) for d in nodes], pa.int64()),
                     pa.array(vectors, pa.binary()),
+                    pa.array([coarse_point(v) for v in vectors], pa.binary()),
                     pa.array([every[often].view(np.int64), *rest], pa.list_(pa.int64())),
                     pa.array([counts[often], *rest], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "node", "s", "vector", "often", "times"],
+                names=["doc_id", "n", "node", "s", "vector", "point", "often", "times"],
             )
 
     return docs.mapInArrow(
-        describe, "doc_id long, n long, node binary, s long, vector binary, often array<long>, times array<long>"
+        describe,
+        "doc_id long, n long, node binary, s long, vector binary, point binary, often array<long>, times array<long>",
     )
 
 
@@ -393,7 +406,7 @@ def jaccard_components(
     described = settled(document_nodes(source))
     nodes = settled(
         described.where("n > 0 AND doc_id IS NOT NULL")
-        .groupBy("node", "s", "n", "vector")
+        .groupBy("node", "s", "n", "vector", "point")
         .agg(F.min("doc_id").alias("doc_id"))
     )
     met = buckets(source, frequent_shingles(described), percent)
@@ -430,9 +443,10 @@ def jaccard_components(
             (F.col("own") > F.col("other")).cast("int").alias("side"),
         )
     )
-    points = nodes.select("s", "n", "vector")
+    points = nodes.select("s", "n", F.col("point").alias("vector"))
     members = placed.join(known, "s").join(points, "s").repartition("bucket").sortWithinPartitions("bucket")
-    more = settled(bucket_pairs(members, percent))
+    met_in_tree = settled(bucket_pairs(members, percent))
+    more = settled(possible(met_in_tree, nodes, percent))
     second = settled(verified(source, more, nodes, percent))
     final = connected_components(first.unionAll(second))
 
