@@ -43,7 +43,7 @@ def test_decision_list_finds_planted_rule(spark):
         [(k, a, b, 0 if a > 0.8 and b < 0.5 else 1) for k, a, b in rows] + [(5000, None, float("nan"), 1), (5001, 0.5, 0.5, None)],
         "id long, a double, b double, y int",
     )
-    rules = learn_decision_list(labelled, ["a", "b"], "y", "id")
+    rules = learn_decision_list(labelled, ["a", "b"], "y", "id", max_rules=3)
     judged = labelled.where("y IS NOT NULL").select("y", rules.rejects({"a": F.col("a"), "b": F.col("b")}).alias("no"))
     counts = {(x.y, x.no): x["count"] for x in judged.groupBy("y", "no").count().collect()}
     assert counts[0, True] > 0.9 * (counts[0, True] + counts.get((0, False), 0))
