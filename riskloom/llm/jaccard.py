@@ -170,7 +170,7 @@ def leading(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percen
 
 
 def buckets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """(h, s): nodes by half id in each bucket of at least two."""
+    """(h, s), each pair once: nodes by half id in each bucket of at least two."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +202,11 @@ def buckets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: i
     salt = F.when(F.col("often"), F.pmod(F.xxhash64("s"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     posted = posted.withColumn("salt", salt)
     together = W.partitionBy("h", "salt")
+    # copies of a text in other tasks give the same pair again
+    before = F.lag("s").over(together.orderBy("s"))
+    once = posted.withColumn("before", before).where("before IS NULL OR before <> s").drop("before")
     met = settled(
-        posted.withColumns({"leader": F.min("s").over(together), "top": F.max("s").over(together)})
+        once.withColumns({"leader": F.min("s").over(together), "top": F.max("s").over(together)})
         .where("often OR leader < top")
         .select("h", "s", "leader", "often")
     )
@@ -418,17 +421,20 @@ def jaccard_components(
         nodes.select("node", "s").join(tied, "node", "left").select("s", F.xxhash64(F.coalesce("component", "node")).alias("part"))
     )
     parts = met.join(known, "s")
+    # sums of half hashes: unlike XOR no member cancels, and they stay inside 64 bits
+    mixed = F.xxhash64("s")
+    halves = [F.shiftright("s", 32), F.col("s").bitwiseAND(0xFFFFFFFF), F.shiftright(mixed, 32), mixed.bitwiseAND(0xFFFFFFFF)]
+    sums = [f"sum{k}" for k in range(len(halves))]
     open_ = (
         parts.groupBy("h")
         .agg(
             F.min("part").alias("low"),
             F.max("part").alias("high"),
             F.count(F.lit(1)).alias("members"),
-            F.bit_xor("s").alias("x"),
-            F.bit_xor(F.xxhash64("s")).alias("y"),
+            *[F.sum(half).alias(name) for half, name in zip(halves, sums)],
         )
         .where("low < high")
-        .groupBy("x", "y", "members")  # buckets with the same members are searched once
+        .groupBy(*sums, "members")  # buckets with the same members are searched once
         .agg(F.min("h").alias("h"))
     )
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")

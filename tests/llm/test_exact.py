@@ -118,6 +118,23 @@ def test_jaccard(spark):
     assert jaccard_components(empty(spark)).count() == 0
 
 
+def test_jaccard_of_copies_in_several_tasks(spark):
+    """Near copies whose exact copies lie in other partitions, all quoted by one long document."""
+    first = [prose(900 + k, 90).split() for k in range(24)]
+    second = [[*w[:45], "changed", *w[46:]] for w in first]
+    blocks = [
+        [(1000 * b + k, " ".join(w)) for k, w in enumerate(words)]
+        for b, words in ((1, first), (2, second), (3, first), (4, second))
+    ]
+    quoted = " ".join(" ".join([*a, *b]) for a, b in zip(first, second))
+    blocks.append([(1, quoted)])
+    placed = spark.sparkContext.parallelize(blocks, len(blocks)).flatMap(lambda rows: rows)
+    docs = spark.createDataFrame(placed, "doc_id long, text string")
+    assert docs.rdd.getNumPartitions() == len(blocks)
+    found = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()]
+    assert set(brute_components([r for rows in blocks for r in rows])) ^ set(found) == set()
+
+
 @pytest.mark.parametrize("split", [None, 130])
 def test_rtree_loses_no_pair(split):
     r = np.random.default_rng(5)
