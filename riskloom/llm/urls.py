@@ -1,8 +1,9 @@
 """URL filter: hand-written rules first, then a ratio of two character language models.
 
-The URLs that the rules allow and block teach one variable-order Markov model each. Counts of
-(context, next character) cover all of those URLs and are aggregated in Spark; the contexts kept
-are the most frequent ones up to a bound, so rare long contexts fall back to shorter ones. The
+The URLs that the rules allow and block teach one variable-order Markov model each. All counts of
+(context, next character) over those URLs make the models: totals, types and smoothed log ratios
+are computed in Spark, one context length after another. A model that was counted small is
+broadcast; a larger one is joined to the distinct grams of the URLs, with the same scores. The
 score of a URL is its log-likelihood difference per character, and the cut is calibrated to lie
 halfway between the two classes' mean scores. (Deviations are left out of it: the models know the
 URLs they are calibrated on, so their spread is too small.)
@@ -18,10 +19,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.sources.shared import write_shared
+
 from .common import ASCII_UPPER
 
 ORDER = 5
-MODEL_ROWS = 150_000  # bound of the broadcast model
+BROADCAST_GRAMS = 150_000  # a model of more counts is joined by shuffle
 
 
 @dataclass(frozen=True)
@@ -136,17 +139,105 @@ def context_counts(urls: DataFrame, order: int = ORDER) -> DataFrame:
     )
 
 
-def learn(urls: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) -> UrlModel:
-    """The model of (text, allowed) rows: the `model_rows` most frequent counts, ties by text."""
-    kept = (
-        context_counts(urls.where(F.length("text") > 0), order)
-        .orderBy((F.col("a") + F.col("b")).desc(), F.length("context"), "context", "ch")
-        .limit(model_rows)
+def smoothed(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
+    """(context, ch, ratio) of every count, and (context, back) of every context: UrlModel in Spark.
+
+    The suffix of a counted gram is counted too, so a gram's lower probabilities are one row of the
+    shorter contexts.
+    """
+    totals = write_shared(
+        counts.groupBy("context").agg(
+            F.sum("a").alias("na"),
+            F.sum("b").alias("nb"),
+            F.sum((F.col("a") > 0).cast("long")).alias("ta"),
+            F.sum((F.col("b") > 0).cast("long")).alias("tb"),
+        )
+    )
+
+    def mixed(count: str, total: str, types: str, low: str) -> Column:
+        share = (F.col(count) + F.col(types) * F.col(low)) / F.nullif(F.col(total) + F.col(types), F.lit(0))
+        return F.coalesce(share, F.col(low))
+
+    every = counts.join(totals, "context")
+    levels: list[DataFrame] = []
+    for k in range(order + 1):
+        level = every.where(F.length("context") == k)
+        if levels:
+            shorter = levels[-1].select(
+                F.col("context").alias("suffix"), "ch", F.col("pa").alias("low_a"), F.col("pb").alias("low_b")
+            )
+            level = level.withColumn("suffix", F.substring("context", 2, k)).join(shorter, ["suffix", "ch"])
+        else:
+            level = level.withColumns({"low_a": F.lit(1 / 256), "low_b": F.lit(1 / 256)})
+        level = level.select(
+            "context", "ch", mixed("a", "na", "ta", "low_a").alias("pa"), mixed("b", "nb", "tb", "low_b").alias("pb")
+        )
+        levels.append(write_shared(level))
+    grams = levels[0]
+    for level in levels[1:]:
+        grams = grams.unionAll(level)
+
+    def log_share(total: str, types: str) -> Column:
+        return F.when(F.col(total) > 0, F.log(F.col(types) / (F.col(total) + F.col(types)))).otherwise(F.lit(0.0))
+
+    return (
+        grams.select("context", "ch", F.log(F.col("pa") / F.col("pb")).alias("ratio")),
+        totals.select("context", (log_share("na", "ta") - log_share("nb", "tb")).alias("back")),
+    )
+
+
+def joined_scores(texts: DataFrame, grams: DataFrame, backs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(text, score) of the distinct non-empty texts, by joins with the whole model.
+
+    A text's grams of `order` + 1 characters (shorter at its start) are counted first, and each
+    distinct gram is looked up once, from its longest context down.
+    """
+    padded = F.concat(F.lit("\n"), "text")
+    at = texts.select("text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("i"))
+    k = F.least(F.col("i"), F.lit(order))
+    held = write_shared(
+        at.select("text", F.substring(padded, F.col("i") - k + 1, k + 1).alias("gram"))
+        .groupBy("text", "gram")
+        .agg(F.count(F.lit(1)).alias("times"))
+    )
+    # `left` is what is still looked up of a gram, one character less after each miss
+    current = held.select("gram").distinct().withColumns({"left": F.col("gram"), "value": F.lit(0.0)})
+    done = None
+    for size in range(order + 1, 0, -1):
+        rows = grams.where(F.length("context") == size - 1).select(F.concat("context", "ch").alias("left"), "ratio")
+        off = backs.where(F.length("context") == size - 1)
+        looked = (
+            current.where(F.length("left") == size)
+            .join(rows, "left", "left")
+            .withColumn("context", F.substring("left", 1, size - 1))
+            .join(off, "context", "left")
+        )
+        looked = write_shared(
+            looked.select(
+                "gram",
+                "left",
+                (F.col("value") + F.coalesce("ratio", "back", F.lit(0.0))).alias("value"),
+                (F.col("ratio").isNotNull() | F.lit(size == 1)).alias("found"),
+            )
+        )
+        ended = looked.where("found").select("gram", "value")
+        done = ended if done is None else done.unionAll(ended)
+        again = looked.where("NOT found").select("gram", F.substring("left", 2, size).alias("left"), "value")
+        current = current.where(F.length("left") < size).unionAll(again)
+    return (
+        held.join(done, "gram")
+        .groupBy("text")
+        .agg((F.sum(F.col("times") * F.col("value")) / F.first(F.length("text"))).alias("score"))
     )
-    return UrlModel([tuple(r) for r in kept.collect()], order)
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], id_column: str = "page_id", url: str = "url") -> DataFrame:
+def judge(
+    pages: DataFrame,
+    rules: Sequence[Rule],
+    id_column: str = "page_id",
+    url: str = "url",
+    broadcast_grams: int = BROADCAST_GRAMS,
+) -> DataFrame:
     """page_id, host, path, rule, verdict, score: one row per row of `pages`.
 
     `score` is the models' log-likelihood difference per character of host and path, for every row.
@@ -158,25 +249,35 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_column: str = "page_id", u
     host, path = host_and_path(F.col(f"`{url}`"))
     parsed = pages.select(F.col(f"`{id_column}`").alias("page_id"), host.alias("host"), path.alias("path"))
     ruled = parsed.withColumn("hit", matching_rule(rules, F.col("host"), F.col("path")))
-    text = F.concat("host", "path").alias("text")
-    taught = ruled.where("hit IS NOT NULL").select(text, (F.col("hit.verdict") == "allow").alias("allowed"))
-    model = learn(taught)
-    shared = spark.sparkContext.broadcast((model.seen, model.back, model.order))
-
-    @F.pandas_udf("double")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seen, back, order = shared.value
-        for batch in texts:
-            yield pd.Series([score_text(t, seen, back, order) for t in batch], index=batch.index)
-
+    ruled = ruled.withColumn("text", F.concat("host", "path"))
+    taught = ruled.where("hit IS NOT NULL").select("text", (F.col("hit.verdict") == "allow").alias("allowed"))
+    counts = write_shared(context_counts(taught.where(F.length("text") > 0)))
+    if counts.count() <= broadcast_grams:
+        model = UrlModel([tuple(r) for r in counts.collect()], ORDER)
+        shared = spark.sparkContext.broadcast((model.seen, model.back, model.order))
+
+        @F.pandas_udf("double")
+        def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            seen, back, order = shared.value
+            for batch in texts:
+                yield pd.Series([score_text(t, seen, back, order) for t in batch], index=batch.index)
+
+        judged = ruled.withColumn("score", scored("text"))
+    else:
+        grams, backs = smoothed(counts)
+        texts = ruled.where(F.length("text") > 0).select("text").distinct()
+        scores = write_shared(joined_scores(texts, grams, backs))
+        # empty texts have no score and do not meet in one task of the join
+        full = ruled.where(F.length("text") > 0).join(scores, "text")
+        empty = ruled.where(F.length("text") == 0).withColumn("score", F.lit(0.0))
+        judged = full.unionByName(empty)
     stats = (
-        taught.select("allowed", scored("text").alias("s"))
-        .groupBy("allowed")
-        .agg(F.avg("s").alias("mean"))
+        judged.where("hit IS NOT NULL")
+        .groupBy((F.col("hit.verdict") == "allow").alias("allowed"))
+        .agg(F.avg("score").alias("mean"))
         .collect()
     )
     cut = sum(r["mean"] for r in stats) / 2 if len(stats) == 2 else -math.inf
-    judged = ruled.withColumn("score", scored(F.concat("host", "path")))
     return judged.select(
         "page_id",
         "host",

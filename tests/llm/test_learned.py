@@ -70,6 +70,25 @@ def test_url_model_separates_unruled(spark):
     assert got[400:450].count("allow") > 45 and got[450:].count("block") > 45
 
 
+def test_url_models_keep_every_count(spark):
+    matched = {rule.text: rule.verdict == "allow" for rule in RULES}
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24))
+    rows = [f"http://{word()}.com/{k}/{word()}" for k in ("fr", "de", "qq") for _ in range(900)]
+    rows += [u for u, *_ in URLS] + [rows[0], rows[-1]] + [None] * 40
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    judged = judge(pages, RULES)
+    got = {x.page_id: x for x in judged.collect()}
+    assert len(got) == len(rows)
+    taught = [(x.host + x.path, matched[x.rule]) for x in got.values() if x.rule and x.host + x.path]
+    frame = spark.createDataFrame(taught, "text string, allowed boolean")
+    counts = [tuple(x) for x in context_counts(frame).collect()]
+    assert len(counts) > 150_000
+    model = UrlModel(counts, 5)
+    for x in got.values():
+        assert x.score == pytest.approx(score_text(x.host + x.path, model.seen, model.back, 5), abs=1e-9)
+
+
 def test_toxicity_held_out(spark):
     rows = [(k, prose(k, 80) + (" nasty horrible" if k % 5 == 0 else ""), int(k % 5 == 0)) for k in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
