@@ -21,12 +21,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Columns as in `docs`; rows without words are in no copy. A part copy ends with its last word.
     """
     columns = docs.columns
+    # equal rows differ in `taken` only where the budget ends, so a few runs describe any number of them
+    group = W.partitionBy("doc_id", "tie", "source").orderBy("taken")
     taken = (
         mix(docs.select("doc_id", "text", "source"))
         .where("taken > 0")
-        .select("doc_id", "tie", "source", copies(F.col("size"), F.col("taken")).alias("copies"))
+        .groupBy("doc_id", "tie", "source", "size", "taken")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .withColumn("upto", F.sum("rows").over(group))
         .groupBy("doc_id", "tie", "source")
-        .agg(F.array_sort(F.collect_list("copies")).alias("__copies"))
+        .agg(F.array_sort(F.collect_list(F.struct("upto", "size", "taken"))).alias("__runs"))
     )
     id_, source = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.coalesce("source", F.lit(""))
     keys = {
@@ -41,7 +45,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     numbered = left.join(right, on).withColumn(
         "__row", F.row_number().over(W.partitionBy(*on).orderBy(F.lit(0)))
     )
-    each = numbered.withColumn("__take", F.explode(F.element_at("__copies", F.col("__row"))))
+    # rows beyond the last run are not taken
+    run = F.get(F.filter("__runs", lambda r: r["upto"] >= F.col("__row")), F.lit(0))
+    each = numbered.withColumn("__run", run).where("__run IS NOT NULL")
+    each = each.withColumn("__take", F.explode(copies(F.col("__run.size"), F.col("__run.taken"))))
     # only a part copy is cut apart: at single spaces, so that joining gives the prefix's length
     short = F.col("__take") < word_count(F.col("text"))
     each = each.withColumn("__parts", F.when(short, F.split(spaced(F.col("text")), " ")))

@@ -112,6 +112,17 @@ def test_mix(spark):
     assert mix(empty(spark)).count() == 0
 
 
+def test_mixed_documents_end_among_repeated_rows(spark):
+    text = " ".join("abcdefghij")
+    rows = [(k, text, source) for k, source in enumerate("abc") for _ in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = collections.Counter()
+    for r in mixed_documents(docs).collect():
+        words[r.source] += len(r.text.split())
+    # weights 3, 1, 2 of 450 words, at most 200 a source
+    assert words == {"a": 200, "b": 83, "c": 167}
+
+
 def test_mixed_documents(spark):
     docs = documents(spark)
     out = mixed_documents(docs)
