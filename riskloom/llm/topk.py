@@ -22,25 +22,26 @@ from pyspark.sql import functions as F
 
 QUERIES_PER_BLOCK = 4096
 LEVELS = (1, 4, 16)
-# beyond this a score need not fit 64 bits
+# beyond this a score need not fit 64 bits, and such a table is refused
 LARGEST_COMPONENT = 2**26
 
 
 def quantised(vectors: DataFrame, id_column: str, vector: str, scale: int) -> DataFrame:
     """(vec_id, v): floor(scale * x) per component.
 
-    Rows with a NULL id, a NULL vector, or a component that is NULL, not finite or beyond
-    LARGEST_COMPONENT after scaling are left out.
+    Rows with a NULL id, a NULL vector, or a component that is NULL or not finite are left out. A
+    finite component beyond LARGEST_COMPONENT after scaling raises an error.
     """
     v = F.transform(F.col(f"`{vector}`"), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
     usable = F.forall(
         F.col(f"`{vector}`"),
-        lambda x: x.isNotNull()
-        & ~F.isnan(x.cast("double"))
-        & (F.abs(x.cast("double")) <= LARGEST_COMPONENT / scale),
+        lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")),
     )
+    fits = F.forall(F.col(f"`{vector}`"), lambda x: F.abs(x.cast("double")) <= LARGEST_COMPONENT / scale)
+    refusal = F.raise_error(F.lit(f"a component is beyond {LARGEST_COMPONENT / scale:g}: its scores need not fit 64 bits"))
+    v = F.when(fits, F.transform(v, lambda x: x.cast("long"))).otherwise(refusal)
     return vectors.where(F.col(f"`{id_column}`").isNotNull() & usable).select(
-        F.col(f"`{id_column}`").cast("long").alias("vec_id"), F.transform(v, lambda x: x.cast("long")).alias("v")
+        F.col(f"`{id_column}`").cast("long").alias("vec_id"), v.alias("v")
     )
 
 

@@ -46,6 +46,14 @@ def test_top_k(spark):
     assert exact_top_k(frame.where("false")).count() == 0
 
 
+def test_top_k_refuses_what_it_cannot_score(spark):
+    rows = [(k, [float(k), 1.0]) for k in range(200)]
+    fits = spark.createDataFrame([*rows, (201, [65536.0, 1.0])], "vec_id long, embedding array<double>")
+    assert exact_top_k(fits).where("query_id = 100 AND rank = 1").first().vec_id == 201
+    with pytest.raises(Exception, match="a component is beyond 65536"):
+        exact_top_k(spark.createDataFrame([*rows, (201, [65537.0, 1.0])], "vec_id long, embedding array<double>")).collect()
+
+
 def brute_lines(rows, least):
     """Rows (key, text) in order; every run of lines with enough words that occurs earlier goes."""
     first, out = {}, {}
