@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +70,14 @@ def count_characters(text: Column, characters: str) -> Column:
 def crc_of_id(column: str) -> Column:
     """CRC-32 of the id written as text; of the empty text for NULL."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def bounded_slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` bytes of the text column, a longer text by itself."""
+    sizes = batch.column(text).cast(pa.binary())
+    lengths = np.diff(np.frombuffer(sizes.buffers()[1], np.int32)[sizes.offset : sizes.offset + len(sizes) + 1])
+    block = (np.cumsum(lengths.astype(np.int64)) - 1) // most
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
