@@ -21,7 +21,7 @@ def results(spark):
 
 
 def test_one_query_per_operator(results):
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in results) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in results) == list(range(1, 14))
     assert {*queries.QUERIES, "pipeline"} <= set(contract.queries())
 
 
