@@ -21,6 +21,7 @@ import re
 import sys
 import types
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from riskloom.sources.shared import write_shared
 from .common import bounded_slices
 
 FREQUENT = 65_536
-WORDS_KEPT = 300_000
+WORDS_KEPT = 350_000
 LONGEST_WORD = 64  # longer stretches are aligned without being kept
 BYTES_AT_ONCE = 1 << 20
 STRETCH = 1 << 14  # characters of new words that are encoded at once
@@ -85,6 +86,7 @@ class Aligner:
         for i, spelled in self.a_bytes.items():
             self.a_lengths[i] = len(spelled)
         self.b_lengths = np.array([len(spelled) for spelled in self.b_bytes])
+        self.numbers = [str(i) for i in range(max(len(self.a_lengths), len(self.b_lengths)))]
         self.apart = self._cuts_at_spaces(names)
         self.known: dict[str, tuple] = {}
 
@@ -111,12 +113,15 @@ class Aligner:
         a = np.array(found.ids, np.int64)
         letters = np.frombuffer(data, np.uint8)
         at = np.append(np.flatnonzero((letters & 0xC0) != 0x80), len(data))  # first byte of each character
-        spans = at[np.array(found.offsets, np.int64).reshape(-1, 2)]
+        spans = at[np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(a)).reshape(-1, 2)]
         a_ends = self._ends(a, spans, self.a_bytes, self.a_lengths, data)
 
         led = stretch[0] == " "
         proto = self.b.encode(stretch[1:] if led else stretch, return_type="proto").pieces
-        cells = np.array([(p.id, p.begin, p.end) for p in proto], np.int64).reshape(-1, 3)
+        cells: list[int] = []
+        for piece in proto:
+            cells += (piece.id, piece.begin, piece.end)
+        cells = np.array(cells, np.int64).reshape(-1, 3)
         # the space that the model puts first has no place in its own text
         b, spans = cells[:, 0], cells[:, 1:] + 1
         if led:
@@ -138,7 +143,7 @@ class Aligner:
         return ends if np.array_equal(ends, np.cumsum(lengths[ids])) else np.cumsum(lengths[ids])
 
     def align(self, words: list[str]) -> list[tuple | None]:
-        """For neighbouring words: groups as text, id pairs, their times, tokens of both sides and groups.
+        """For neighbouring words: groups as text, id pairs, their times, and numbers of tokens and groups.
 
         None for a word whose bytes the tokens do not spell.
         """
@@ -159,30 +164,33 @@ class Aligner:
         sides = np.stack([na, nb], axis=1).ravel()
         after = np.full(len(order), ",", "<U1")
         after[np.cumsum(sides) - 1] = np.tile(["|", ";"], n)
-        parts = [str(i) + c for i, c in zip(np.concatenate([a, b])[order].tolist(), after.tolist())]
+        spelled = self.numbers
+        parts = [spelled[i] + c for i, c in zip(np.concatenate([a, b])[order].tolist(), after.tolist())]
         text = "".join(parts)
         letters = np.cumsum([0, *map(len, parts)])
         text_ends = letters[np.cumsum(na + nb)[group_ends - 1]]
         pairs, times, pair_ends = self._links(a, ga, na, b, gb, nb)
         pair_ends = pair_ends[group_ends - 1]
-        sizes = np.diff(np.stack([np.cumsum(na)[group_ends - 1], np.cumsum(nb)[group_ends - 1], group_ends], 1), axis=0, prepend=0)
-        pairs, times, sizes = pairs.tobytes(), times.tobytes(), sizes.astype(np.int64).tobytes()
+        a_sizes, b_sizes, g_sizes = (
+            np.diff(x, prepend=0).tolist() for x in (np.cumsum(na)[group_ends - 1], np.cumsum(nb)[group_ends - 1], group_ends)
+        )
+        pairs, times = pairs.tobytes(), None if times is None else times.tobytes()
         out, t0, p0 = [], 0, 0
-        for k, (t, p) in enumerate(zip(text_ends.tolist(), (8 * pair_ends).tolist())):
-            out.append((text[t0 : t - 1], pairs[p0:p], times[p0:p], sizes[24 * k : 24 * k + 24]))
+        for t, p, *sizes in zip(text_ends.tolist(), (8 * pair_ends).tolist(), a_sizes, b_sizes, g_sizes):
+            out.append((text[t0 : t - 1], pairs[p0:p], times and times[p0:p], *sizes))
             t0, p0 = t, p
         return out
 
     @staticmethod
-    def _links(a, ga, na, b, gb, nb) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Linked id pairs by group, how often each is meant, and where each group's pairs end."""
+    def _links(a, ga, na, b, gb, nb) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+        """Linked id pairs by group, how often each is meant (None: once), and where each group's pairs end."""
         links = na * nb
         first_b = np.cumsum(nb) - nb
         if not len(links) or links.max() <= 1 << 16:
             times = nb[ga]
             place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first_b[ga], times)
             pairs = (np.repeat(a, times) << 32) + b[place]
-            return pairs, np.ones(len(pairs), np.int64), np.cumsum(links)
+            return pairs, None, np.cumsum(links)
         pairs, times, ends, first_a = [], [], [], np.cumsum(na) - na
         for g in range(len(links)):  # equal ids of a long group are counted, not paired one by one
             x, nx = np.unique(a[first_a[g] : first_a[g] + na[g]], return_counts=True)
@@ -261,13 +269,11 @@ def align_documents(
                 if not found or None in found:
                     row = (0, 0, 0, 0, None, "", none, none)
                 else:
-                    written, codes, counts, sizes = (list(x) for x in zip(*found))
+                    written, codes, counts, *sizes = zip(*found)
                     whole = ";".join(written)
-                    n_a, n_b, n_groups = np.frombuffer(b"".join(sizes), np.int64).reshape(-1, 3).sum(axis=0).tolist()
-                    every, place = np.unique(np.frombuffer(b"".join(codes), np.int64), return_inverse=True)
-                    times = np.bincount(place, np.frombuffer(b"".join(counts), np.int64)).astype(np.int64)
+                    every, times = _added_up(codes, counts)
                     digest = hashlib.sha256(whole.encode()).hexdigest()
-                    row = (n_a, n_b, n_groups, int(times.sum()), whole if groups else None, digest, every, times)
+                    row = (*map(sum, sizes), int(times.sum()), whole if groups else None, digest, every, times)
                 for name, value in zip(out, row):
                     out[name].append(value)
             lists = {name: _lists(out.pop(name)) for name in ("pairs", "times")}
@@ -279,6 +285,16 @@ def align_documents(
     return rows.mapInArrow(describe, ", ".join(f"{name} {kind}" for name, kind in ROW))
 
 
+def _added_up(codes: tuple[bytes, ...], counts: tuple[bytes | None, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of all words, ascending, and how often each is linked."""
+    pairs = np.frombuffer(b"".join(codes), np.int64)
+    if not any(counts):
+        return np.unique(pairs, return_counts=True)
+    times = np.concatenate([np.frombuffer(n, np.int64) if n else np.ones(len(c) // 8, np.int64) for c, n in zip(codes, counts)])
+    every, place = np.unique(pairs, return_inverse=True)
+    return every, np.bincount(place, times).astype(np.int64)
+
+
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, rows)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))

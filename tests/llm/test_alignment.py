@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from llm_data import documents, empty, prose
-from riskloom.llm.alignment import Aligner, align_documents, link_counts, refined_ends
+from riskloom.llm.alignment import Aligner, _added_up, align_documents, link_counts, refined_ends
 from riskloom.llm.op13 import tokenizer_paths
 from riskloom.sources.shared import write_shared
 
@@ -134,6 +134,14 @@ def test_long_group_is_counted():
     }
 
 
+def test_added_up():
+    codes = [np.array(x, np.int64).tobytes() for x in ([5, 7], [5], [9, 5])]
+    every, times = _added_up(tuple(codes), (None, np.array([4]).tobytes(), None))
+    assert (every.tolist(), times.tolist()) == ([5, 7, 9], [6, 1, 1])
+    every, times = _added_up(tuple(codes), (None, None, None))
+    assert (every.tolist(), times.tolist()) == ([5, 7, 9], [3, 1, 1])
+
+
 def test_empty_table(spark):
     aligned = write_shared(align_documents(empty(spark), *tokenizer_paths()))
     assert link_counts(aligned).count() == 0
