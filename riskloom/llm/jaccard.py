@@ -1,10 +1,12 @@
 """Exact Jaccard join of word shingles with count vectors and R-trees.
 
-Documents with the same shingle set are one node. A pair of nodes at or above the threshold
-must share one of the shingles that come first in any fixed order of all shingles, so nodes meet in
-buckets, one for each leading shingle. Shingles are ordered by hash, but frequent ones come last, by
-frequency, so that passages that many documents share open no bucket. The order changes only the
-cost: any order finds every pair.
+Documents with the same shingle set are one node. Nodes meet in buckets, one for each of the shingles
+that come first in a fixed order of all shingles. If a pair overlaps in t of a node's n shingles, the
+first n - t + l of both hold l common ones, so a linked pair meets in at least l buckets (`common_needed`). A
+node in fewer shared buckets has no partner and leaves, and each node may stay away from its largest
+buckets as long as any linked pair keeps one. Shingles are ordered by hash, but frequent ones come
+last, by frequency, so that passages that many documents share open no bucket. The order changes
+only the cost: any order finds every pair.
 
 A node's shingles are hashed to groups; the group counts are a point. The sum of the smaller
 coordinates of two points bounds the overlap of their sets from above. First every node is compared
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, settled
+from .common import bounded_slices, broadcast_if_small, settled
 from .components import connected_components
 from .hashing import shingle_sets
 
@@ -38,8 +40,9 @@ WORDS = 5
 PERCENT = 75
 GROUPS = 64
 FREQUENT = 200_000  # bound of the broadcast list of frequent shingles
-ROWS_AT_ONCE = 2048
+BYTES_AT_ONCE = 1 << 22  # of the texts whose shingles are held at once
 BLOCK = 2048
+PAIRS_KEPT = 500_000  # of a task, to give a pair of several buckets once
 FANOUT = 16
 SALTS = 64
 LEADERS = 3
@@ -50,6 +53,16 @@ def needed_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def common_needed(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many leading shingles a set of n elements shares with a linked set that is not smaller."""
+    return np.maximum(1, (n - -(-percent * n // 100) + 1) // 4)
+
+
+def least_buckets(n: np.ndarray, percent: int) -> np.ndarray:
+    """In how many buckets a set of n elements meets any linked set: of those the smallest has percent of n."""
+    return common_needed(-(-percent * n // 100), percent)
+
+
 def group_counts(shingles: np.ndarray) -> bytes:
     """Counts per group as bytes: GROUPS or the next power of two, so that about one shares a group."""
     groups = GROUPS
@@ -61,8 +74,8 @@ def group_counts(shingles: np.ndarray) -> bytes:
 
 
 def coarse_point(vector: bytes) -> bytes:
-    """The same point in an eighth of its groups, at least GROUPS: what the buckets carry."""
-    groups = max(GROUPS, len(vector) // 8)
+    """The same point in a quarter of its groups, at least GROUPS: what the buckets carry."""
+    groups = max(GROUPS, len(vector) // 4)
     while groups < len(vector):
         counts = folded([vector], groups)[0]
         if counts.max() < 256:
@@ -103,10 +116,10 @@ def _half(digest: bytes) -> int:
 
 
 def document_nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, vector) per row, and on some rows shingles that are frequent around it."""
+    """(doc_id, key, n, node, vector) per row, and on some rows shingles that are frequent around it."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, ROWS_AT_ONCE) for b in batches for k in range(0, b.num_rows, ROWS_AT_ONCE)):
+        for batch in (s for b in batches for s in bounded_slices(b, "__text", BYTES_AT_ONCE)):
             sizes, nodes, vectors, distinct = [], [], [], {}
             for s in shingle_sets(_texts(batch), WORDS):
                 digest = xxhash.xxh3_128_digest(s.tobytes())
@@ -120,6 +133,7 @@ def document_nodes(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("key"),
                     pa.array(sizes, pa.int64()),
                     pa.array(nodes, pa.binary()),
                     pa.array([_half(d) for d in nodes], pa.int64()),
@@ -128,12 +142,12 @@ def document_nodes(docs: DataFrame) -> DataFrame:
                     pa.array([every[often].view(np.int64), *rest], pa.list_(pa.int64())),
                     pa.array([counts[often], *rest], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "node", "s", "vector", "point", "often", "times"],
+                names=["doc_id", "key", "n", "node", "s", "vector", "point", "often", "times"],
             )
 
     return docs.mapInArrow(
         describe,
-        "doc_id long, n long, node binary, s long, vector binary, point binary, often array<long>, times array<long>",
+        "doc_id long, key long, n long, node binary, s long, vector binary, point binary, often array<long>, times array<long>",
     )
 
 
@@ -157,9 +171,9 @@ def frequent_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def leading(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of a set that any partner shares one of, and which of them are frequent."""
+    """The first shingles of a set, of which a partner shares `common_needed`, and which of them are frequent."""
     n = len(shingles)
-    count = n - -(-percent * n // 100) + 1 if n else 0
+    count = n - -(-percent * n // 100) + int(common_needed(n, percent)) if n else 0
     at = np.searchsorted(frequent, shingles)
     hit = np.zeros(n, bool)
     inside = at < len(frequent)
@@ -170,16 +184,20 @@ def leading(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percen
 
 
 def buckets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """(h, s), each pair once: nodes by half id in each bucket of at least two."""
+    """(h, s, need), each pair once: nodes by half id in each bucket of at least two.
+
+    Only nodes that meet others in `need` buckets are left; `need` also holds for any linked pair.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ranks = shared.value
         seen: set[bytes] = set()
-        for batch in (b.slice(k, ROWS_AT_ONCE) for b in batches for k in range(0, b.num_rows, ROWS_AT_ONCE)):
+        for batch in (s for b in batches for s in bounded_slices(b, "__text", BYTES_AT_ONCE)):
             if len(seen) > 200_000:
                 seen.clear()
             keys, nodes, often = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            needs = [np.zeros(0, np.int32)]
             for s in shingle_sets(_texts(batch), WORDS):
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 if digest not in seen:
@@ -188,16 +206,18 @@ def buckets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: i
                     keys.append(first)
                     nodes.append(np.full(len(first), _half(digest)))
                     often.append(hot)
+                    needs.append(np.full(len(first), least_buckets(len(s), percent), np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate(keys).view(np.int64)),
                     pa.array(np.concatenate(nodes)),
                     pa.array(np.concatenate(often)),
+                    pa.array(np.concatenate(needs)),
                 ],
-                names=["h", "s", "often"],
+                names=["h", "s", "often", "need"],
             )
 
-    posted = docs.select("__text").mapInArrow(post, "h long, s long, often boolean")
+    posted = docs.select("__text").mapInArrow(post, "h long, s long, often boolean, need int")
     # a frequent shingle is dealt over salts; its few partial leaders are combined afterwards
     salt = F.when(F.col("often"), F.pmod(F.xxhash64("s"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     posted = posted.withColumn("salt", salt)
@@ -208,12 +228,14 @@ def buckets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: i
     met = settled(
         once.withColumns({"leader": F.min("s").over(together), "top": F.max("s").over(together)})
         .where("often OR leader < top")
-        .select("h", "s", "leader", "often")
+        .select("h", "s", "leader", "often", "need")
     )
     # at most as many rows as there are frequent shingles, whatever the input
     leaders = met.where("often").groupBy("h").agg(F.min("leader").alias("first"), F.max("s").alias("top"))
-    often = met.where("often").join(F.broadcast(leaders), "h").where("first < top").select("h", "s")
-    return met.where("NOT often").select("h", "s").unionAll(often)
+    often = met.where("often").join(F.broadcast(leaders), "h").where("first < top").select("h", "s", "need")
+    every = met.where("NOT often").select("h", "s", "need").unionAll(often)
+    enough = every.groupBy("s").agg(F.count(F.lit(1)).alias("degree"), F.max("need").alias("least")).where("degree >= least")
+    return settled(every.join(enough.select("s", "degree"), "s"))
 
 
 def closest_leaders(met: DataFrame) -> DataFrame:
@@ -222,10 +244,14 @@ def closest_leaders(met: DataFrame) -> DataFrame:
     A bucket is led by the node that is in most buckets: the text that others were copied from has
     no rare shingles of its own, so it meets all its copies, while two copies may be too far apart.
     """
-    degree = met.groupBy("s").agg(F.count(F.lit(1)).alias("degree"))
-    ranked = met.join(degree, "s")
-    led = ranked.groupBy("h").agg(F.max(F.struct("degree", "s"))["s"].alias("t"))
-    counted = ranked.join(led, "h").where("s <> t").groupBy("s", "t").agg(F.count(F.lit(1)).alias("c"))
+    led = met.groupBy("h").agg(F.max(F.struct("degree", "s"))["s"].alias("t"))
+    counted = (
+        met.join(led, "h")
+        .where("s <> t")
+        .groupBy("s", "t")
+        .agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need"))
+        .where("c >= need")
+    )
     best = W.partitionBy("s").orderBy(F.col("c").desc(), "t")
     return counted.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS).select("s", "t")
 
@@ -308,6 +334,7 @@ def bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        known = np.zeros(0, "i8,i8")  # pairs that this task gave before
 
         def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             key = rows.column("bucket").to_numpy()
@@ -326,11 +353,15 @@ def bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
                 i, j = order[i], order[j]
                 fits = overlap_bounds([vectors[k] for k in i], [vectors[k] for k in j]) >= needed_overlap(n[i], n[j], percent)
                 out.append((s[i[fits]], s[j[fits]]))
-            for i, j in out:
-                if len(i):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["s", "t"]
-                    )
+            nonlocal known
+            i, j = (np.concatenate([np.zeros(0, np.int64), *side]) for side in ([x for x, _ in out], [y for _, y in out]))
+            pairs = np.zeros(len(i), known.dtype)
+            pairs["f0"], pairs["f1"] = np.minimum(i, j), np.maximum(i, j)
+            pairs = np.setdiff1d(pairs, known)
+            known = np.concatenate([known if len(known) < PAIRS_KEPT else known[:0], pairs])
+            if len(pairs):
+                columns = [pa.array(np.ascontiguousarray(pairs[c])) for c in ("f0", "f1")]
+                yield pa.RecordBatch.from_arrays(columns, names=["s", "t"])
 
         for batch in batches:
             key = batch.column("bucket").to_numpy()
@@ -367,11 +398,11 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int)
 
     Only the sets of nodes in a pair are built from their texts.
     """
-    left = nodes.select("s", F.col("node").alias("a"), F.col("doc_id").alias("da"))
-    right = nodes.select(F.col("s").alias("t"), F.col("node").alias("b"), F.col("doc_id").alias("db"))
-    close = settled(pairs.join(left, "s").join(right, "t").where("a <> b").select("a", "da", "b", "db"))
-    wanted = close.select(F.explode(F.array("da", "db")).alias("doc_id")).distinct()
-    texts = docs.join(broadcast_if_small(wanted), "doc_id")
+    left = nodes.select("s", F.col("node").alias("a"), F.col("key").alias("ka"))
+    right = nodes.select(F.col("s").alias("t"), F.col("node").alias("b"), F.col("key").alias("kb"))
+    close = settled(pairs.join(left, "s").join(right, "t").where("a <> b").select("a", "ka", "b", "kb"))
+    wanted = settled(close.select(F.explode(F.array("ka", "kb")).alias("key")).distinct())
+    texts = docs.join(broadcast_if_small(wanted), "key")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,24 +425,15 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int)
     return both.where(100 * overlap >= percent * union).select("a", "b")
 
 
-def jaccard_components(
-    docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of `docs`.
-
-    Rows link when their sets of 5-word shingles have a Jaccard similarity of at least `percent` /
-    100; the component is named by its smallest id. A text of fewer words is one shingle; NULL and
-    texts without words have none, link with nothing and are components of their own. Repeated rows
-    and equal texts are one component. A row without id gets the smallest id it is linked to, or NULL.
-    Other columns are not read.
-    """
-    source = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("__text"))
-    described = settled(document_nodes(source))
-    nodes = settled(
-        described.where("n > 0 AND doc_id IS NOT NULL")
-        .groupBy("node", "s", "n", "vector", "point")
-        .agg(F.min("doc_id").alias("doc_id"))
+def component_rows(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, key, n, component) per row of `docs`: 64-bit hash of the text, size of its set, and the
+    component as the smallest node in it, NULL without words."""
+    text_column = F.col(f"`{text}`")
+    source = docs.select(
+        F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.xxhash64(text_column).alias("key"), text_column.alias("__text")
     )
+    described = settled(document_nodes(source))
+    nodes = settled(described.where("n > 0").groupBy("node", "s", "n", "vector", "point").agg(F.min("key").alias("key")))
     met = buckets(source, frequent_shingles(described), percent)
     first = settled(verified(source, possible(closest_leaders(met), nodes, percent), nodes, percent))
     tied = connected_components(first)
@@ -435,13 +457,19 @@ def jaccard_components(
         )
         .where("low < high")
         .groupBy(*sums, "members")  # buckets with the same members are searched once
-        .agg(F.min("h").alias("h"))
+        .agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("alike"))
+    )
+    # a linked pair meets in `need` buckets of both, so each may stay away from under half as many: the largest
+    largest = W.partitionBy("s").orderBy(F.desc("members"), "h").rowsBetween(W.unboundedPreceding, W.currentRow)
+    searched = (
+        met.join(open_.select("h", "members", "alike"), "h")
+        .withColumn("left_out", F.sum("alike").over(largest))
+        .where("2 * left_out > need - 1")
+        .select("h", "s", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     )
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64(F.lit("block"), "s"), F.col("blocks")).cast("int")
     placed = (
-        met.join(open_.select("h", blocks.alias("blocks")), "h")
-        .select("h", "s", "blocks", own.alias("own"))
+        searched.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "s",
@@ -455,10 +483,23 @@ def jaccard_components(
     more = settled(possible(met_in_tree, nodes, percent))
     second = settled(verified(source, more, nodes, percent))
     final = connected_components(first.unionAll(second))
-
-    labelled = described.join(final, "node", "left").select(
-        "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("component")
+    return described.join(final, "node", "left").select(
+        "doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("component")
     )
+
+
+def jaccard_components(
+    docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of `docs`.
+
+    Rows link when their sets of 5-word shingles have a Jaccard similarity of at least `percent` /
+    100; the component is named by its smallest id. A text of fewer words is one shingle; NULL and
+    texts without words have none, link with nothing and are components of their own. Repeated rows
+    and equal texts are one component. A row without id gets the smallest id it is linked to, or NULL.
+    Other columns are not read.
+    """
+    labelled = component_rows(docs, percent, id_column, text)
     names = labelled.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(names, "component", "left").select(
         "doc_id",
