@@ -15,7 +15,7 @@ def tokenizer_path() -> str:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    return pack(docs, tokenizer_path()).drop("token_ids")
+    return pack(docs, tokenizer_path(), token_ids=False)
 
 
 def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:

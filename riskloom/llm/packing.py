@@ -60,19 +60,19 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def projection(vocabulary: int) -> np.ndarray:
-    """A row of random signs for each token id; ids of one hash bucket share theirs."""
+def projection(vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash bucket of each token id, and a row of random signs for each bucket."""
     bucket = mix64(np.arange(vocabulary, dtype=np.uint64) + np.uint64(11)) % np.uint64(BUCKETS)
-    cells = bucket[:, None] * np.uint64(DIMENSIONS) + np.arange(DIMENSIONS, dtype=np.uint64)
-    return ((mix64(cells + np.uint64(5)) & np.uint64(1)).astype(np.float32) * 2 - 1).astype(np.float32)
+    cells = np.arange(BUCKETS * DIMENSIONS, dtype=np.uint64) + np.uint64(5)
+    signs = (mix64(cells) & np.uint64(1)).astype(np.int64) * 2 - 1
+    return bucket.astype(np.int32), signs.reshape(BUCKETS, DIMENSIONS)
 
 
-def curve_keys(ids: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
+def curve_keys(ids: list[np.ndarray], projected: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    bucket, signs = projected
     means = np.zeros((len(ids), DIMENSIONS))
     for k, row in enumerate(ids):
-        for i in range(0, len(row), 1 << 20):
-            means[k] += signs[row[i : i + (1 << 20)]].sum(axis=0)
-        means[k] /= max(1, len(row))
+        means[k] = np.bincount(bucket[row], minlength=BUCKETS) @ signs / max(1, len(row))
     return hilbert_index(np.floor((means + 1) / 2 * ((1 << BITS) - 1)), BITS)
 
 
@@ -119,10 +119,12 @@ def pack(
     end: int = 2,
     id_column: str = "doc_id",
     text: str = "text",
+    token_ids: bool = True,
 ) -> DataFrame:
     """Pieces of documents in sequences of at most `length` tokens.
 
-    doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and token_ids (array<int>).
+    doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and unless not asked for
+    token_ids (array<int>).
     Every id of every row lies in one piece; a row without text has the one id `end`. All sequences
     are full but the last few, whose lengths are powers of two (`length` is one too), so there is no
     padding. Rows with one curve key are ordered by id and content; equal rows are packed each. An
@@ -142,7 +144,7 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {name: [] for name in schema.names}
+            out = {name: [] for name in names}
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "before", "n", "ids", "width")]
             for doc_id, before, n, ids, width in zip(*columns):
                 wide = np.frombuffer(ids, f"<u{width}").astype("<u4")
@@ -157,14 +159,17 @@ def pack(
                         first = rest[k - 1] if k else full * length
                     stop = min(last, before + n)
                     piece = wide[at - before : stop - before]
-                    row = (doc_id, at - before, stop - at, zlib.crc32(piece.tobytes()), n, sequence, at - first, piece)
-                    for name, value in zip(schema.names, row):
+                    row = (doc_id, at - before, stop - at, zlib.crc32(piece), n, sequence, at - first, piece)
+                    for name, value in zip(names, row):
                         out[name].append(value)
                     at = stop
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())]
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "token_ids"]
-    schema = pa.schema(list(zip(names, kinds)))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema(list(zip(names, kinds))))
+
+    kinds = [pa.int64()] * 7
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    described = ", ".join(f"{n} long" for n in names)
+    if token_ids:
+        kinds, names = [*kinds, pa.list_(pa.int32())], [*names, "token_ids"]
+        described += ", token_ids array<int>"
     whole = rows.join(placed, "row").select("doc_id", "before", "n", "ids", "width")
-    return whole.mapInArrow(cut, ", ".join(f"{n} long" for n in names[:-1]) + ", token_ids array<int>")
+    return whole.mapInArrow(cut, described)

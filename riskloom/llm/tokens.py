@@ -1,8 +1,9 @@
 """Token ids of whole texts by a public tokenizer file, with caches in the worker process.
 
 For a tokenizer that lower-cases, drops white space and cuts words by a pattern, a text's ids are
-the ids of its words one after another, so words seen before come from a cache of bounded size. Any
-other tokenizer, and any text that is not in composed form, is encoded as a whole.
+the ids of its words one after another, so words seen before come from a cache of bounded size. A word
+with a special token or with letters beyond Latin goes to the library as it stands. Any other
+tokenizer encodes texts as a whole.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import json
 import os
 import sys
 import types
-import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
@@ -52,10 +52,11 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if "<|" in word or not self.plain.fullmatch(word):
+        low = word.lower()
+        if "<|" in word or not self.plain.fullmatch(word) or not self.plain.fullmatch(low):
             return self._whole(word)
         out = []
-        for piece in self.pattern.findall(word):
+        for piece in self.pattern.findall(low):
             found = self.pieces.get(piece)
             if found is None:
                 spelled = piece.encode().decode("latin-1").translate(self.letters)
@@ -68,9 +69,11 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of the text as little-endian numbers of `self.type`."""
-        if self.pattern is None or "Σ" in text or not unicodedata.is_normalized("NFC", text):
+        if self.pattern is None:
             return self._whole(text)
-        words = text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        if text.isascii() and "<|" not in text:
+            text = text.lower()  # the same ids, and fewer words to keep
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         known = self.words
         try:
             return b"".join([known[w] for w in words])
