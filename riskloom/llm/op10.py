@@ -52,15 +52,14 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that pass the base rule and the list learned on them, columns unchanged."""
-    narrow = with_statistics(docs.select("doc_id", "text"), prefix=PREFIX)
-    stats = write_shared(narrow.select("doc_id", *[PREFIX + s for s in STATISTICS]))
+    """The rows of `docs` that pass the base rule and the list learned on them, columns unchanged.
+
+    Texts are read once: the rows are written with their statistics, learned from and judged there.
+    """
+    stats = write_shared(with_statistics(docs, prefix=PREFIX))
     rules = learn_quality_rules(stats, labels, PREFIX)
-    judged = with_statistics(docs, prefix=PREFIX)
     good = ~base_failed(PREFIX) & ~rules.rejects(ratios(PREFIX))
-    # a plain filter would be pushed below the statistics, which would then be computed word by word
-    kept = judged.select("*", F.explode(F.array_repeat(F.lit(True), good.cast("int"))).alias("__kept"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return stats.where(good).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 QUERIES = {"op10_quality_rules": quality_rules}

@@ -3,6 +3,7 @@
 import collections
 import itertools
 import math
+import random
 import re
 import zlib
 
@@ -11,11 +12,12 @@ import pytest
 
 from llm_data import documents, empty, prose
 from riskloom.llm.components import connected_components
-from riskloom.llm.jaccard import folded, group_counts, jaccard_components, needed_overlap, overlap_bounds, rtree_pairs
+from riskloom.llm.jaccard import common_needed, folded, group_counts, jaccard_components, leading, least_buckets, needed_overlap, overlap_bounds, rtree_pairs
 from riskloom.llm.linededup import dedup_lines
 from riskloom.llm.op7 import one_of_each
 from riskloom.llm.op9 import tokenizer_path
 from riskloom.llm.packing import hilbert_index, pack
+from riskloom.llm.tokens import Encoder
 from riskloom.llm.topk import bounds_features, exact_top_k
 
 
@@ -123,9 +125,70 @@ def test_jaccard(spark):
     kept = one_of_each(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} - {None} == {i for i, _, c in expected if i == c}
+    assert kept.where("doc_id = 4").count() == 1 and kept.where("doc_id IS NULL").count() == 1
     assert jaccard_components(empty(spark)).count() == 0
 
 
+def changed(text, at):
+    words = text.split()
+    return " ".join([*words[:at], "changed", *words[at + 1 :]])
+
+
+def test_one_row_of_each_component(spark):
+    """Ids that stand for several texts, repeated rows, and rows without id."""
+    a, b, c = (prose(800 + k, 90) for k in range(3))
+    near = changed(b, 40)
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (7, near, "x"), (8, c, "x"), (8, c, "x"), (8, c, "y"), (None, c, "x"), (None, a, "x"), (9, None, "x"), (9, None, "x"), (None, "", "x")]
+    lone = prose(810, 80)
+    rows += [(None, lone, "x"), (None, lone, "x"), (None, lone + " more", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(4)
+    kept = [(r.doc_id, r.text) for r in one_of_each(docs).collect()]
+    fixed = [(1, a), (5, b), (8, c), (9, None), (9, None), (None, "")]
+    assert sorted(map(str, kept)) == sorted(map(str, fixed + [x for x in kept if x[0] is None and x[1]]))
+    assert len([x for x in kept if x[0] is None and x[1]]) == 1
+
+
+def test_rows_without_id_link(spark):
+    a = prose(820, 90)
+    near = changed(a, 30)
+    docs = spark.createDataFrame([(7, near), (None, a), (None, a), (3, prose(821, 50))], "doc_id long, text string")
+    got = sorted(map(str, [(r.doc_id, r.component_id) for r in jaccard_components(docs).collect()]))
+    assert got == sorted(map(str, [(7, 7), (None, 7), (None, 7), (3, 3)]))
+
+
+def test_large_untied_group(spark):
+    """Variants of one text, most of them too far apart, and exact links between some of them."""
+    r = random.Random(21)
+    base = prose(830, 160).split()
+    rows = []
+    for k in range(160):
+        words = list(base)
+        for at in r.sample(range(160), r.choice([3, 5, 9, 14])):
+            words[at] = f"w{r.randint(0, 3)}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_components(docs).collect())
+    assert got == sorted(brute_components(rows))
+    assert 1 < len({c for _, _, c in got}) < 160
+
+
+def test_leading_shingles_share_enough():
+    """Any linked pair has as many common leading shingles as the smaller bound says."""
+    r = np.random.default_rng(9)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for _ in range(300):
+        n = int(r.integers(1, 300))
+        pool = r.integers(0, 2**63, 2 * n).astype(np.uint64)
+        a = np.unique(pool[:n])
+        b = np.unique(np.concatenate([a[r.random(len(a)) > 0.12], pool[n : n + n // 12]]))
+        common = len(np.intersect1d(a, b))
+        if 100 * common < 75 * (len(a) + len(b) - common) or not len(b):
+            continue
+        shared = len(np.intersect1d(leading(a, *none, 75)[0], leading(b, *none, 75)[0]))
+        sizes = np.array([len(a), len(b)])
+        assert shared >= common_needed(sizes, 75).min() >= least_buckets(sizes, 75).max()
+
+
 def test_jaccard_of_copies_in_several_tasks(spark):
     """Near copies whose exact copies lie in other partitions, all quoted by one long document."""
     first = [prose(900 + k, 90).split() for k in range(24)]
@@ -184,6 +247,20 @@ def test_hilbert_visits_neighbours():
     assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
 
 
+def test_ids_of_any_text():
+    """Word by word the ids are those that the library gives the whole text."""
+    from tokenizers import Tokenizer
+
+    whole, own = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path())
+    r = random.Random(4)
+    letters = list("abcXYZ  \n\t\r.,'s3<|>") + list("éÉßẞſİıŋʼnΣςσ́̊日Ͻ😀\xa0\x0b\x85ﬁÅ")
+    letters += ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|EndOfText|>", "e\u0301", "don't", "A\u030a"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(1, 16))) for _ in range(6000)]
+    texts += ["<|ENDOFTEXT|>", "a <|ENDOFTEXT|> b", "<|EndOfText|>x", "<|STARTOFTEXT|>", "FẞϽ1c ŋF.Y̊", "ΑΣ ΑΣ.", "x<|endoftext|>Y"]
+    for text in texts:
+        assert np.frombuffer(own.encode(text), own.type).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -209,5 +286,9 @@ def test_packing(spark):
     assert (order.offset == order.groupby("sequence_id").length.cumsum() - order.length).all()
     assert (filled.n[filled.n < 256].map(lambda n: n & (n - 1)) == 0).all() and (filled.n <= 256).all()
     assert pack(empty(spark), tokenizer_path()).count() == 0
+    short = pack(docs, tokenizer_path(), length=256, token_ids=False)
+    assert "token_ids" not in short.columns
+    narrow = pieces.drop(columns="token_ids").astype("float").fillna(-1)
+    assert sorted(map(tuple, narrow.values.tolist())) == sorted(map(tuple, short.toPandas().astype("float").fillna(-1).values.tolist()))
     with pytest.raises(ValueError):
         pack(docs, tokenizer_path(), length=100)

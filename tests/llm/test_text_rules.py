@@ -36,6 +36,15 @@ def test_statistics(spark):
     assert with_statistics(empty(spark)).count() == 0
 
 
+def test_statistics_under_a_filter(spark):
+    """Filters run after the statistics; columns of the same names are replaced, others kept."""
+    docs = documents(spark).selectExpr("*", "doc_id AS __cut0", "'x' AS n_words")
+    got = with_statistics(docs).where("n_repeat_words > 100 AND n_dup_lines >= 0").where("n_words < 40000")
+    expected = [r for r in docs.collect() if brute_statistics(r.text)[4] > 100]
+    assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(r.doc_id) for r in expected)
+    assert [c for c in got.columns if c == "n_words"] == ["n_words"] and "__cut0" in got.columns
+
+
 def test_decision_list_finds_planted_rule(spark):
     r = random.Random(1)
     rows = [(k, r.random(), r.random()) for k in range(3000)]
@@ -64,7 +73,9 @@ def test_quality_filter_keeps_columns(spark):
     ids = {r.doc_id for r in kept.collect()}
     assert set(range(12)) <= ids and not {23, 24, 25, 26, 32} & ids
     failed = with_statistics(docs).where(base_failed()).select("doc_id").collect()
-    assert {r.doc_id for r in failed} == {23, 24, 25, 26, 27, 32}
+    counted = {r.doc_id: brute_statistics(r.text) for r in docs.collect() if r.doc_id != 28}
+    assert {r.doc_id for r in failed} == {i for i, (n, *_, again) in counted.items() if n < 50 or 100 * again > 50 * n}
+    assert {r.doc_id for r in failed} == {23, 24, 25, 26, 27, 31, 32, 33}
     assert keep_good(empty(spark), labels).count() == 0
 
 
