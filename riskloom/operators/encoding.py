@@ -13,8 +13,6 @@ from ..functions.numeric import ratio
 from .levels import as_level, levels_by_variable
 
 SEPARATOR = "&"
-# One column per level: a table wider than this cannot be encoded and is refused.
-MAX_LEVELS = 20_000
 
 
 @dataclass(frozen=True)
@@ -34,9 +32,8 @@ def risk_levels(df: DataFrame, variables: Sequence[str], target: str) -> dict[st
     rated = levels_by_variable(df, list(variables), target).select(
         "variable", "level", ratio(F.col("nb_defaut"), F.col("n_cible")).alias("taux")
     )
-    rows = rated.limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels in {list(variables)}; bin them first")
+    # the names become columns; `sparse.level_order` keeps an order of any length as a DataFrame
+    rows = rated.collect()
     order: dict[str, list[str]] = {v: [] for v in variables}
     for row in sorted(rows, key=lambda r: (r["taux"] is None, r["taux"], r["level"])):
         order[row["variable"]].append(row["level"])
@@ -81,9 +78,9 @@ def get_test_dummies(
         raise ValueError("on_mismatch must be 'error' or 'zero'")
     require(df, *categ, *keep)
     if on_mismatch == "error":
-        wrong = level_mismatches(df, categ).limit(20).collect()
+        wrong = level_mismatches(df, categ).collect()  # no more than levels
         if wrong:
-            raise ValueError(f"levels differ from training: {[tuple(r) for r in wrong]}")
+            raise ValueError(f"{len(wrong)} levels differ from training, among them {sorted(tuple(r) for r in wrong)[:20]}")
     return _encode(df, categ, keep)
 
 

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +13,8 @@ from ..functions.checks import column
 from ..functions.numeric import ratio
 from ..sources.shared import write_shared
 from .encoding import dummy_columns
-from .regression import COUNTS, METRICS, LogitFit, feature_patterns, fit_patterns, with_wald_errors
+from .newton import fit_candidates
+from .regression import METRICS, LogitFit, feature_patterns
 
 # Criteria where lower is better as is; the others are scores, negated to be minimised.
 MINIMISED = ("bic", "aic")
@@ -37,7 +36,7 @@ class Selection:
 class _Candidates:
     """Fits variable sets on one written table of distinct level combinations."""
 
-    def __init__(self, train, test, target, variables, parallelism):
+    def __init__(self, train, test, target, variables):
         self.features = {v: dummy_columns(train.columns, [v]) for v in variables}
         empty = [v for v, names in self.features.items() if not names]
         if empty:
@@ -49,32 +48,15 @@ class _Candidates:
         self.patterns = write_shared(feature_patterns(coded_train, coded_test, target, list(variables)))
         tests = self.patterns.agg(F.sum("test_1"), F.sum("test_0")).first()
         self.prevalence = (tests[0] or 0) / max(1, (tests[0] or 0) + (tests[1] or 0))
-        self.pool = ThreadPool(max(1, parallelism))
         self.spark = train.sparkSession
 
     def _code(self, variable):
         # flat, however many levels there are; 0 where no dummy is set
         return F.array_position(F.array(*[column(name).cast("int") for name in self.features[variable]]), 1)
 
-    def _design(self, variables: Sequence[str]) -> tuple[DataFrame, list[str]]:
-        grouped = self.patterns.groupBy(*[column(v) for v in variables]).agg(*[F.sum(c).alias(c) for c in COUNTS])
-        dummies = [
-            (column(v) == j).cast("double").alias(name)
-            for v in variables
-            for j, name in enumerate(self.features[v], start=1)
-        ]
-        names = [name for v in variables for name in self.features[v]]
-        return grouped.select(*dummies, *COUNTS), names
-
-    def fit(self, variables: Sequence[str]) -> LogitFit:
-        return fit_patterns(*self._design(variables), self.prevalence)
-
-    def finish(self, fit: LogitFit, variables: Sequence[str]) -> LogitFit:
-        return with_wald_errors(fit, self._design(variables)[0])
-
-    def fit_all(self, trials: Sequence[tuple[str, ...]]) -> list[LogitFit]:
-        """Independent fits, submitted together so the cluster runs them side by side."""
-        return self.pool.map(inheritable_thread_target(self.spark)(self.fit), trials)
+    def fit_all(self, trials: Sequence[tuple[str, ...]], wald: bool = False) -> list[LogitFit]:
+        """All fits of a step together: the jobs do not grow with the number of trials."""
+        return fit_candidates(self.patterns, self.features, trials, self.prevalence, wald)
 
 
 def _score(fit: LogitFit, criterion: str) -> float | None:
@@ -95,7 +77,6 @@ def stepwise_selection_categorical(
     threshold_in: float = 0.0005,
     threshold_out: float = 0.0,
     start_vars: Sequence[str] = (),
-    parallelism: int = 4,
     report: Callable[[str], None] | None = None,
 ) -> Selection:
     """Add the best variable, then (direction 'both', more than two selected) drop the worst,
@@ -113,7 +94,7 @@ def stepwise_selection_categorical(
     say = report or (lambda text: None)
     selected = list(start_vars)
     remaining = [v for v in cat_vars if v not in selected]
-    candidates = _Candidates(train, test, target, [*selected, *remaining], parallelism)
+    candidates = _Candidates(train, test, target, [*selected, *remaining])
     history: list[tuple] = []
     best_score: float | None = None
     best_vars: tuple[str, ...] = ()
@@ -136,51 +117,48 @@ def stepwise_selection_categorical(
         )
         say(f"{action} {variable}: {criterion} {score:.6g} with {selected}")
 
-    try:
-        while True:
-            added = dropped = None
-            if remaining:
-                found = best_of([(v, (*selected, v)) for v in remaining])
-                if found:
-                    score, _, variable, fit = found
-                    if best_score is None:
-                        better = True
-                    elif criterion in MINIMISED:
-                        better = score < best_score
-                    else:
-                        better = score - best_score < -threshold_in
-                    if better:
-                        selected.append(variable)
-                        remaining.remove(variable)
-                        record("add", variable, score, fit)
-                        added = variable
-                        if max_vars is not None and len(selected) >= max_vars:
-                            break
-            if direction == "both" and len(selected) > 2:
-                found = best_of([(v, tuple(s for s in selected if s != v)) for v in selected])
-                if found:
-                    score, _, variable, fit = found
-                    if best_score is None:  # nothing was accepted yet; no loss can be measured
-                        worse = criterion in MINIMISED
-                    elif criterion in MINIMISED:
-                        worse = score < best_score
-                    else:
-                        worse = score - best_score < threshold_out
-                    if worse:
-                        selected.remove(variable)
-                        remaining.append(variable)
-                        record("remove", variable, score, fit)
-                        dropped = variable
-            if added is None and dropped is None:
-                break
-            if added is not None and added == dropped:
-                break
-            if max_vars is not None and len(selected) >= max_vars:
-                break
-        # fitting the chosen set again would give the same model; it only lacks its errors
-        final = candidates.finish(best_fit, best_vars) if best_fit else None
-    finally:
-        candidates.pool.close()
+    while True:
+        added = dropped = None
+        if remaining:
+            found = best_of([(v, (*selected, v)) for v in remaining])
+            if found:
+                score, _, variable, fit = found
+                if best_score is None:
+                    better = True
+                elif criterion in MINIMISED:
+                    better = score < best_score
+                else:
+                    better = score - best_score < -threshold_in
+                if better:
+                    selected.append(variable)
+                    remaining.remove(variable)
+                    record("add", variable, score, fit)
+                    added = variable
+                    if max_vars is not None and len(selected) >= max_vars:
+                        break
+        if direction == "both" and len(selected) > 2:
+            found = best_of([(v, tuple(s for s in selected if s != v)) for v in selected])
+            if found:
+                score, _, variable, fit = found
+                if best_score is None:  # nothing was accepted yet; no loss can be measured
+                    worse = criterion in MINIMISED
+                elif criterion in MINIMISED:
+                    worse = score < best_score
+                else:
+                    worse = score - best_score < threshold_out
+                if worse:
+                    selected.remove(variable)
+                    remaining.append(variable)
+                    record("remove", variable, score, fit)
+                    dropped = variable
+        if added is None and dropped is None:
+            break
+        if added is not None and added == dropped:
+            break
+        if max_vars is not None and len(selected) >= max_vars:
+            break
+    # the chosen set again, now with its standard errors
+    final = candidates.fit_all([best_vars], wald=True)[0] if best_fit else None
     frame = candidates.spark.createDataFrame(history, HISTORY_SCHEMA)
     return Selection(frame, best_vars, final)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.functions.checks import column
-from riskloom.operators import encoding, folds, graph, levels, regression, scorecard, selection
+from riskloom.operators import encoding, folds, graph, levels, newton, regression, scorecard, selection, sparse
 
 from .base import LOANS, erfc_sql, loans, r, rounded, table
 
@@ -203,6 +203,134 @@ def step_evolution(spark, folder):
     return rounded(result, 4, "bic")
 
 
+# --- several variables: reweighted least squares as a recursive query ---------------------------
+
+_THREE = ["priorite", "statut", "client"]
+
+
+def _three(spark, folder):
+    """Orders with three two-level variables that all move the target; even keys train, odd ones test."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey",
+        (F.col("o_orderpriority") < "3").cast("int").cast("string").alias("priorite"),
+        (F.col("o_orderstatus") == "F").cast("int").cast("string").alias("statut"),
+        F.pmod("o_custkey", F.lit(2)).cast("string").alias("client"),
+    )
+    limit = 150 + 250 * F.col("priorite").cast("int") + 120 * F.col("statut").cast("int") + 80 * F.col("client").cast("int")
+    rows = orders.withColumn("y", (F.pmod(F.floor(F.col("o_orderkey") / 2) * 7919, F.lit(1000)) < limit).cast("int"))
+    even = F.pmod("o_orderkey", F.lit(2)) == 0
+    return rows.where(even).drop("o_orderkey"), rows.where(~even).drop("o_orderkey")
+
+
+_STEPS = 25
+#: Newton steps of all seven subsets side by side; `it` holds the coefficients after each step.
+_IRLS = f"""WITH RECURSIVE u AS (
+  SELECT o_orderkey, CAST(CAST(o_orderpriority < '3' AS INTEGER) AS VARCHAR) AS priorite, CAST(CAST(o_orderstatus = 'F' AS INTEGER) AS VARCHAR) AS statut,
+         CAST(o_custkey % 2 AS VARCHAR) AS client FROM orders),
+o AS (SELECT *, CAST((o_orderkey // 2 * 7919) % 1000 < 150 + 250 * CAST(priorite AS INTEGER) + 120 * CAST(statut AS INTEGER) + 80 * CAST(client AS INTEGER) AS INTEGER) AS y,
+             o_orderkey % 2 AS side FROM u),
+b1 AS (SELECT priorite AS base FROM o WHERE side = 0 GROUP BY 1 ORDER BY avg(y), 1 LIMIT 1),
+b2 AS (SELECT statut AS base FROM o WHERE side = 0 GROUP BY 1 ORDER BY avg(y), 1 LIMIT 1),
+b3 AS (SELECT client AS base FROM o WHERE side = 0 GROUP BY 1 ORDER BY avg(y), 1 LIMIT 1),
+pat AS (SELECT CAST(priorite <> (SELECT base FROM b1) AS DOUBLE) AS x1, CAST(statut <> (SELECT base FROM b2) AS DOUBLE) AS x2,
+               CAST(client <> (SELECT base FROM b3) AS DOUBLE) AS x3,
+               CAST(count(*) FILTER (side = 0 AND y = 0) AS DOUBLE) AS a0, CAST(count(*) FILTER (side = 0 AND y = 1) AS DOUBLE) AS a1,
+               CAST(count(*) FILTER (side = 1 AND y = 0) AS DOUBLE) AS s0, CAST(count(*) FILTER (side = 1 AND y = 1) AS DOUBLE) AS s1
+        FROM o GROUP BY ALL),
+m AS (SELECT CAST(m1 AS DOUBLE) AS m1, CAST(m2 AS DOUBLE) AS m2, CAST(m3 AS DOUBLE) AS m3
+      FROM (VALUES (1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, 1, 1)) AS v(m1, m2, m3)),
+it AS (
+  SELECT 0 AS k, m1, m2, m3, 0::DOUBLE AS c0, 0::DOUBLE AS c1, 0::DOUBLE AS c2, 0::DOUBLE AS c3,
+         0::DOUBLE AS v1, 0::DOUBLE AS v2, 0::DOUBLE AS v3 FROM m
+  UNION ALL
+  SELECT k + 1, m1, m2, m3, c0 + d0, c1 + d1, c2 + d2, c3 + d3, i11 * i11 + i21 * i21 + i31 * i31, i22 * i22 + i32 * i32, i33 * i33 FROM (
+    SELECT *, sqrt(h00) AS l00, h01 / l00 AS l10, h02 / l00 AS l20, h03 / l00 AS l30, sqrt(h11 - l10 * l10) AS l11, (h12 - l10 * l20) / l11 AS l21,
+      (h13 - l10 * l30) / l11 AS l31, sqrt(h22 - l20 * l20 - l21 * l21) AS l22, (h23 - l20 * l30 - l21 * l31) / l22 AS l32,
+      sqrt(h33 - l30 * l30 - l31 * l31 - l32 * l32) AS l33, g0 / l00 AS z0, (g1 - l10 * z0) / l11 AS z1, (g2 - l20 * z0 - l21 * z1) / l22 AS z2,
+      (g3 - l30 * z0 - l31 * z1 - l32 * z2) / l33 AS z3, z3 / l33 AS d3, (z2 - l32 * d3) / l22 AS d2, (z1 - l21 * d2 - l31 * d3) / l11 AS d1,
+      (z0 - l10 * d1 - l20 * d2 - l30 * d3) / l00 AS d0, 1 / l11 AS i11, 1 / l22 AS i22, 1 / l33 AS i33, -l21 * i11 / l22 AS i21, -l32 * i22 / l33 AS i32,
+      -(l31 * i11 + l32 * i21) / l33 AS i31
+    FROM (SELECT k, m1, m2, m3, c0, c1, c2, c3, sum(w) AS h00, sum(w * e1) AS h01, sum(w * e2) AS h02, sum(w * e3) AS h03,
+            sum(w * e1) + 1 - m1 AS h11, sum(w * e1 * e2) AS h12, sum(w * e1 * e3) AS h13, sum(w * e2) + 1 - m2 AS h22, sum(w * e2 * e3) AS h23,
+            sum(w * e3) + 1 - m3 AS h33, sum(q) AS g0, sum(q * e1) AS g1, sum(q * e2) AS g2, sum(q * e3) AS g3
+          FROM (SELECT it.*, x1 * m1 AS e1, x2 * m2 AS e2, x3 * m3 AS e3, 1 / (1 + exp(-(c0 + c1 * e1 + c2 * e2 + c3 * e3))) AS p,
+                       (a0 + a1) * p * (1 - p) AS w, a1 - (a0 + a1) * p AS q FROM it, pat WHERE k < {_STEPS})
+          GROUP BY k, m1, m2, m3, c0, c1, c2, c3))),
+fit AS (SELECT * FROM it WHERE k = {_STEPS}),
+sc AS (SELECT m1, m2, m3, 1 / (1 + exp(-(c0 + c1 * x1 * m1 + c2 * x2 * m2 + c3 * x3 * m3))) AS p, sum(a0) AS a0, sum(a1) AS a1, sum(s0) AS s0, sum(s1) AS s1
+       FROM fit, pat GROUP BY ALL),
+run AS (SELECT *, coalesce(sum(s0) OVER (PARTITION BY m1, m2, m3 ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0_before FROM sc),
+sets AS (SELECT m1, m2, m3, m1 + m2 + m3 AS size, -2 * sum(a1 * ln(p + 1e-15::DOUBLE) + a0 * ln(1 - p + 1e-15::DOUBLE)) + (1 + m1 + m2 + m3) * ln(sum(a0) + sum(a1)) AS bic,
+                2 * sum(s1 * (s0_before + s0 / 2)) / (sum(s0) * sum(s1)) - 1 AS gini FROM run GROUP BY m1, m2, m3),
+named AS (SELECT *, list_filter([CASE WHEN m1 = 1 THEN 'priorite' END, CASE WHEN m2 = 1 THEN 'statut' END, CASE WHEN m3 = 1 THEN 'client' END], lambda x: x IS NOT NULL) AS vars FROM sets)"""
+
+
+def _path_sql(score: str, gain: str, loss: str) -> str:
+    """Forward steps while the score falls by `gain`, and after the third one the removal that keeps it."""
+    return f"""{_IRLS},
+s AS (SELECT *, {score} AS score FROM named),
+f1 AS (SELECT vars, score, vars[1] AS v FROM s WHERE size = 1 ORDER BY score LIMIT 1),
+f2 AS (SELECT s.vars, s.score, list_filter(s.vars, lambda x: x <> f1.v)[1] AS v FROM s, f1 WHERE size = 2 AND list_contains(s.vars, f1.v) ORDER BY s.score LIMIT 1),
+o2 AS (SELECT f2.* FROM f1, f2 WHERE f2.score < f1.score - {gain}),
+o3 AS (SELECT s.vars, s.score, list_filter(s.vars, lambda x: NOT list_contains(o2.vars, x))[1] AS v FROM s, o2 WHERE size = 3 AND s.score < o2.score - {gain}),
+r4 AS (SELECT s.vars, s.score, list_filter(o3.vars, lambda x: NOT list_contains(s.vars, x))[1] AS v FROM s, o3 WHERE size = 2 ORDER BY s.score LIMIT 1),
+o4 AS (SELECT r4.* FROM r4, o3 WHERE r4.score < o3.score + {loss}),
+h AS (SELECT 1 AS step, 'add' AS action, v, score, size_ FROM (SELECT *, 1 AS size_ FROM f1) UNION ALL SELECT 2, 'add', v, score, 2 FROM o2
+      UNION ALL SELECT 3, 'add', v, score, 3 FROM o3 UNION ALL SELECT 4, 'remove', v, score, 2 FROM o4)
+SELECT CAST(step AS INTEGER) AS step, action, v AS variable, CAST(size_ AS INTEGER) AS n_vars, {r('score', 4)} AS best_score FROM h"""
+
+
+def _path(spark, folder, **options):
+    train, test = _three(spark, folder)
+    learned = encoding.get_dummies(train, "y", _THREE)
+    encoded = encoding.get_test_dummies(test, learned.categ, keep=["y"])
+    history = selection.stepwise_selection_categorical(learned.frame, encoded, "y", _THREE, **options).history
+    return history
+
+
+@query(_path_sql("bic", "0", "0"))
+def stepwise_by_bic(spark, folder):
+    """Several additions and the removal test, thresholds as they are."""
+    history = _path(spark, folder)
+    return rounded(history.select("step", "action", "variable", F.size("selected_vars").alias("n_vars"), "best_score"), 4, "best_score")
+
+
+@query(_path_sql("-gini", "0.0005", "0"))
+def stepwise_three_by_gini(spark, folder):
+    history = _path(spark, folder, criterion="gini")
+    return rounded(history.select("step", "action", "variable", F.size("selected_vars").alias("n_vars"), "best_score"), 4, "best_score")
+
+
+@query(f"""{_IRLS}, one AS (SELECT * FROM fit WHERE m1 + m2 + m3 = 3),
+c AS (SELECT 'priorite' AS variable, CASE (SELECT base FROM b1) WHEN '0' THEN '1' ELSE '0' END AS level, c1 AS coef, sqrt(v1) AS se FROM one UNION ALL
+      SELECT 'statut', CASE (SELECT base FROM b2) WHEN '0' THEN '1' ELSE '0' END, c2, sqrt(v2) FROM one UNION ALL
+      SELECT 'client', CASE (SELECT base FROM b3) WHEN '0' THEN '1' ELSE '0' END, c3, sqrt(v3) FROM one)
+SELECT variable, level, {r('coef', 6)} AS coef, {r('se', 6)} AS std_error, {r('coef / se', 3)} AS wald_z FROM c""")
+def logit_three_variables(spark, folder):
+    """Coefficients and Wald errors of three variables, from raw level columns."""
+    fit = newton.fit_by_levels(*_three(spark, folder), "y", _THREE)
+    return rounded(rounded(fit.coefficient_table(spark).drop("pvalue"), 6, "coef", "std_error"), 3, "wald_z")
+
+
+@query(f"""WITH {LOANS}, k AS (SELECT l_orderkey, y, CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS cle, ligne FROM loans),
+long AS (SELECT l_orderkey, y, 'cle' AS variable, cle AS level FROM k UNION ALL SELECT l_orderkey, y, 'ligne', coalesce(CAST(ligne AS VARCHAR), 'MISSING') FROM k),
+{_ranks('true')},
+named AS (SELECT variable, level, CAST(rang AS INTEGER) AS code, row_number() OVER (ORDER BY variable, rang) AS colonne FROM rk WHERE rang > 0)
+SELECT named.variable || '&' || named.level AS nom, colonne, code, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS somme_cle
+FROM named JOIN long USING (variable, level) GROUP BY ALL""")
+def sparse_encoding(spark, folder):
+    """Every row of lineitem a level of its own, beside a small variable: codes and active columns."""
+    df = loans(spark, folder).select(
+        "l_orderkey", "y", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("cle"), "ligne"
+    )
+    order = sparse.level_order(df, ["cle", "ligne"], "y")
+    encoded = sparse.encode_levels(df, order, ["cle", "ligne"], keep=["l_orderkey"], on_mismatch="zero")
+    active = encoded.select("l_orderkey", F.explode("colonnes").alias("colonne"))
+    counted = active.groupBy("colonne").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("somme_cle"))
+    names = sparse.column_names(order).join(order.select("colonne", "code"), "colonne")
+    return counted.join(names, "colonne").select("nom", "colonne", "code", "n", "somme_cle")
+
+
 # --- scorecard --------------------------------------------------------------------------------
 
 
