@@ -334,7 +334,7 @@ def bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        known = np.zeros(0, "i8,i8")  # pairs that this task gave before
+        known: set[tuple[int, int]] = set()  # pairs that this task gave before
 
         def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             key = rows.column("bucket").to_numpy()
@@ -353,14 +353,15 @@ def bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
                 i, j = order[i], order[j]
                 fits = overlap_bounds([vectors[k] for k in i], [vectors[k] for k in j]) >= needed_overlap(n[i], n[j], percent)
                 out.append((s[i[fits]], s[j[fits]]))
-            nonlocal known
-            i, j = (np.concatenate([np.zeros(0, np.int64), *side]) for side in ([x for x, _ in out], [y for _, y in out]))
-            pairs = np.zeros(len(i), known.dtype)
-            pairs["f0"], pairs["f1"] = np.minimum(i, j), np.maximum(i, j)
-            pairs = np.setdiff1d(pairs, known)
-            known = np.concatenate([known if len(known) < PAIRS_KEPT else known[:0], pairs])
-            if len(pairs):
-                columns = [pa.array(np.ascontiguousarray(pairs[c])) for c in ("f0", "f1")]
+            pairs: set[tuple[int, int]] = set()
+            for i, j in out:
+                pairs.update(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist()))
+            pairs -= known
+            if len(known) > PAIRS_KEPT:
+                known.clear()
+            known.update(pairs)
+            if pairs:
+                columns = [pa.array(side, pa.int64()) for side in zip(*pairs)]
                 yield pa.RecordBatch.from_arrays(columns, names=["s", "t"])
 
         for batch in batches:
