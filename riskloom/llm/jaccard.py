@@ -73,20 +73,12 @@ def group_counts(shingles: np.ndarray) -> bytes:
         groups *= 2
 
 
-def coarse_point(vector: bytes) -> bytes:
-    """The same point in a quarter of its groups, at least GROUPS: what the buckets carry."""
-    groups = max(GROUPS, len(vector) // 4)
-    while groups < len(vector):
-        counts = folded([vector], groups)[0]
-        if counts.max() < 256:
-            return counts.astype(np.uint8).tobytes()
-        groups *= 2
-    return vector
-
-
 def folded(vectors: list[bytes], groups: int) -> np.ndarray:
     """The points with `groups` coordinates each; finer groups add up to coarser ones."""
-    out, sizes = np.zeros((len(vectors), groups), np.int32), np.array([len(v) for v in vectors], np.int64)
+    sizes = np.array([len(v) for v in vectors], np.int64)
+    if (sizes == groups).all():
+        return np.frombuffer(b"".join(vectors), np.uint8).reshape(len(vectors), groups)
+    out = np.zeros((len(vectors), groups), np.int32)
     for g in np.unique(sizes):
         at = np.flatnonzero(sizes == g)
         cells = np.frombuffer(b"".join([vectors[k] for k in at]), np.uint8)
@@ -103,7 +95,7 @@ def overlap_bounds(a: list[bytes], b: list[bytes]) -> np.ndarray:
         step = max(1, (1 << 22) // int(g))
         for k in range(0, len(every), step):
             at = every[k : k + step]
-            out[at] = np.minimum(folded([a[i] for i in at], int(g)), folded([b[i] for i in at], int(g))).sum(axis=1)
+            out[at] = np.minimum(folded([a[i] for i in at], int(g)), folded([b[i] for i in at], int(g))).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -138,16 +130,15 @@ def document_nodes(docs: DataFrame) -> DataFrame:
                     pa.array(nodes, pa.binary()),
                     pa.array([_half(d) for d in nodes], pa.int64()),
                     pa.array(vectors, pa.binary()),
-                    pa.array([coarse_point(v) for v in vectors], pa.binary()),
                     pa.array([every[often].view(np.int64), *rest], pa.list_(pa.int64())),
                     pa.array([counts[often], *rest], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "key", "n", "node", "s", "vector", "point", "often", "times"],
+                names=["doc_id", "key", "n", "node", "s", "vector", "often", "times"],
             )
 
     return docs.mapInArrow(
         describe,
-        "doc_id long, key long, n long, node binary, s long, vector binary, point binary, often array<long>, times array<long>",
+        "doc_id long, key long, n long, node binary, s long, vector binary, often array<long>, times array<long>",
     )
 
 
@@ -434,7 +425,7 @@ def component_rows(docs: DataFrame, percent: int = PERCENT, id_column: str = "do
         F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.xxhash64(text_column).alias("key"), text_column.alias("__text")
     )
     described = settled(document_nodes(source))
-    nodes = settled(described.where("n > 0").groupBy("node", "s", "n", "vector", "point").agg(F.min("key").alias("key")))
+    nodes = settled(described.where("n > 0").groupBy("node", "s", "n", "vector").agg(F.min("key").alias("key")))
     met = buckets(source, frequent_shingles(described), percent)
     first = settled(verified(source, possible(closest_leaders(met), nodes, percent), nodes, percent))
     tied = connected_components(first)
@@ -478,10 +469,9 @@ def component_rows(docs: DataFrame, percent: int = PERCENT, id_column: str = "do
             (F.col("own") > F.col("other")).cast("int").alias("side"),
         )
     )
-    points = nodes.select("s", "n", F.col("point").alias("vector"))
+    points = nodes.select("s", "n", "vector")
     members = placed.join(known, "s").join(points, "s").repartition("bucket").sortWithinPartitions("bucket")
-    met_in_tree = settled(bucket_pairs(members, percent))
-    more = settled(possible(met_in_tree, nodes, percent))
+    more = settled(bucket_pairs(members, percent))
     second = settled(verified(source, more, nodes, percent))
     final = connected_components(first.unionAll(second))
     return described.join(final, "node", "left").select(
