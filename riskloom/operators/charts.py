@@ -17,6 +17,8 @@ HISTOGRAM_BINS = 50
 CURVE_POINTS = 1000
 # exp(-z²/2) is zero in double precision beyond this many bandwidths
 KERNEL_REACH = 38.7
+CELL = 0.5  # of a bandwidth
+TERMS = 25  # an odd number, so that the last power is even and no truncated kernel is negative
 
 
 def _winsorised(histogram: DataFrame, limits: tuple[float, float]) -> tuple[DataFrame, float | None, float | None]:
@@ -64,32 +66,55 @@ def density_curve(
     """(point_id, x, densite): Gaussian kernel density of the winsorised column, Scott bandwidth,
     on a grid half a range wider on each side.
 
-    Each distinct value meets the grid points where its kernel is not zero in double precision;
-    the sums per grid point combine on the map side.
+    Values are summed up as moments of cells half a bandwidth wide, and only cells meet grid points:
+    with d the offset in its cell and t the distance of a point from the cell's centre, both in
+    bandwidths, exp(-(t - d)²/2) = exp(-t²/2) Σ tʲ · exp(-d²/2) dʲ/j!. What is left out after the
+    terms kept is below exp(-t²/2 + |td|) |td|ᵖ/p!, with |d| at most 1/4 and 25 terms below 1e-27 of
+    a kernel's peak. The cells that hold values grow with the fifth root of the rows.
+
+    A constant column gets a range of one around its value and the grid's step as bandwidth; a
+    column without values has no rows.
     """
     spark = df.sparkSession
     values, low, high = _winsorised(value_histogram(df, variable), limits)
     v, n = F.col("v"), F.col("n")
+    if low is None:
+        return spark.createDataFrame([], "point_id long, x double, densite double")
     mean = values.agg(ratio(F.sum(v * n), F.sum(n))).scalar()
     size, squares = values.agg(F.sum(n), F.sum(n * (v - mean) * (v - mean))).first()
-    if not size or size < 2 or low == high:
-        return spark.createDataFrame([], "point_id long, x double, densite double")
-    bandwidth = math.sqrt(squares / (size - 1)) * size ** (-1 / 5)
+    constant = low == high
+    if constant:
+        low, high = low - 0.5, high + 0.5
     start, step = low - 0.5 * (high - low), 2 * (high - low) / (points - 1)
-    reach = KERNEL_REACH * bandwidth
+    bandwidth = step if constant else math.sqrt(squares / (size - 1)) * size ** (-1 / 5)
+
+    cell = F.floor((v - F.lit(low)) / F.lit(CELL * bandwidth))
+    offset = (v - F.lit(low)) / F.lit(bandwidth) - (F.col("cell") + 0.5) * F.lit(CELL)
+    weight = n * F.exp(-0.5 * F.col("d") * F.col("d"))
+    moments = [
+        (F.sum(F.col("weight") * F.pow("d", F.lit(j))) / F.lit(float(math.factorial(j)))).alias(f"m{j}") for j in range(TERMS)
+    ]
+    cells = (
+        values.withColumn("cell", cell).withColumn("d", offset).withColumn("weight", weight).groupBy("cell").agg(*moments)
+    )
+
+    centre = F.lit(low) + (F.col("cell") + 0.5) * F.lit(CELL * bandwidth)
+    reach = (KERNEL_REACH + CELL / 2) * bandwidth
 
     def place(x, rounded):
         return F.least(F.greatest(rounded((x - F.lit(start)) / F.lit(step)), F.lit(-1)), F.lit(points)).cast("int")
 
-    first = F.greatest(place(v - F.lit(reach), F.ceil), F.lit(0))
-    last = F.least(place(v + F.lit(reach), F.floor), F.lit(points - 1))
-    near = values.select("v", "n", first.alias("a"), last.alias("b")).where("a <= b")
-    z = (F.lit(start) + F.col("point_id") * F.lit(step) - v) / F.lit(bandwidth)
-    parts = (
-        near.select("v", "n", F.explode(F.sequence("a", "b")).alias("point_id"))
-        .groupBy(F.col("point_id").cast("long").alias("point_id"))
-        .agg(F.sum(n * F.exp(-0.5 * z * z)).alias("part"))
+    first = F.greatest(place(centre - F.lit(reach), F.ceil), F.lit(0))
+    last = F.least(place(centre + F.lit(reach), F.floor), F.lit(points - 1))
+    near = cells.withColumns({"centre": centre, "a": first, "b": last}).where("a <= b")
+    met = near.withColumn("point_id", F.explode(F.sequence("a", "b"))).withColumn(
+        "t", (F.lit(start) + F.col("point_id") * F.lit(step) - F.col("centre")) / F.lit(bandwidth)
     )
+    t = F.col("t")
+    series = F.col(f"m{TERMS - 1}")
+    for j in reversed(range(TERMS - 1)):
+        series = series * t + F.col(f"m{j}")
+    parts = met.groupBy(F.col("point_id").cast("long").alias("point_id")).agg(F.sum(series * F.exp(-0.5 * t * t)).alias("part"))
     scale = size * bandwidth * math.sqrt(2 * math.pi)
     grid = spark.range(points).withColumnRenamed("id", "point_id").join(parts, "point_id", "left")
     return grid.select(

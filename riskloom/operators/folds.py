@@ -11,14 +11,14 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.checks import binary, column, require
 from ..sources.shared import write_shared
+from .ordering import running_totals
 
-# Hash slices of the shuffled order; each is an independent window, whatever the class balance.
-FOLD_SLICES = 4096
+# Rows of a contiguous range of the shuffled order; each range is one task's window.
+ROWS_A_SLICE = 250_000
 
 # Ranges of the search (kind, low, high).
 SEARCH_SPACE = {
@@ -34,35 +34,27 @@ SEARCH_SPACE["minInfoGain"] = ("log", 1e-6, 1e-2)
 
 
 def stratified_folds(
-    df: DataFrame, target: str, id_columns: Sequence[str], k: int = 3, seed: int = 42, slices: int = FOLD_SLICES
+    df: DataFrame, target: str, id_columns: Sequence[str], k: int = 3, seed: int = 42, slices: int | None = None
 ) -> DataFrame:
-    """Add `fold` (0..k-1): rows of each class are dealt in a seeded hash order, so class counts
-    differ by at most one between folds.
+    """Add `fold` (0..k-1): rows of each class are dealt in a seeded order, so class counts differ by
+    at most one between folds.
 
-    The order is cut into hash slices; a row's place is the size of its class in earlier slices
-    plus its place in its own slice, so no window holds a whole class. `id_columns` must
-    identify a row.
+    The order is the MD5 of the seed and the ids as text, joined by `|` (a missing id is empty), then
+    the ids; rows without target are a class of their own. `id_columns` must identify a row. The
+    order is cut into `slices` contiguous ranges, by default as many as the counted rows need, and a
+    row's place is its global place less the sizes of the classes before its own.
     """
     require(df, target, *id_columns)
     keys = [column(c) for c in id_columns]
-    dealt = df.withColumns(
-        {
-            "_y": F.coalesce(binary(df, target), F.lit(-1)),
-            "_h": F.xxhash64(F.lit(seed), *keys),
-        }
-    ).withColumn("_slice", F.pmod(F.col("_h"), F.lit(slices)).cast("int"))
-    earlier = W.partitionBy("_y").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        dealt.groupBy("_y", "_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_y", "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    )
-    place = F.row_number().over(W.partitionBy("_slice", "_y").orderBy("_h", *keys))
-    return (
-        dealt.join(offsets, ["_y", "_slice"])
-        .withColumn("fold", F.pmod(F.col("_base") + place - 1, F.lit(k)).cast("int"))
-        .drop("_y", "_h", "_slice", "_base")
-    )
+    y = F.coalesce(binary(df, target), F.lit(-1))
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in keys])
+    dealt = df.withColumns({"_y": y, "_h": F.md5(text), "_one": F.lit(1)})
+    unknown, zeros, ones = dealt.agg(*[F.count(F.when(F.col("_y") == c, 1)) for c in (-1, 0, 1)]).first()
+    ranges = slices or max(1, -(-(unknown + zeros + ones) // ROWS_A_SLICE))
+    placed = running_totals(dealt, [F.col("_y"), F.col("_h"), *keys], ["_one"], ranges=ranges)
+    start = F.when(F.col("_y") == 1, unknown + zeros).when(F.col("_y") == 0, unknown).otherwise(0)
+    fold = F.pmod(F.col("_one_before") - start, F.lit(k)).cast("int")
+    return placed.withColumn("fold", fold).select(*[column(c) for c in df.columns], "fold")
 
 
 def draw_settings(

@@ -12,7 +12,7 @@ from ..sources.shared import write_shared
 
 
 def running_totals(
-    table: DataFrame, order: Sequence[Column], sums: Sequence[str], totals: bool = False
+    table: DataFrame, order: Sequence[Column], sums: Sequence[str], totals: bool = False, ranges: int | None = None
 ) -> DataFrame:
     """Add `<s>_before`, the sum of `s` over all earlier rows, and with `totals` also `<s>_all`,
     the sum over all rows.
@@ -21,9 +21,11 @@ def running_totals(
     It is cut into contiguous ranges of the order at every size; the range number is stored with
     the rows, so the per-range offsets and the per-range windows always see the same cut. Ranges
     are dealt to tasks by their number, one to a task, and the window inside a range needs no
-    further shuffle. The only unpartitioned window runs over one row per range.
+    further shuffle. The only unpartitioned window runs over one row per range. `ranges` sets their
+    number, else it is the session's number of shuffle partitions.
     """
-    sliced = write_shared(table.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()))
+    cut = table.repartitionByRange(ranges, *order) if ranges else table.repartitionByRange(*order)
+    sliced = write_shared(cut.withColumn("_slice", F.spark_partition_id()))
     earlier = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     offsets = (

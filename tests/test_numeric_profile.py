@@ -241,6 +241,27 @@ def test_density_curve(table, frame):
     assert [r["densite"] for r in got] == pytest.approx(list(density), rel=1e-9)
 
 
+def test_density_curve_is_exact_far_from_the_values(spark):
+    # two groups many bandwidths apart, with repeated values
+    x = np.concatenate([np.linspace(0, 1, 300), np.full(150, 40.0), np.linspace(40, 41, 50)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    got = rows(charts.density_curve(df, "x", limits=(0.0, 1.0), points=200), "point_id")
+    h = x.std(ddof=1) * len(x) ** -0.2
+    grid = np.linspace(-20.5, 61.5, 200)
+    density = np.exp(-0.5 * ((grid[:, None] - x) / h) ** 2).sum(1) / (len(x) * h * math.sqrt(2 * math.pi))
+    assert [r["densite"] for r in got] == pytest.approx(list(density), rel=1e-9, abs=1e-15)
+    assert min(r["densite"] for r in got) >= 0
+
+
+def test_density_curve_of_a_constant_and_of_nothing(spark):
+    got = rows(charts.density_curve(spark.createDataFrame([(3.0,)] * 4 + [(None,)], "x double"), "x"), "point_id")
+    assert (got[0]["x"], got[-1]["x"]) == (pytest.approx(2.0), pytest.approx(4.0))
+    assert sum(r["densite"] for r in got) * 2 / 999 == pytest.approx(1)
+    assert max(got, key=lambda r: r["densite"])["x"] == pytest.approx(3.0, abs=2 / 999)
+    empty = charts.density_curve(spark.createDataFrame([(None,)], "x double"), "x")
+    assert empty.columns == ["point_id", "x", "densite"] and empty.count() == 0
+
+
 def test_box_statistics(table, frame):
     got = rows(charts.box_statistics(table, "x", "y"), "classe")
     for c, r in enumerate(got):

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import numpy as np
@@ -92,6 +93,23 @@ def test_folds_are_balanced_and_repeatable(spark, slices):
     assert {r.id: r.fold for r in other.collect()} != first
 
 
+def test_fold_of_each_row_follows_the_stated_order(spark):
+    data = [(a, b, None if a % 7 == 0 else a % 2) for a in range(60) for b in ("x", None)]
+    df = spark.createDataFrame(data, "a long, b string, y int")
+    for slices in (None, 9):
+        got = {(r.a, r.b): r.fold for r in folds.stratified_folds(df, "y", ["a", "b"], k=4, seed=5, slices=slices).collect()}
+        for y in (None, 0, 1):
+            mine = [(a, b) for a, b, c in data if c is y]
+            mine.sort(key=lambda r: hashlib.md5(f"5|{r[0]}|{r[1] or ''}".encode()).hexdigest())
+            assert [got[r] for r in mine] == [k % 4 for k in range(len(mine))]
+
+
+def test_folds_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "id long, y int")
+    dealt = folds.stratified_folds(empty, "y", ["id"])
+    assert dealt.columns == ["id", "y", "fold"] and dealt.count() == 0
+
+
 def test_search_settings_stay_in_their_ranges():
     drawn = folds.draw_settings(200, seed=1)
     assert drawn == folds.draw_settings(200, seed=1) != folds.draw_settings(200, seed=2)

@@ -386,6 +386,15 @@ def fold_balance(spark, folder):
     return dealt.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("effectif"))
 
 
+@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderpriority < '5' THEN CAST(o_orderstatus = 'F' AS INTEGER) END AS y FROM orders)
+SELECT o_orderkey, y, CAST((row_number() OVER (PARTITION BY y ORDER BY md5('42|' || o_orderkey), o_orderkey) - 1) % 5 AS INTEGER) AS fold FROM o""")
+def fold_of_each_row(spark, folder):
+    """Five folds row by row; orders of the last priority have no target."""
+    known = F.when(F.col("o_orderpriority") < "5", (F.col("o_orderstatus") == "F").cast("int"))
+    orders = table(spark, folder, "orders").select("o_orderkey", known.alias("y"))
+    return folds.stratified_folds(orders, "y", ["o_orderkey"], k=5)
+
+
 @query(f"""WITH o AS (SELECT o_orderkey % 3 AS fold, o_orderpriority < '3' AS x, o_orderpriority < '3' OR o_orderkey % 5 = 0 AS y FROM orders),
 f AS (SELECT fold, CAST(count(*) FILTER (x AND y) AS DOUBLE) / count(*) FILTER (y) AS tpr,
              CAST(count(*) FILTER (x AND NOT y) AS DOUBLE) / count(*) FILTER (NOT y) AS fpr FROM o GROUP BY fold)
