@@ -14,6 +14,7 @@ from .ordering import running_totals
 from .ranks import QUARTILES, histogram_quantiles, value_histogram
 
 HISTOGRAM_BINS = 50
+BLOCK_WIDTH = 1024
 CURVE_POINTS = 1000
 # exp(-z²/2) is zero in double precision beyond this many bandwidths
 KERNEL_REACH = 38.7
@@ -160,7 +161,10 @@ def level_bars(levels: DataFrame, variable: str) -> DataFrame:
 
 
 def rate_by_month(monthly: DataFrame, month: str, variable: str, levels: list | None = None) -> DataFrame:
-    """One row per month, one column per level; months or levels without any rate vanish."""
+    """One row per month, one column per level; months or levels without any rate vanish.
+
+    Levels become columns, so this is for a level list that is short; `rate_blocks` takes any.
+    """
     rated = monthly.where(column("taux_defaut_%").isNotNull())
     grouped = rated.groupBy(column(month))
     pivoted = grouped.pivot(variable, levels) if levels else grouped.pivot(variable)
@@ -168,13 +172,44 @@ def rate_by_month(monthly: DataFrame, month: str, variable: str, levels: list |
 
 
 def heat_map(monthly: DataFrame, month: str, variable: str, months: list | None = None) -> DataFrame:
-    """One row per level, one column per month."""
+    """One row per level, one column per month; `rate_blocks` takes any number of months."""
     rated = monthly.where(column("taux_defaut_%").isNotNull())
     grouped = rated.groupBy(column(variable))
     pivoted = grouped.pivot(month, months) if months else grouped.pivot(month)
     return pivoted.agg(F.first(column("taux_defaut_%")))
 
 
+def rate_blocks(monthly: DataFrame, down: str, across: str, width: int = BLOCK_WIDTH) -> tuple[DataFrame, DataFrame]:
+    """The wide table of rates for any number of columns, cut into blocks of `width` columns.
+
+    Returns the dictionary (block, place, `across`) of the columns in their order, and one row per
+    value of `down` and block that holds a rate, (`down`, block, cells): `cells` is an array as long
+    as the block has columns, NULL where there is no rate. No cell grows with the number of columns, and no
+    column name reaches the driver. Pairs without a rate leave as in `rate_by_month`; without any
+    rate both tables are empty.
+    """
+    if width < 1:
+        raise ValueError("a block needs at least one column")
+    d, a = column(down), column(across)
+    rated = monthly.where(d.isNotNull() & a.isNotNull() & column("taux_defaut_%").isNotNull())
+    cells = write_shared(rated.select(d.alias("_d"), a.alias("_a"), column("taux_defaut_%").alias("_t")))
+    names = write_shared(cells.select("_a").distinct().withColumn("one", F.lit(1).cast("long")))
+    placed = running_totals(names, [F.col("_a").asc()], ["one"]).select(
+        "_a",
+        F.floor(F.col("one_before") / width).alias("block"),
+        (F.col("one_before") % width).cast("int").alias("place"),
+    )
+    dictionary = write_shared(placed)
+    sizes = F.max("place") + 1
+    longest = dictionary.groupBy("block").agg(sizes.alias("_columns"))
+    held = cells.join(dictionary, "_a").groupBy("_d", "block").agg(
+        F.map_from_entries(F.collect_list(F.struct("place", "_t"))).alias("_rates")
+    )
+    listed = F.transform(F.sequence(F.lit(0), F.col("_columns") - 1), lambda i: F.try_element_at("_rates", i))
+    blocks = held.join(longest, "block").select(F.col("_d").alias(down), "block", listed.alias("cells"))
+    return dictionary.select("block", "place", F.col("_a").alias(across)), blocks
+
+
 def heat_map_cells(monthly: DataFrame, month: str, variable: str) -> DataFrame:
     """Long heat map with the light/dark choice: text is white above the mean of all cells."""
     rate = column("taux_defaut_%")

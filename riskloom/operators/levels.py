@@ -164,6 +164,16 @@ def as_level(df: DataFrame, name: str) -> Column:
     return F.coalesce(nan_to_null(df, name).cast("string"), F.lit("MISSING"))
 
 
+def per_variable(table: DataFrame, value: Column) -> Column:
+    """The value of this row's variable, from a table of one row per variable.
+
+    It travels as one map from a scalar subquery, which grows with the named variables, never with
+    levels or rows, and needs no join on a key that a third of the rows may share.
+    """
+    entries = F.collect_list(F.struct("variable", value.alias("value")))
+    return F.try_element_at(table.agg(F.map_from_entries(entries)).scalar(), F.col("variable"))
+
+
 def levels_by_variable(
     df: DataFrame, variables: list[str], target: str, fill_missing: bool = True
 ) -> DataFrame:
@@ -225,10 +235,10 @@ def risk_order(df: DataFrame, variables: list[str], target: str) -> DataFrame:
     order = [F.col("variable").asc(), F.col("taux").asc_nulls_last(), F.col("level").asc()]
     ranked = running_totals(rated, order, ["one"])
     first = ranked.groupBy("variable").agg(F.min("one_before").alias("_first"))
-    return ranked.join(first, "variable").select(
+    return ranked.select(
         "variable",
         "level",
-        (F.col("one_before") - F.col("_first")).cast("int").alias("rang"),
+        (F.col("one_before") - per_variable(first, F.col("_first"))).cast("int").alias("rang"),
         "taux",
         "effectif",
         "n_cible",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import iv_class, log_ratio, ratio, round_even
-from .levels import levels_by_variable, target_table, with_rates
+from .levels import levels_by_variable, per_variable, target_table, with_rates
 
 
 def woe_of(levels: DataFrame, iv_column: str = "IV_modalite") -> DataFrame:
@@ -58,15 +58,15 @@ def information_value(df: DataFrame, variable: str, target: str) -> DataFrame:
 def woe_by_variable(df: DataFrame, variables: list[str], target: str) -> DataFrame:
     """WoE/IV table of many variables from one scan: (variable, level, ...), levels as strings.
 
-    The class totals per variable are a table of one row per variable, joined by its name.
+    The class totals of the variables travel as one map, not as a join by name.
     """
     counts = levels_by_variable(df, variables, target, fill_missing=False).select(
         "variable", "level", F.col("n_cible").alias("effectif"), "nb_defaut"
     )
     levels = with_rates(counts)
     totals = levels.groupBy("variable").agg(F.sum("nb_defaut").alias("_bad"), F.sum("nb_non_defaut").alias("_good"))
-    joined = levels.join(totals, "variable")
-    return _weigh(joined, F.col("_bad"), F.col("_good"), "IV_modalite").drop("_bad", "_good")
+    sized = levels.withColumn("_all", per_variable(totals, F.struct("_bad", "_good")))
+    return _weigh(sized, F.col("_all._bad"), F.col("_all._good"), "IV_modalite").drop("_all")
 
 
 def iv_by_variable(df: DataFrame, variables: list[str], target: str) -> DataFrame:

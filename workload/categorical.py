@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import association, charts, cleaning, drift, levels, woe
+from riskloom.operators import association, charts, cleaning, drift, levels, monthly as months, woe
 from riskloom.plans.categorical import analyse_categorielle
 from riskloom.sources.bundle import read_bundle, write_bundle
 from riskloom.sources.shared import shared_folder
@@ -14,8 +14,10 @@ from riskloom.sources.shared import shared_folder
 from .base import (
     IV_CASE,
     LOANS,
+    PSI_CASE,
     chi2_sql,
     erfc_sql,
+    floored,
     joined_text,
     levels_sql,
     loans,
@@ -395,6 +397,69 @@ def stacked_shares(spark, folder):
     return rounded(charts.stacked_shares(monthly, "mois", "ligne"), 6, "part_%", "base_%")
 
 
+_RATE_BLOCKS = f"""src AS (SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS annee, CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem),
+m AS (SELECT annee, l_suppkey, {pct('sum(y)', 'count(y)')} AS rate FROM src WHERE l_suppkey IS NOT NULL AND annee IS NOT NULL GROUP BY ALL),
+d AS (SELECT l_suppkey, (row_number() OVER (ORDER BY l_suppkey) - 1) // 4 AS block,
+  CAST((row_number() OVER (ORDER BY l_suppkey) - 1) % 4 AS INTEGER) AS place FROM (SELECT DISTINCT l_suppkey FROM m WHERE rate IS NOT NULL))"""
+
+
+@query(f"""WITH {_RATE_BLOCKS}, held AS (SELECT DISTINCT annee, block FROM m JOIN d USING (l_suppkey) WHERE rate IS NOT NULL)
+SELECT annee, block, string_agg(coalesce(CAST(CAST(round(rate * 100, 0) AS BIGINT) AS VARCHAR), '-'), ',' ORDER BY place) AS cells
+FROM held JOIN d USING (block) LEFT JOIN m USING (annee, l_suppkey) GROUP BY annee, block""")
+def rate_blocks_by_supplier(spark, folder):
+    """Years by suppliers, four suppliers to a block; rates shown in whole hundredths."""
+    source = loans(spark, folder)
+    _, blocks = charts.rate_blocks(levels.monthly_table(source, "l_suppkey", "y", "annee"), "annee", "l_suppkey", 4)
+    shown = F.transform("cells", lambda c: F.coalesce(F.rint(c * 100).cast("long").cast("string"), F.lit("-")))
+    return blocks.select("annee", "block", joined_text(shown).alias("cells"))
+
+
+@query(f"WITH {_RATE_BLOCKS} SELECT block, place, l_suppkey FROM d")
+def rate_block_columns(spark, folder):
+    source = loans(spark, folder)
+    return charts.rate_blocks(levels.monthly_table(source, "l_suppkey", "y", "annee"), "annee", "l_suppkey", 4)[0]
+
+
+# --- months of many variables -----------------------------------------------------------------
+
+_VARIABLES = ["ligne", "l_linestatus", "annee", "l_suppkey"]
+_LONG = " UNION ALL ".join(f"SELECT '{v}' AS variable, CAST({v} AS VARCHAR) AS level, mois, y FROM loans" for v in _VARIABLES)
+_CELLS = f"""{LOANS}, u AS ({_LONG}),
+cells AS (SELECT variable, level, mois, count(y) AS effectif, CAST(coalesce(sum(y), 0) AS BIGINT) AS nb_defaut,
+  {pct('sum(y)', 'count(y)')} AS "taux_defaut_%" FROM u WHERE level IS NOT NULL AND mois IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"""WITH {_CELLS}, e AS (SELECT variable, min(mois) AS a, max(mois) AS b FROM cells GROUP BY variable),
+s AS (SELECT variable, level, a, b, coalesce(sum(effectif) FILTER (mois = a), 0) AS na, coalesce(sum(effectif) FILTER (mois = b), 0) AS nb
+  FROM cells JOIN e USING (variable) GROUP BY ALL),
+p AS (SELECT variable, a, b, na / CAST(sum(na) OVER w AS DOUBLE) AS ref, nb / CAST(sum(nb) OVER w AS DOUBLE) AS act
+  FROM s WINDOW w AS (PARTITION BY variable)),
+t AS (SELECT variable, a, b, sum(({floored('act')} - {floored('ref')}) * ln({floored('act')} / {floored('ref')})) AS psi FROM p GROUP BY ALL)
+SELECT variable, {r('psi', 6)} AS psi, {PSI_CASE} AS interpretation, a AS periode_ref, b AS periode_act FROM t""")
+def stability_by_variable(spark, folder):
+    """PSI of four variables, one with a level per supplier, from one scan."""
+    return rounded(months.monthly_profile(loans(spark, folder), _VARIABLES, "y", "mois")["psi"], 6, "psi")
+
+
+@query(f"""WITH {_CELLS}, k AS (SELECT variable, mois, sum(effectif) AS t FROM cells GROUP BY ALL), l AS (SELECT DISTINCT variable, level FROM cells)
+SELECT variable, mois, level, coalesce(effectif, 0) AS n, {r('coalesce(effectif, 0) / CAST(t AS DOUBLE) * 100', 6)} AS "part_%"
+FROM k JOIN l USING (variable) LEFT JOIN cells USING (variable, mois, level)""")
+def monthly_shares_by_variable(spark, folder):
+    return rounded(months.monthly_profile(loans(spark, folder), _VARIABLES, "y", "mois")["parts"], 6, "part_%")
+
+
+@query(f"""WITH {_CELLS} SELECT variable, mois, level, effectif, nb_defaut, "taux_defaut_%" FROM cells""")
+def monthly_rates_by_deliveries(spark, folder):
+    """Two deliveries by the parity of the order key, so that every month is filled by both; the first
+    is delivered twice."""
+    place = f"{shared_folder(spark)}/riskloom/months-{uuid.uuid4().hex}"
+    source = loans(spark, folder)
+    for part in (0, 1, 0):
+        delivery = source.where(F.col("l_orderkey") % 2 == part)
+        months.store_batch(months.month_cells(delivery, _VARIABLES, "y", "mois"), place, f"part-{part}")
+    return months.rates_of(months.stored_cells(spark, place))
+
+
 # --- the whole profile ------------------------------------------------------------------------
 
 

@@ -265,8 +265,8 @@ sets AS (SELECT m1, m2, m3, m1 + m2 + m3 AS size, -2 * sum(a1 * ln(p + 1e-15::DO
 named AS (SELECT *, list_filter([CASE WHEN m1 = 1 THEN 'priorite' END, CASE WHEN m2 = 1 THEN 'statut' END, CASE WHEN m3 = 1 THEN 'client' END], lambda x: x IS NOT NULL) AS vars FROM sets)"""
 
 
-def _path_sql(score: str, gain: str, loss: str) -> str:
-    """Forward steps while the score falls by `gain`, and after the third one the removal that keeps it."""
+def _path_ctes(score: str, gain: str, loss: str) -> str:
+    """`h`: forward steps while the score falls by `gain`, and after the third one the removal that keeps it."""
     return f"""{_IRLS},
 s AS (SELECT *, {score} AS score FROM named),
 f1 AS (SELECT vars, score, vars[1] AS v FROM s WHERE size = 1 ORDER BY score LIMIT 1),
@@ -275,9 +275,13 @@ o2 AS (SELECT f2.* FROM f1, f2 WHERE f2.score < f1.score - {gain}),
 o3 AS (SELECT s.vars, s.score, list_filter(s.vars, lambda x: NOT list_contains(o2.vars, x))[1] AS v FROM s, o2 WHERE size = 3 AND s.score < o2.score - {gain}),
 r4 AS (SELECT s.vars, s.score, list_filter(o3.vars, lambda x: NOT list_contains(s.vars, x))[1] AS v FROM s, o3 WHERE size = 2 ORDER BY s.score LIMIT 1),
 o4 AS (SELECT r4.* FROM r4, o3 WHERE r4.score < o3.score + {loss}),
-h AS (SELECT 1 AS step, 'add' AS action, v, score, size_ FROM (SELECT *, 1 AS size_ FROM f1) UNION ALL SELECT 2, 'add', v, score, 2 FROM o2
-      UNION ALL SELECT 3, 'add', v, score, 3 FROM o3 UNION ALL SELECT 4, 'remove', v, score, 2 FROM o4)
-SELECT CAST(step AS INTEGER) AS step, action, v AS variable, CAST(size_ AS INTEGER) AS n_vars, {r('score', 4)} AS best_score FROM h"""
+h AS (SELECT 1 AS step, 'add' AS action, v, score, vars FROM f1 UNION ALL SELECT 2, 'add', v, score, vars FROM o2
+      UNION ALL SELECT 3, 'add', v, score, vars FROM o3 UNION ALL SELECT 4, 'remove', v, score, vars FROM o4)"""
+
+
+def _path_sql(score: str, gain: str, loss: str) -> str:
+    return f"""{_path_ctes(score, gain, loss)}
+SELECT CAST(step AS INTEGER) AS step, action, v AS variable, CAST(len(vars) AS INTEGER) AS n_vars, {r('score', 4)} AS best_score FROM h"""
 
 
 def _path(spark, folder, **options):
@@ -301,6 +305,16 @@ def stepwise_three_by_gini(spark, folder):
     return rounded(history.select("step", "action", "variable", F.size("selected_vars").alias("n_vars"), "best_score"), 4, "best_score")
 
 
+@query(f"""{_path_ctes("-gini", "0.0005", "0")},
+e AS (SELECT step, bic, gini FROM h JOIN named USING (vars)), w AS (SELECT min(bic) AS low, max(bic) AS high FROM e)
+SELECT CAST(step AS INTEGER) AS step, {r('gini', 6)} AS gini_test, {r('bic', 4)} AS bic, {r('coalesce((bic - low) / nullif(high - low, 0), 0)', 6)} AS bic_scaled,
+  {r('(gini / lag(gini) OVER (ORDER BY step) - 1) * 100', 4)} AS gini_test_pct_gain FROM e, w""")
+def stepwise_evolution(spark, folder):
+    """The evolution of the steps that `stepwise_three_by_gini` took."""
+    result = selection.gini_evolution(_path(spark, folder, criterion="gini")).drop("gini_train", "auc_pr", "rp")
+    return rounded(rounded(result, 6, "gini_test", "bic_scaled"), 4, "bic", "gini_test_pct_gain")
+
+
 @query(f"""{_IRLS}, one AS (SELECT * FROM fit WHERE m1 + m2 + m3 = 3),
 c AS (SELECT 'priorite' AS variable, CASE (SELECT base FROM b1) WHEN '0' THEN '1' ELSE '0' END AS level, c1 AS coef, sqrt(v1) AS se FROM one UNION ALL
       SELECT 'statut', CASE (SELECT base FROM b2) WHEN '0' THEN '1' ELSE '0' END, c2, sqrt(v2) FROM one UNION ALL
