@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 _MASK = (1 << 64) - 1
-_GROUP_BYTES = 1 << 20
+_GROUP_BYTES = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -60,7 +60,7 @@ def word_groups(
     texts: Sequence[bytes | None], inside: np.ndarray = NOT_SPACE
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Word hashes of groups of neighbouring texts, A-Z lower-cased, and where each text's words begin
-    and the last one's end. A group has about a megabyte, or one longer text."""
+    and the last one's end. A group has about a quarter of a megabyte, or one longer text."""
     group: list[bytes] = []
     size = 0
 

@@ -43,6 +43,8 @@ FREQUENT = 200_000  # bound of the broadcast list of frequent shingles
 BYTES_AT_ONCE = 1 << 22  # of the texts whose shingles are held at once
 BLOCK = 2048
 PAIRS_KEPT = 500_000  # of a task, to give a pair of several buckets once
+PAIRS_AT_ONCE = 100_000  # found in buckets before they are given
+NODES_AT_ONCE = 1 << 8  # pairs of tree nodes whose children are compared at once
 FANOUT = 16
 SALTS = 64
 LEADERS = 3
@@ -92,7 +94,7 @@ def overlap_bounds(a: list[bytes], b: list[bytes]) -> np.ndarray:
     fine = np.minimum([len(v) for v in a], [len(v) for v in b]) if a else np.zeros(0, np.int64)
     for g in np.unique(fine):
         every = np.flatnonzero(fine == g)
-        step = max(1, (1 << 22) // int(g))
+        step = max(1, (1 << 20) // int(g))
         for k in range(0, len(every), step):
             at = every[k : k + step]
             out[at] = np.minimum(folded([a[i] for i in at], int(g)), folded([b[i] for i in at], int(g))).sum(axis=1, dtype=np.int64)
@@ -272,6 +274,14 @@ def rtree_pairs(
 
     With `split`, only pairs of one point before and one from that index on.
     """
+    found = [(np.zeros(0, np.int64),) * 2, *rtree_search(points, sizes, parts, percent, split)]
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
+def rtree_search(
+    points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, percent: int, split: int | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`rtree_pairs` in blocks: a large group of near copies never has all its pairs in memory."""
     if split is None:
         sides = [np.arange(len(points))] * 2
     else:
@@ -285,8 +295,8 @@ def rtree_pairs(
     for level in range(depth - 1, -1, -1):
         kept = []
         left, right = trees[0][level], trees[1][level]
-        for k in range(0, len(i), 1 << 10):
-            x, y = i[k : k + (1 << 10)], j[k : k + (1 << 10)]
+        for k in range(0, len(i), NODES_AT_ONCE):
+            x, y = i[k : k + NODES_AT_ONCE], j[k : k + NODES_AT_ONCE]
             if level < depth - 1:
                 x, y = (
                     _children(x, len(left[0]), len(trees[0][level + 1][0]))[:, :, None],
@@ -299,17 +309,21 @@ def rtree_pairs(
                 x, y = x[inside], y[inside]
             elif same and level == 0:
                 x, y = x[:0], y[:0]
-            (_, a1, b1, c1, d1), (_, a2, b2, c2, d2) = ([v[q] for v in t] for t, q in ((left, x), (right, y)))
+            # the points only of what is left after sizes and components
+            (a1, b1, c1, d1), (a2, b2, c2, d2) = ([v[q] for v in t[1:]] for t, q in ((left, x), (right, y)))
             may = (100 * b2 >= percent * a1) & (100 * b1 >= percent * a2)
             may &= ~((c1 == d1) & (c2 == d2) & (c1 == c2))
             x, y, need = x[may], y[may], needed_overlap(a1[may], a2[may], percent)
             for q in range(0, len(x), 1 << 13):
                 u, v = x[q : q + (1 << 13)], y[q : q + (1 << 13)]
                 fits = np.minimum(left[0][u], right[0][v]).sum(axis=1) >= need[q : q + (1 << 13)]
-                kept.append((u[fits], v[fits]))
-        i = np.concatenate([x for x, _ in kept] or [np.zeros(0, np.int64)])
-        j = np.concatenate([y for _, y in kept] or [np.zeros(0, np.int64)])
-    return order[0][i], order[1][j]
+                if level:
+                    kept.append((u[fits], v[fits]))
+                elif fits.any():
+                    yield order[0][u[fits]], order[1][v[fits]]
+        if level:
+            i = np.concatenate([x for x, _ in kept] or [np.zeros(0, np.int64)])
+            j = np.concatenate([y for _, y in kept] or [np.zeros(0, np.int64)])
 
 
 def _children(nodes: np.ndarray, below: int, here: int) -> np.ndarray:
@@ -327,33 +341,37 @@ def bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
         known: set[tuple[int, int]] = set()  # pairs that this task gave before
 
+        def given(pairs: set[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            pairs -= known
+            if len(known) > PAIRS_KEPT:
+                known.clear()
+            known.update(pairs)
+            if pairs:
+                columns = [pa.array(side, pa.int64()) for side in zip(*pairs)]
+                yield pa.RecordBatch.from_arrays(columns, names=["s", "t"])
+
         def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             key = rows.column("bucket").to_numpy()
             s, n, part, side = (rows.column(c).to_numpy() for c in ("s", "n", "part", "side"))
             vectors = rows.column("vector").to_pylist()
             points = folded(vectors, GROUPS)
             cuts = np.flatnonzero(np.diff(key)) + 1
-            out = []
+            pairs: set[tuple[int, int]] = set()
             for a, b in zip([0, *cuts], [*cuts, len(key)]):
                 order = a + np.argsort(side[a:b], kind="stable")
                 split = int((side[a:b] == 0).sum())
                 one_sided = split == b - a
                 if not one_sided and split == 0:
                     continue
-                i, j = rtree_pairs(points[order], n[order], part[order], percent, None if one_sided else split)
-                i, j = order[i], order[j]
-                fits = overlap_bounds([vectors[k] for k in i], [vectors[k] for k in j]) >= needed_overlap(n[i], n[j], percent)
-                out.append((s[i[fits]], s[j[fits]]))
-            pairs: set[tuple[int, int]] = set()
-            for i, j in out:
-                pairs.update(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist()))
-            pairs -= known
-            if len(known) > PAIRS_KEPT:
-                known.clear()
-            known.update(pairs)
-            if pairs:
-                columns = [pa.array(side, pa.int64()) for side in zip(*pairs)]
-                yield pa.RecordBatch.from_arrays(columns, names=["s", "t"])
+                for i, j in rtree_search(points[order], n[order], part[order], percent, None if one_sided else split):
+                    i, j = order[i], order[j]
+                    fits = overlap_bounds([vectors[k] for k in i], [vectors[k] for k in j]) >= needed_overlap(n[i], n[j], percent)
+                    i, j = s[i[fits]], s[j[fits]]
+                    pairs.update(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist()))
+                    if len(pairs) > PAIRS_AT_ONCE:
+                        yield from given(pairs)
+                        pairs = set()
+            yield from given(pairs)
 
         for batch in batches:
             key = batch.column("bucket").to_numpy()
@@ -397,7 +415,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int)
     texts = docs.join(broadcast_if_small(wanted), "key")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in bounded_slices(b, "__text", BYTES_AT_ONCE)):
             found = list(shingle_sets(_texts(batch), WORDS))
             yield pa.RecordBatch.from_arrays(
                 [

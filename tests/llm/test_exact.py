@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -222,6 +223,18 @@ def test_rtree_loses_no_pair(split):
     assert got == expected and len(expected) > 100 and len(i) == len(got)
 
 
+def test_near_copies_are_searched_in_bounded_memory():
+    r = np.random.default_rng(6)
+    points = (r.poisson(3, 64) + r.integers(0, 2, (2000, 64))).astype(np.uint8)
+    sizes = points.sum(axis=1).astype(np.int64)
+    tracemalloc.start()
+    pairs = rtree_pairs(points, sizes, np.arange(2000), 75, 1000)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(pairs[0]) == len(pairs[1]) == 1_000_000
+    assert peak < 60_000_000  # twice the pairs, and not the points of all pairs that are compared
+
+
 def test_finer_groups_bound_the_overlap():
     r = np.random.default_rng(8)
     pool = r.integers(0, 2**63, 9000).astype(np.uint64)
