@@ -21,7 +21,7 @@ from riskloom.operators.ordering import running_totals
 from riskloom.sources.shared import write_shared
 
 from .hashing import mix64
-from .tokens import encode_all
+from .tokens import encode_all, forget_encoder
 
 DIMENSIONS = 4
 BITS = 15
@@ -143,7 +143,8 @@ def pack(
     full = total // length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        forget_encoder()  # all texts are encoded; the worker lives on, beside other work
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             out = {name: [] for name in names}
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "before", "n", "ids", "width")]
             for doc_id, before, n, ids, width in zip(*columns):

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import sys
 import types
 from collections.abc import Sequence
@@ -29,6 +30,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.type == "<u2" else "I"
         pattern = self._word_pattern()
         self.pattern = regex.compile(pattern) if pattern else None
         # letters and marks on which the pattern and the library's agree; the rest goes to the library
@@ -53,14 +55,18 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         low = word.lower()
-        if "<|" in word or not self.plain.fullmatch(word) or not self.plain.fullmatch(low):
+        if "<|" in word or not self.plain.fullmatch(word) or not (word.isascii() or self.plain.fullmatch(low)):
             return self._whole(word)
         out = []
         for piece in self.pattern.findall(low):
+            if piece == word:
+                piece = word  # one string as the key of both caches
             found = self.pieces.get(piece)
             if found is None:
-                spelled = piece.encode().decode("latin-1").translate(self.letters)
-                found = np.array([t.id for t in self.model.tokenize(spelled)], self.type).tobytes()
+                # printable ASCII stands for itself
+                spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                ids = [t.id for t in self.model.tokenize(spelled)]
+                found = struct.pack(f"<{len(ids)}{self.code}", *ids)
                 if len(self.pieces) >= PIECES_KEPT:
                     self.pieces.clear()
                 self.pieces[piece] = found
@@ -103,6 +109,13 @@ def encoder(path: str) -> Encoder:
     return kept.encoder
 
 
+def forget_encoder() -> None:
+    """Free the encoder of this process and its caches; the next text makes a new one."""
+    kept = sys.modules.get("riskloom_worker_state")
+    if kept is not None:
+        kept.path = kept.encoder = None
+
+
 def encode_all(texts: Sequence[str | None], path: str, end: int) -> tuple[list[bytes], str]:
     """Ids of each text followed by the id `end`; NULL is an empty text. Also the numbers' type."""
     found = encoder(path)

@@ -5,7 +5,9 @@ import itertools
 import math
 import random
 import re
+import sys
 import tracemalloc
+import weakref
 import zlib
 
 import numpy as np
@@ -18,7 +20,7 @@ from riskloom.llm.linededup import dedup_lines
 from riskloom.llm.op7 import one_of_each
 from riskloom.llm.op9 import tokenizer_path
 from riskloom.llm.packing import hilbert_index, pack
-from riskloom.llm.tokens import Encoder
+from riskloom.llm.tokens import Encoder, encode_all, forget_encoder
 from riskloom.llm.topk import bounds_features, exact_top_k
 
 
@@ -235,6 +237,21 @@ def test_near_copies_are_searched_in_bounded_memory():
     assert peak < 60_000_000  # twice the pairs, and not the points of all pairs that are compared
 
 
+def test_forgotten_encoder_frees_its_caches():
+    texts = ["One two-three, four.", "Caf\u00e9 na\u00efve 'tis 42%", None, "\u0130x \u01c5 <|x a\x01b"]
+    forget_encoder()
+    first = encode_all(texts, tokenizer_path(), 2)
+    kept = sys.modules["riskloom_worker_state"]
+    alive = weakref.ref(kept.encoder)
+    forget_encoder()
+    assert alive() is None
+    assert encode_all(texts, tokenizer_path(), 2) == first
+    whole = kept.encoder.tokenizer
+    for text, ids in zip(texts, first[0]):
+        assert np.frombuffer(ids, first[1]).tolist() == [*whole.encode(text or "", add_special_tokens=False).ids, 2]
+    forget_encoder()
+
+
 def test_finer_groups_bound_the_overlap():
     r = np.random.default_rng(8)
     pool = r.integers(0, 2**63, 9000).astype(np.uint64)
