@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, broadcast_if_small, settled
+from .common import bounded_slices, broadcast_if_small, releasing, settled
 from .components import connected_components
 from .hashing import shingle_sets
 
@@ -112,6 +112,7 @@ def _half(digest: bytes) -> int:
 def document_nodes(docs: DataFrame) -> DataFrame:
     """(doc_id, key, n, node, vector) per row, and on some rows shingles that are frequent around it."""
 
+    @releasing
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in bounded_slices(b, "__text", BYTES_AT_ONCE)):
             sizes, nodes, vectors, distinct = [], [], [], {}
@@ -183,6 +184,7 @@ def buckets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: i
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    @releasing
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ranks = shared.value
         seen: set[bytes] = set()
@@ -337,6 +339,7 @@ def _children(nodes: np.ndarray, below: int, here: int) -> np.ndarray:
 def bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(s, t) from rows (bucket, side, s, n, vector, part) sorted by bucket inside partitions."""
 
+    @releasing
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         known: set[tuple[int, int]] = set()  # pairs that this task gave before
@@ -392,6 +395,7 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     left = one.select("s", F.col("n").alias("na"), F.col("vector").alias("va"))
     right = one.select(F.col("s").alias("t"), F.col("n").alias("nb"), F.col("vector").alias("vb"))
 
+    @releasing
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
@@ -414,6 +418,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int)
     wanted = settled(close.select(F.explode(F.array("ka", "kb")).alias("key")).distinct())
     texts = docs.join(broadcast_if_small(wanted), "key")
 
+    @releasing
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in bounded_slices(b, "__text", BYTES_AT_ONCE)):
             found = list(shingle_sets(_texts(batch), WORDS))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from riskloom.sources.shared import write_shared
 
-from .common import broadcast_if_small
+from .common import broadcast_if_small, releasing
 from .hashing import mix64
 
 LEAST_WORDS = 50
@@ -97,6 +97,7 @@ def with_keys(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 def line_table(docs: DataFrame, text: str) -> DataFrame:
     """Key, line hashes and words per line of each row."""
 
+    @releasing
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, counts = [], []
@@ -118,6 +119,7 @@ def line_table(docs: DataFrame, text: str) -> DataFrame:
 def repeated_runs(lines: DataFrame, least_words: int) -> DataFrame:
     """(z, d, k, first, last) of each shortest run that also occurs earlier."""
 
+    @releasing
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
@@ -140,6 +142,7 @@ def repeated_runs(lines: DataFrame, least_words: int) -> DataFrame:
         points.join(broadcast_if_small(shared), "fp").groupBy(*KEY).agg(F.collect_set("line").alias("points"))
     )
 
+    @releasing
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [_lists(batch.column(c)) for c in ("hashes", "words", "points")]

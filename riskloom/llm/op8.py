@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import spaced, table, word_count
+from .common import spaced, table
 from .mixing import copies, mix
 
 
@@ -50,7 +50,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     each = numbered.withColumn("__run", run).where("__run IS NOT NULL")
     each = each.withColumn("__take", F.explode(copies(F.col("__run.size"), F.col("__run.taken"))))
     # only a part copy is cut apart: at single spaces, so that joining gives the prefix's length
-    short = F.col("__take") < word_count(F.col("text"))
+    short = F.col("__take") < F.col("__run.size")
     each = each.withColumn("__parts", F.when(short, F.split(spaced(F.col("text")), " ")))
     filled = F.filter(F.sequence(F.lit(0), F.size("__parts") - 1), lambda i: F.get("__parts", i) != "")
     last = F.element_at(filled, F.col("__take").cast("int"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from riskloom.operators.ordering import running_totals
 from riskloom.sources.shared import write_shared
 
+from .common import releasing
 from .hashing import mix64
 from .tokens import encode_all, forget_encoder
 
@@ -79,6 +80,7 @@ def curve_keys(ids: list[np.ndarray], projected: tuple[np.ndarray, np.ndarray])
 def tokenised(docs: DataFrame, path: str, end: int, id_column: str, text: str) -> DataFrame:
     """(doc_id, key, n, ids): curve key, number of tokens and token ids with `end` at the end."""
 
+    @releasing
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs = projection(1 << 16)
         for batch in batches:
@@ -142,6 +144,7 @@ def pack(
     rest = cuts_of_rest(total, length)
     full = total // length
 
+    @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_encoder()  # all texts are encoded; the worker lives on, beside other work
         for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):

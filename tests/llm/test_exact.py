@@ -7,19 +7,21 @@ import random
 import re
 import sys
 import tracemalloc
+import types
 import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_data import documents, empty, prose
 from riskloom.llm.components import connected_components
-from riskloom.llm.jaccard import common_needed, folded, group_counts, jaccard_components, leading, least_buckets, needed_overlap, overlap_bounds, rtree_pairs
-from riskloom.llm.linededup import dedup_lines
+from riskloom.llm.jaccard import common_needed, document_nodes, folded, group_counts, jaccard_components, leading, least_buckets, needed_overlap, overlap_bounds, rtree_pairs
+from riskloom.llm.linededup import dedup_lines, line_table
 from riskloom.llm.op7 import one_of_each
 from riskloom.llm.op9 import tokenizer_path
-from riskloom.llm.packing import hilbert_index, pack
+from riskloom.llm.packing import hilbert_index, pack, tokenised
 from riskloom.llm.tokens import Encoder, encode_all, forget_encoder
 from riskloom.llm.topk import bounds_features, exact_top_k
 
@@ -252,6 +254,31 @@ def test_forgotten_encoder_frees_its_caches():
     forget_encoder()
 
 
+def test_workers_give_back_what_arrow_keeps(spark, monkeypatch):
+    taken = []
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, work, _):
+            taken.append(work)
+
+    document_nodes(Rows())
+    line_table(Rows(), "text")
+    tokenised(Rows(), tokenizer_path(), 2, "doc_id", "text")
+    columns = {"z": [False], "d": [1], "k": [2], "doc_id": [1], "key": [2], "__text": ["a line\nof six words in all"]}
+    batch = pa.RecordBatch.from_pydict(columns)
+    released = []
+    pool = types.SimpleNamespace(release_unused=lambda: released.append(True))
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: pool)
+    for work in taken:
+        released.clear()
+        given = work(iter([batch, batch]))
+        assert [next(given).num_rows for _ in range(2)] == [1, 1] and not released
+        assert list(given) == [] and released == [True]
+
+
 def test_finer_groups_bound_the_overlap():
     r = np.random.default_rng(8)
     pool = r.integers(0, 2**63, 9000).astype(np.uint64)
