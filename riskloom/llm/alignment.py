@@ -1,14 +1,14 @@
 """Alignment of two tokenizers on the same texts.
 
 Both tokenizers cut the bytes of a space and the text. Their own spans give coarse cuts: character
-offsets from the byte-level tokenizer, byte spans from the sentencepiece proto. Where several tokens
+offsets from the byte-level tokenizer, byte spans from sentencepiece. Where several tokens
 share a character, or a byte-fallback token has no span of its own, the cut is refined by the length of
 the token's decoded bytes. Byte offsets where tokens of both end cut the tokens into groups, and every
 token of one side is linked with every token of the other side of its group.
 
 A single space or newline between two visible characters is a place where both tokenizers cut whatever
 stands around it (checked on the two files), so texts are aligned word by word, and words seen before
-come from a cache of bounded size. Texts are read once; corpus-wide counts of id pairs are one Spark
+come from a cache of bounded size, which lets go only of words that did not come again. Texts are read once; corpus-wide counts of id pairs are one Spark
 aggregate. The FREQUENT most frequent pairs are looked up in a broadcast array, all others by a join.
 """
 
@@ -33,7 +33,7 @@ from riskloom.sources.shared import write_shared
 from .common import bounded_slices
 
 FREQUENT = 65_536
-WORDS_KEPT = 350_000
+WORDS_KEPT = 250_000  # of each of two generations
 LONGEST_WORD = 64  # longer stretches are aligned without being kept
 BYTES_AT_ONCE = 1 << 20
 STRETCH = 1 << 14  # characters of new words that are encoded at once
@@ -86,9 +86,12 @@ class Aligner:
         for i, spelled in self.a_bytes.items():
             self.a_lengths[i] = len(spelled)
         self.b_lengths = np.array([len(spelled) for spelled in self.b_bytes])
-        self.numbers = [str(i) for i in range(max(len(self.a_lengths), len(self.b_lengths)))]
+        # each id as it is written before another of its side, the other side and the next group
+        self.numbers = [f"{i}{c}" for i in range(max(len(self.a_lengths), len(self.b_lengths))) for c in ",|;"]
+        self.number_lengths = np.array([len(x) for x in self.numbers])
         self.apart = self._cuts_at_spaces(names)
         self.known: dict[str, tuple] = {}
+        self.before: dict[str, tuple] = {}
 
     def _cuts_at_spaces(self, names: list[str]) -> bool:
         """Whether both tokenizers always cut before a lone space or newline."""
@@ -117,13 +120,10 @@ class Aligner:
         a_ends = self._ends(a, spans, self.a_bytes, self.a_lengths, data)
 
         led = stretch[0] == " "
-        proto = self.b.encode(stretch[1:] if led else stretch, return_type="proto").pieces
-        cells: list[int] = []
-        for piece in proto:
-            cells += (piece.id, piece.begin, piece.end)
-        cells = np.array(cells, np.int64).reshape(-1, 3)
+        found = self.b.encode(data[1:] if led else data, return_type="offset_mapping")
+        b = np.array(found["ids"], np.int64)
         # the space that the model puts first has no place in its own text
-        b, spans = cells[:, 0], cells[:, 1:] + 1
+        spans = np.fromiter(chain.from_iterable(found["offsets"]), np.int64, 2 * len(b)).reshape(-1, 2) + 1
         if led:
             spans[spans == 1] = 0
             spans[spans[:, 1] == 0, 1] = 1  # the space alone is a token
@@ -162,12 +162,10 @@ class Aligner:
         # the written groups: ids of both sides in the order of group and side
         order = np.argsort(np.concatenate([2 * ga, 2 * gb + 1]), kind="stable")
         sides = np.stack([na, nb], axis=1).ravel()
-        after = np.full(len(order), ",", "<U1")
-        after[np.cumsum(sides) - 1] = np.tile(["|", ";"], n)
-        spelled = self.numbers
-        parts = [spelled[i] + c for i, c in zip(np.concatenate([a, b])[order].tolist(), after.tolist())]
-        text = "".join(parts)
-        letters = np.cumsum([0, *map(len, parts)])
+        places = 3 * np.concatenate([a, b])[order]
+        places[np.cumsum(sides) - 1] += np.tile([1, 2], n)
+        text = "".join(map(self.numbers.__getitem__, places.tolist()))
+        letters = np.concatenate([[0], np.cumsum(self.number_lengths[places])])
         text_ends = letters[np.cumsum(na + nb)[group_ends - 1]]
         pairs, times, pair_ends = self._links(a, ga, na, b, gb, nb)
         pair_ends = pair_ends[group_ends - 1]
@@ -207,10 +205,15 @@ class Aligner:
     def learn(self, texts: list[list[str]]) -> dict[str, tuple | None]:
         """The alignment of every word of the texts; words not seen before are encoded side by side."""
         known = self.known
-        missing = {w for words in texts for w in words if w not in known}
+        missing = set().union(*texts).difference(known)
         if len(known) + len(missing) > WORDS_KEPT:
-            self.known = known = {}
-            missing = {w for words in texts for w in words}
+            # words that do not come again before the next turn are let go
+            self.before, self.known = known, {}
+            known, missing = self.known, set().union(*texts)
+        before = self.before
+        again = {w: before[w] for w in missing if w in before}
+        known.update(again)
+        missing.difference_update(again)
         group, size, new = [], 0, {}
         for w in sorted(missing):
             # only words between visible characters may stand side by side
@@ -265,7 +268,7 @@ def align_documents(
             texts = [aligner.words(t) if t else [] for t in batch.column("__text").to_pylist()]
             known = aligner.learn(texts)
             for words in texts:
-                found = [known[w] for w in words]
+                found = list(map(known.__getitem__, words))
                 if not found or None in found:
                     row = (0, 0, 0, 0, None, "", none, none)
                 else:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from llm_data import documents, empty, prose
+from riskloom.llm import alignment
 from riskloom.llm.alignment import Aligner, _added_up, align_documents, link_counts, refined_ends
 from riskloom.llm.op13 import tokenizer_paths
 from riskloom.sources.shared import write_shared
@@ -89,6 +90,19 @@ def test_fuzz(plain):
         assert ("" if None in found else ";".join(x[0] for x in found)) == written(plain(text)), text
 
 
+def test_words_that_come_again_stay_known(monkeypatch):
+    monkeypatch.setattr(alignment, "WORDS_KEPT", 40)
+    aligner = Aligner(*tokenizer_paths())
+    encoded, align = [], aligner.align
+    monkeypatch.setattr(aligner, "align", lambda words: encoded.extend(words) or align(words))
+    for k in range(30):
+        cut = aligner.words("the same words " + " ".join(f"n{k}x{j}" for j in range(10)))
+        known = aligner.learn([cut])
+        assert set(cut) <= known.keys()
+        assert len(aligner.known) <= 40 and len(aligner.before) <= 40
+    assert encoded.count(" same") == 1 and len(encoded) == len(set(encoded))
+
+
 def rows(spark):
     extra = [(100 + k, t, "en", "s", 0) for k, t in enumerate(AWKWARD)] + [(200 + k, prose(k, 40), "en", "s", 0) for k in range(30)]
     return documents(spark, extra)
