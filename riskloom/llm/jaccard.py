@@ -13,8 +13,11 @@ coordinates of two points bounds the overlap of their sets from above. First eve
 with the few nodes that lead most of its buckets, which ties copies together without pairing
 them out. Then every bucket that still holds more than one component is searched with an R-tree over
 its points: a tree node keeps the largest coordinates below it, and two tree nodes are followed
-only while their bound, their sizes and their components allow a new link. Surviving pairs are
-verified on the whole sets. Buckets beyond a size are dealt to pairs of blocks.
+only while their bound, their sizes and their components allow a new link. What is given are not
+pairs but clusters: the nodes of a bucket that surviving pairs tie together, once for all buckets with
+the same cluster. Each cluster is searched again with the whole sets at hand, and pairs are
+verified until they add no link between its parts, so the rows given grow with the nodes, not with
+their pairs. Buckets beyond a size and clusters beyond a number of shingles are dealt to pairs of blocks.
 
 An R-tree over all points at once would not do: with hundreds of shingles spread over the groups,
 unrelated documents of one length have bounds near the threshold, so the tree could not be cut to
@@ -42,8 +45,8 @@ GROUPS = 64
 FREQUENT = 200_000  # bound of the broadcast list of frequent shingles
 BYTES_AT_ONCE = 1 << 22  # of the texts whose shingles are held at once
 BLOCK = 2048
-PAIRS_KEPT = 500_000  # of a task, to give a pair of several buckets once
-PAIRS_AT_ONCE = 100_000  # found in buckets before they are given
+CLUSTERS_KEPT = 100_000  # of a task, to give a cluster of several buckets once
+SHINGLES_AT_ONCE = 1 << 22  # of a block of a cluster
 NODES_AT_ONCE = 1 << 8  # pairs of tree nodes whose children are compared at once
 FANOUT = 16
 SALTS = 64
@@ -336,57 +339,147 @@ def _children(nodes: np.ndarray, below: int, here: int) -> np.ndarray:
     return np.where(out < below, out, -1)
 
 
-def bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(s, t) from rows (bucket, side, s, n, vector, part) sorted by bucket inside partitions."""
+class Parts:
+    """Disjoint parts of 0 to n - 1; the roots of many elements are read at once."""
+
+    def __init__(self, same: np.ndarray):
+        """Elements with equal numbers begin in one part."""
+        _, first, place = np.unique(same, return_index=True, return_inverse=True)
+        self.above = first[place]
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        found = self.above[x]
+        while (up := self.above[found]).tobytes() != found.tobytes():
+            found = up
+        self.above[x] = found
+        return found
+
+    def root(self, x: int) -> int:
+        while (up := self.above[x]) != x:
+            self.above[x] = x = self.above[up]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.above[self.root(x)] = self.root(y)
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by bucket as tables of complete buckets."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = batch.column("bucket").to_numpy()
+        last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        if last:  # everything before the last bucket is complete
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
+def two_sided(rows: pa.Table) -> Iterator[tuple[np.ndarray, int | None]]:
+    """For each bucket its rows, side 0 first, and where side 1 begins; None for one with only side 0."""
+    key, side = rows.column("bucket").to_numpy(), rows.column("side").to_numpy()
+    cuts = np.flatnonzero(np.diff(key)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(key)]):
+        split = int((side[a:b] == 0).sum())
+        if split:
+            yield a + np.argsort(side[a:b], kind="stable"), None if split == b - a else split
+
+
+def in_blocks(groups: DataFrame, group: str) -> DataFrame:
+    """Rows of groups with a number of `blocks` dealt to all pairs of blocks, as bucket and side."""
+    own = F.pmod(F.xxhash64(F.lit("block"), "s"), F.col("blocks")).cast("int")
+    return (
+        groups.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns(
+            {
+                "bucket": F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")),
+                "side": (F.col("own") > F.col("other")).cast("int"),
+            }
+        )
+        .drop("own", "other", "blocks", group)
+    )
+
+
+def bucket_clusters(members: DataFrame, percent: int) -> DataFrame:
+    """(cluster, s) from rows (bucket, side, s, n, vector, part) sorted by bucket inside partitions.
+
+    A cluster holds the nodes of a bucket that pairs whose points allow a link tie together.
+    """
 
     @releasing
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        known: set[tuple[int, int]] = set()  # pairs that this task gave before
-
-        def given(pairs: set[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-            pairs -= known
-            if len(known) > PAIRS_KEPT:
-                known.clear()
-            known.update(pairs)
-            if pairs:
-                columns = [pa.array(side, pa.int64()) for side in zip(*pairs)]
-                yield pa.RecordBatch.from_arrays(columns, names=["s", "t"])
-
-        def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = rows.column("bucket").to_numpy()
-            s, n, part, side = (rows.column(c).to_numpy() for c in ("s", "n", "part", "side"))
+        known: set[bytes] = set()  # clusters that this task gave before
+        for rows in whole_buckets(batches):
+            s, n, part = (rows.column(c).to_numpy() for c in ("s", "n", "part"))
             vectors = rows.column("vector").to_pylist()
             points = folded(vectors, GROUPS)
-            cuts = np.flatnonzero(np.diff(key)) + 1
-            pairs: set[tuple[int, int]] = set()
-            for a, b in zip([0, *cuts], [*cuts, len(key)]):
-                order = a + np.argsort(side[a:b], kind="stable")
-                split = int((side[a:b] == 0).sum())
-                one_sided = split == b - a
-                if not one_sided and split == 0:
-                    continue
-                for i, j in rtree_search(points[order], n[order], part[order], percent, None if one_sided else split):
+            tied = Parts(np.arange(len(s)))
+            for order, split in two_sided(rows):
+                for i, j in rtree_search(points[order], n[order], part[order], percent, split):
                     i, j = order[i], order[j]
+                    apart = tied.roots(i) != tied.roots(j)
+                    i, j = i[apart], j[apart]
                     fits = overlap_bounds([vectors[k] for k in i], [vectors[k] for k in j]) >= needed_overlap(n[i], n[j], percent)
-                    i, j = s[i[fits]], s[j[fits]]
-                    pairs.update(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist()))
-                    if len(pairs) > PAIRS_AT_ONCE:
-                        yield from given(pairs)
-                        pairs = set()
-            yield from given(pairs)
+                    for x, y in zip(i[fits].tolist(), j[fits].tolist()):
+                        tied.join(x, y)
+            roots = tied.roots(np.arange(len(s)))
+            order = np.lexsort((s, roots))
+            clusters, nodes = [], []
+            for one in np.split(s[order], np.flatnonzero(np.diff(roots[order])) + 1):
+                if len(one) > 1:
+                    name = xxhash.xxh3_128_digest(one.tobytes())
+                    if name not in known:
+                        known.add(name)
+                        clusters += [name] * len(one)
+                        nodes.append(one)
+            if len(known) > CLUSTERS_KEPT:
+                known.clear()
+            if nodes:
+                columns = [pa.array(clusters, pa.binary()), pa.array(np.concatenate(nodes))]
+                yield pa.RecordBatch.from_arrays(columns, names=["cluster", "s"])
 
-        for batch in batches:
-            key = batch.column("bucket").to_numpy()
-            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            if last:  # everything before the last bucket is complete
-                yield from found(pa.Table.from_batches([*held, batch.slice(0, last)]))
-                held = []
-            held.append(batch.slice(last))
-        if held and sum(b.num_rows for b in held):
-            yield from found(pa.Table.from_batches(held))
+    return members.mapInArrow(search, "cluster binary, s long").distinct()
 
-    return members.mapInArrow(search, "s long, t long").distinct()
+
+def cluster_links(docs: DataFrame, clusters: DataFrame, nodes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of whole sets that join all parts of each cluster (cluster, s) which any links join."""
+    near = settled(clusters.join(known, "s").join(nodes.select("s", "node", "key", "n"), "s"))
+    sizes = near.groupBy("cluster").agg(F.ceil(F.sum("n") / SHINGLES_AT_ONCE).cast("int").alias("blocks"))
+    placed = in_blocks(near.select("cluster", "s", "node", "part").join(sizes, "cluster"), "cluster")
+    members = placed.join(whole_sets(docs, near.select("key")), "node").select("bucket", "side", "part", "node", "shingles")
+
+    @releasing
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_buckets(batches):
+            lists = rows.column("shingles")
+            n = np.concatenate([x.value_lengths().to_numpy() for x in lists.chunks]).astype(np.int64)
+            every = np.concatenate([x.flatten().to_numpy() for x in lists.chunks]).view(np.uint64)
+            sets = np.split(every, np.cumsum(n)[:-1])
+            node, part = rows.column("node").to_pylist(), rows.column("part").to_numpy()
+            links: list[tuple[bytes, bytes]] = []
+            for order, split in two_sided(rows):
+                vectors = [group_counts(sets[k]) for k in order]
+                size, tied = n[order], Parts(part[order])
+                for i, j in rtree_search(folded(vectors, GROUPS), size, part[order], percent, split):
+                    apart = tied.roots(i) != tied.roots(j)
+                    i, j = i[apart], j[apart]
+                    need = needed_overlap(size[i], size[j], percent)
+                    fits = overlap_bounds([vectors[k] for k in i], [vectors[k] for k in j]) >= need
+                    for x, y, least in zip(i[fits].tolist(), j[fits].tolist(), need[fits].tolist()):
+                        if tied.root(x) != tied.root(y):
+                            one, other = order[x], order[y]
+                            if len(np.intersect1d(sets[one], sets[other], assume_unique=True)) >= least:
+                                tied.join(x, y)
+                                links.append((node[one], node[other]))
+            if links:
+                columns = [pa.array(side, pa.binary()) for side in zip(*links)]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+    members = members.repartition("bucket").sortWithinPartitions("bucket")
+    return members.mapInArrow(search, "a binary, b binary").distinct()
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -415,7 +508,19 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int)
     left = nodes.select("s", F.col("node").alias("a"), F.col("key").alias("ka"))
     right = nodes.select(F.col("s").alias("t"), F.col("node").alias("b"), F.col("key").alias("kb"))
     close = settled(pairs.join(left, "s").join(right, "t").where("a <> b").select("a", "ka", "b", "kb"))
-    wanted = settled(close.select(F.explode(F.array("ka", "kb")).alias("key")).distinct())
+    whole = whole_sets(docs, close.select(F.explode(F.array("ka", "kb")).alias("key")))
+    both = (
+        close.select("a", "b").join(whole.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+        .join(whole.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    )
+    overlap = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - overlap
+    return both.where(100 * overlap >= percent * union).select("a", "b")
+
+
+def whole_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(node, shingles) of the texts with these keys, once per node."""
+    wanted = settled(keys.distinct())
     texts = docs.join(broadcast_if_small(wanted), "key")
 
     @releasing
@@ -430,14 +535,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int)
                 names=["node", "shingles"],
             )
 
-    whole = texts.select("__text").mapInArrow(sets, "node binary, shingles array<long>").dropDuplicates(["node"])
-    both = (
-        close.select("a", "b").join(whole.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(whole.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    )
-    overlap = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - overlap
-    return both.where(100 * overlap >= percent * union).select("a", "b")
+    return texts.select("__text").mapInArrow(sets, "node binary, shingles array<long>").dropDuplicates(["node"])
 
 
 def component_rows(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -482,20 +580,10 @@ def component_rows(docs: DataFrame, percent: int = PERCENT, id_column: str = "do
         .where("2 * left_out > need - 1")
         .select("h", "s", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     )
-    own = F.pmod(F.xxhash64(F.lit("block"), "s"), F.col("blocks")).cast("int")
-    placed = (
-        searched.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "s",
-            F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"),
-            (F.col("own") > F.col("other")).cast("int").alias("side"),
-        )
-    )
     points = nodes.select("s", "n", "vector")
-    members = placed.join(known, "s").join(points, "s").repartition("bucket").sortWithinPartitions("bucket")
-    more = settled(bucket_pairs(members, percent))
-    second = settled(verified(source, more, nodes, percent))
+    members = in_blocks(searched, "h").join(known, "s").join(points, "s").repartition("bucket").sortWithinPartitions("bucket")
+    clusters = settled(bucket_clusters(members, percent))
+    second = settled(cluster_links(source, clusters, nodes, known, percent))
     final = connected_components(first.unionAll(second))
     return described.join(final, "node", "left").select(
         "doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("component")

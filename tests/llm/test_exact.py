@@ -17,7 +17,8 @@ import pytest
 
 from llm_data import documents, empty, prose
 from riskloom.llm.components import connected_components
-from riskloom.llm.jaccard import common_needed, document_nodes, folded, group_counts, jaccard_components, leading, least_buckets, needed_overlap, overlap_bounds, rtree_pairs
+from riskloom.llm.hashing import shingle_sets
+from riskloom.llm.jaccard import bucket_clusters, cluster_links, common_needed, document_nodes, folded, group_counts, jaccard_components, leading, least_buckets, needed_overlap, overlap_bounds, rtree_pairs
 from riskloom.llm.linededup import dedup_lines, line_table
 from riskloom.llm.op7 import one_of_each
 from riskloom.llm.op9 import tokenizer_path
@@ -177,6 +178,38 @@ def test_large_untied_group(spark):
     assert 1 < len({c for _, _, c in got}) < 160
 
 
+@pytest.mark.parametrize("at_once", [1 << 22, 4000])
+def test_rows_of_a_large_group_grow_with_its_nodes(spark, monkeypatch, at_once):
+    """One bucket of near copies, many of them below the threshold: no row per pair of them."""
+    monkeypatch.setattr("riskloom.llm.jaccard.SHINGLES_AT_ONCE", at_once)
+    r = random.Random(22)
+    base = prose(840, 120).split()
+    rows = []
+    for k in range(150):
+        words = list(base)
+        for place in r.sample(range(120), r.choice([2, 3, 4])):
+            words[place] = f"w{r.randint(0, 2)}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) AS key", "text AS __text")
+    nodes = document_nodes(docs).groupBy("node", "s", "n", "vector").agg({"key": "min"}).withColumnRenamed("min(key)", "key")
+    known = nodes.selectExpr("s", "s AS part")
+    members = nodes.selectExpr("1L AS bucket", "0 AS side", "s", "n", "vector", "s AS part").repartition("bucket")
+    clusters = bucket_clusters(members, 75)
+    n = nodes.count()
+    assert 100 < n and clusters.count() <= n
+    links = [(x.a, x.b) for x in cluster_links(docs, clusters, nodes, known, 75).collect()]
+    sets = {x.node: x.doc_id for x in document_nodes(docs).collect()}
+    found = [set(x.tolist()) for x in shingle_sets([t.encode() for _, t in rows], 5)]
+    for a, b in links:
+        x, y = found[sets[a]], found[sets[b]]
+        assert 100 * len(x & y) >= 75 * len(x | y)
+    assert len(links) < (n if at_once > 4000 else 12 * n)
+    whole = spark.createDataFrame([(sets[a], sets[b]) for a, b in links], "a long, b long")
+    tied = {x.node: x.component for x in connected_components(whole).collect()}
+    expected = brute_components(rows)
+    assert {(i, tied.get(i, i)) for i in {sets[x.node] for x in nodes.collect()}} <= {(i, c) for i, _, c in expected}
+
+
 def test_leading_shingles_share_enough():
     """Any linked pair has as many common leading shingles as the smaller bound says."""
     r = np.random.default_rng(9)
